@@ -17,7 +17,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n + 1:
         size = max(1 << 20, n + 1)
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, b, dtype=np.uint64)]).astype(np.uint64)) for b in (_BASE, _INVERSE)]
+        _powers[:] = [np.multiply.accumulate(np.asarray([1] + [b] * (size - 1), dtype=np.uint64)) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
