@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bramble.llm.common import shuffle_parts, stage
-from bramble.llm.word_ids import encode_batches
+from bramble.llm.word_ids import encode_batches, small_batches
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:int,ids_crc32:bigint>"
@@ -40,6 +40,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
             crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())], [c.split()[0] for c in PIECE.split(", ")])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, PIECE)
 

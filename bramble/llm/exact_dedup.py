@@ -30,8 +30,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
     pfx = F.xxhash64(F.substring("norm", 1, prefix_chars))
     keys = stage(rows.select(F.length("norm").alias("len"), pfx.alias("pfx")), "dedup-keys")
-    same_len = keys.groupBy("len").count().where("count > 1").select("len")
-    same_pfx = keys.join(same_len, "len", "left_semi").groupBy("len", "pfx").count().where("count > 1").select("len", "pfx")
+    pairs = keys.groupBy("len", "pfx").count()
+    same_len = pairs.groupBy("len").agg(F.sum("count").alias("rows")).where("rows > 1").select("len")
+    same_pfx = pairs.where("count > 1").join(same_len, "len", "left_semi").select("len", "pfx")
     slot = F.pmod(F.xxhash64("len", "pfx"), F.lit(BITMAP_WORDS * 64))
     bitmap = (
         same_pfx.select(slot.alias("slot"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bramble.llm.common import shuffle_parts
-from bramble.llm.word_ids import encode_batches
+from bramble.llm.word_ids import encode_batches, small_batches
 
 MAGIC = b"TOKIDS01"
 HEADER = 16
@@ -86,6 +86,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ids come first, under NULL_KEY; repeated ids stay together, ordered by text; an empty table gives an empty folder.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     parts = max(min(shuffle_parts(spark), size["n"]), (size["b"] or 0) // (3 * ids_per_shard), 1)

@@ -1,51 +1,119 @@
 """Token ids of whole texts by a public tokenizer whose tokens never cross white space.
 
-A batch of texts is split at ASCII white space and dictionary-encoded in Arrow; each distinct word is encoded once by the
-tokenizers library and kept in a bounded cache of the Python worker; the ids of the texts are then gathered with numpy.
+A batch of texts is split at ASCII white space and dictionary-encoded in Arrow; each distinct word is encoded by the
+tokenizers library, with a bounded cache in the Python worker; the ids of the texts are then gathered with numpy.
 Normalisation, pre-tokenisation and merges of such a tokenizer do not look across white space, so the result equals
 encoding each whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps; a full cache is emptied, and frequent words come back at once.
-CACHE_WORDS = 250_000
-#: Bytes of text that are handled at a time inside a task.
-SLICE_BYTES = 4_000_000
+#: Words that a worker keeps: those met again (old) and those met once (young, emptied when full).
+OLD_WORDS, YOUNG_WORDS = 100_000, 100_000
+#: Bytes of text that are handled at a time inside a task, and rows of an Arrow batch.
+SLICE_BYTES, BATCH_ROWS = 3_000_000, 1_000
+# Fixed values of the format of a tokenizer whose words can be handed to its merges directly.
+PLAIN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-_encoders: dict[str, tuple[object, dict[str, bytes]]] = {}
+_encoders: dict[str, "Encoder"] = {}
+# Characters on which Python and the library agree about case, letters and composition.
+_plain_word = re.compile("[!-~¡-¬®-±´-¸º»¿-įı-ſ]*")
+_pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
 
 
-def _encoder(path: str) -> tuple[object, dict[str, bytes]]:
-    if path not in _encoders:
+def _byte_symbols() -> dict[int, str]:
+    """The symbol of each byte in byte-level vocabularies: printable bytes stand for themselves, others follow from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Encoder:
+    """A tokenizer of the library with a cache of words. Plain words go straight to the merges, others through encode."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    return _encoders[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps, splits = (spec.get("normalizer") or {}).get("normalizers", []), (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.plain = (
+            [n["type"] for n in steps] == PLAIN_NORMALIZER
+            and [p["type"] for p in splits] == ["Split", "ByteLevel"]
+            and splits[0]["pattern"] == {"Regex": PLAIN_PATTERN}
+            and not splits[1]["use_regex"]
+            and not splits[1]["add_prefix_space"]
+            and spec["model"]["type"] == "BPE"
+            and not spec["model"]["dropout"]
+        )
+        self.merge = self.tokenizer.model.tokenize
+        self.symbols = _byte_symbols()
+        self.old: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(symbols)])
+
+    def _known(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is None and (found := self.young.pop(key, None)) is not None:
+            if len(self.old) >= OLD_WORDS:
+                self.old.clear()
+            self.old[key] = found
+        return found
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= 64:
+            if len(self.young) >= YOUNG_WORDS:
+                self.young.clear()
+            self.young[key] = ids
+        return ids
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        out, rest = [], []
+        for i, word in enumerate(words):
+            if self.plain and "<|" not in word and _plain_word.fullmatch(word):
+                lower = word.lower()
+                body = lower.rstrip(".,")
+                if body.isalpha() and len(body) == len(lower):
+                    pieces = (body,)
+                elif body.isalpha() and body:
+                    pieces = (body, lower[len(body) :])
+                else:
+                    pieces = _pieces.findall(lower)
+                found = [x if (x := self._known(p)) is not None else self._keep(p, self._piece(p)) for p in pieces]
+                out.append(found[0] if len(found) == 1 else b"".join(found))
+            else:
+                out.append(b"")
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
 
 
 def _encode_words(path: str, words: list[str]) -> list[bytes]:
-    """Little-endian 32-bit ids of each word."""
-    tokenizer, cache = _encoder(path)
-    found = [cache.get(w) for w in words]
-    missing = [i for i, x in enumerate(found) if x is None]
-    if missing:
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for i, e in zip(some, tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
-                found[i] = np.asarray(e.ids, dtype="<u4").tobytes()
-                if len(cache) < CACHE_WORDS and len(words[i]) <= 64:
-                    cache[words[i]] = found[i]
-    return found
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(words)
+
+
+def small_batches(spark) -> None:
+    """Arrow batches of few rows: whole texts are long, and a worker holds one batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -94,3 +162,4 @@ def encode_batches(path: str, batches, text: str = "text", end_id: int | None =
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype("<u4", copy=False)
                 n = n + 1
             yield part, n, ids
+        pa.default_memory_pool().release_unused()
