@@ -17,6 +17,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def number(x: Column, places: int = 6) -> Column:
+    """A number as text with at most `places` decimals and no trailing zeros."""
+    return F.regexp_replace(F.format_string(f"%.{places}f", x.cast("double")), r"\.?0+$", "")
+
+
 def words(text: Column) -> Column:
     """Lower-case tokens between white space, commas dropped."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), ",", ""), r"\s+"), lambda w: w != "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bramble.functions.text import number
 from bramble.operators import labels as L
 from bramble.operators import vectors as V
 from bramble.operators import weights as W
@@ -151,7 +152,7 @@ def s11(s, d):
 
     rows = v.key_counts(s, d).select("key", F.expr("cast(substr(label, 7) as int)").alias("label"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy("key")), 6).alias("score"))
     path = new_path(s, "scores")
-    cell = F.struct("label", F.concat_ws(":", F.col("label").cast("string"), F.format_number("score", "0.000000")).alias("t"))
+    cell = F.struct("label", F.concat_ws(":", F.col("label").cast("string"), F.format_string("%.6f", "score")).alias("t"))
     rows.groupBy("key", F.expr("label div 10").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["t"]), " ").alias("value")).coalesce(1).orderBy("batch", "key").select("value", "batch").write.partitionBy("batch").text(path)
     names = rows.select("key").distinct()
     numbered = L._numbered(names, ["key"], "line")
@@ -172,7 +173,7 @@ def s13(s, d):
     path = new_path(s, "vec")
     e = v.vectors(s, d).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), "vector")
     head = s.range(1).select(F.lit("0 64").alias("value"), F.lit(0).alias("o"))
-    lines = e.select(F.concat_ws(" ", "id", F.array_join(F.transform("vector", lambda x: F.format_number(x.cast("double"), "0.########")), " ")).alias("value"), F.lit(1).alias("o"))
+    lines = e.select(F.concat_ws(" ", "id", F.array_join(F.transform("vector", lambda x: number(x, 8)), " ")).alias("value"), F.lit(1).alias("o"))
     head.unionByName(lines).orderBy("o").select("value").write.text(path)
     return readers.word_vectors(s, path).select("word", F.size("vector").cast("long").alias("dim"), F.round(F.col("vector")[0], 5).alias("first"))
 
@@ -223,7 +224,7 @@ def s16(s, d):
 def s17(s, d):
     path = new_path(s, "pairs")
     rows = v.table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.avg("l_discount"), 4).alias("g"))
-    rows.select(F.concat_ws(" ", F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.format_number("g", "0.0000")).alias("value")).write.text(path)
+    rows.select(F.concat_ws(" ", F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.format_string("%.4f", "g")).alias("value")).write.text(path)
     return readers.similarity_pairs(s, path)
 
 

@@ -26,7 +26,7 @@ def tagged_json(docs: DataFrame, path: str) -> None:
 
 def sparse_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, value): 'l1,l2 f:v f:v' of rows(doc_id, labels array, features array<struct<feature, value>>), by feature."""
-    pairs = F.transform(F.array_sort("features"), lambda x: F.concat(x["feature"].cast("string"), F.lit(":"), F.format_number(x["value"], "0.######")))
+    pairs = F.transform(F.array_sort("features"), lambda x: F.concat(x["feature"].cast("string"), F.lit(":"), X.number(x["value"])))
     return rows.select("doc_id", F.concat(F.array_join("labels", ","), F.lit(" "), F.array_join(pairs, " ")).alias("value"))
 
 
@@ -69,13 +69,13 @@ def identical_pairs(pairs: DataFrame, path: str) -> None:
 def predictions(predicted: DataFrame, path: str, with_scores: bool = True) -> None:
     """'doc label score label score ...' rows, best first; one part file per task."""
     best = predicted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "score"))).alias("p"))
-    cells = F.transform("p", lambda x: F.concat_ws(" ", x["label"], F.format_number(x["score"], "0.######")) if with_scores else x["label"])
+    cells = F.transform("p", lambda x: F.concat_ws(" ", x["label"], X.number(x["score"])) if with_scores else x["label"])
     best.select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.array_join(cells, " ")).alias("value")).write.text(path)
 
 
 def vectors(rows: DataFrame, path: str, key: str = "id") -> None:
     """'key v1 ... vd' rows."""
-    rows.select(F.concat_ws(" ", F.col(key).cast("string"), F.array_join(F.transform("vector", lambda x: F.format_number(x.cast("double"), "0.######")), " ")).alias("value")).write.text(path)
+    rows.select(F.concat_ws(" ", F.col(key).cast("string"), F.array_join(F.transform("vector", lambda x: X.number(x)), " ")).alias("value")).write.text(path)
 
 
 def vocabulary(rows: DataFrame, path: str) -> None:
