@@ -73,7 +73,7 @@ def _tree(s, d, arity=3):
 
 
 TREE = """lab AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT label FROM order_labels)), shape AS (SELECT count(*) AS k, CAST(ceil((3 * count(*) - 1) / 2) AS BIGINT) AS size FROM lab),
-    tree AS (SELECT i AS node, CASE WHEN i > 0 THEN (i - 1) // 3 END AS parent, label FROM (SELECT unnest(range(0, size)) AS i FROM shape) LEFT JOIN (SELECT place + size - k AS at, label FROM lab, shape) ON at = i)"""
+    tree AS (SELECT i AS node, CASE WHEN i > 0 THEN (i - 1) // 3 END AS parent, label FROM (SELECT unnest(range(0, size)) AS i FROM shape) r LEFT JOIN (SELECT place + size - k AS spot, label FROM lab, shape) s ON s.spot = r.i)"""
 CLOSURE = TREE + ", up AS (SELECT node, node AS ancestor, 0 AS steps FROM tree UNION ALL SELECT u.node, t.parent, u.steps + 1 FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)"
 POSITIVE = CLOSURE + ", pos AS (SELECT DISTINCT doc_id, ancestor AS node FROM order_labels JOIN tree USING (label) JOIN up USING (node))"
 NODES = POSITIVE + ", ns AS (SELECT node, round(count(*) / (SELECT count(DISTINCT doc_id) FROM order_labels), 9) AS p FROM pos GROUP BY node)"

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from bramble.plans import q_features, q_labels, q_models, q_sources  # noqa: F401
+    from bramble.plans import flagship, q_features, q_labels, q_models, q_sources  # noqa: F401
