@@ -129,7 +129,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
 
     blocks = stage(ordered.mapInPandas(cut, "label string, v array<double>, rep long, copies long, at array<double>, block long"), "ego-blocks")
     k = axes.shape[1] if axes.size else 0
-    boxes = blocks.groupBy("label", "block").agg(*[F.min(F.col("at")[i]).alias(f"lo{i}") for i in range(k)], *[F.max(F.col("at")[i]).alias(f"hi{i}") for i in range(k)])
+    boxes = blocks.groupBy("label", "block").agg(F.count("*").alias("rows"), *[F.min(F.col("at")[i]).alias(f"lo{i}") for i in range(k)], *[F.max(F.col("at")[i]).alias(f"hi{i}") for i in range(k)])
     a, b = boxes.alias("a"), boxes.alias("b")
     apart = F.lit(0.0)
     for i in range(k):

@@ -71,14 +71,16 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(moves: list[dict[int, int]]) -> np.ndarray:
-    """Next state for state * CLASSES + class. Where no longer match exists the phrase ends: FLAG is set and the next state
-    follows the start state. Padding stays."""
+    """Next state for state * CLASSES + class; FLAG is set where the character begins a phrase: at the start state, and where
+    the match cannot grow, from which on the next state follows the start state. A character that the sample lacks is a
+    phrase of its own. Padding stays."""
     table = np.full((len(moves), CLASSES), -1, dtype=np.int32)
     for state, out in enumerate(moves):
         for c, to in out.items():
             table[state, c] = to
     fresh = np.where(table[0] >= 0, table[0], 0)
     dead = table < 0
+    dead[0] = True
     table[dead] = (np.broadcast_to(fresh, table.shape) | FLAG)[dead]
     table[:, PAD] = np.arange(len(moves))
     return table
@@ -87,7 +89,7 @@ def parse_table(moves: list[dict[int, int]]) -> np.ndarray:
 def phrases(table: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     """Phrases of each lane (a row of classes) against one language."""
     flat, state = table.ravel(), np.zeros(len(lanes), dtype=np.int64)
-    count = (lanes[:, 0] != PAD).astype(np.int64) if lanes.size else np.zeros(len(lanes), dtype=np.int64)
+    count = np.zeros(len(lanes), dtype=np.int64)
     for column in np.ascontiguousarray(lanes.T):
         step = flat[state * CLASSES + column]
         count += step >> 30
