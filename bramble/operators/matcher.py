@@ -10,9 +10,6 @@ from bramble.functions import text as T
 from bramble.operators.metrics import micro
 from bramble.operators.topk import top_k
 
-#: Keys of the model that the fallback broadcasts at most; a larger model is joined by shared n-grams instead.
-BROADCAST_KEYS = 100_000
-
 
 def train(doc_keys: DataFrame, doc_labels: DataFrame) -> DataFrame:
     """(key, label, n)."""
