@@ -8,6 +8,7 @@ that a word's beginning allows, so a word is looked up in one step a character w
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -17,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bramble.llm.common import held_out, stage
-from bramble.llm.word_ids import slices
+from bramble.llm.word_ids import slices, small_batches, trim
 
 #: Labelled rows that are learnt from at most (a hashed sample beyond), and bounds of the broadcast word lists.
 LABELLED, LEXICON, CLEAN_VARIANTS = 200_000, 3_000, 50_000
-#: Standard errors by which a word's log odds must exceed 0; evidence of one or two edits against none.
-ERRORS, EDIT_FACTOR = 3.0, (1.0, 0.7, 0.4)
+#: Standard errors by which a word's log odds must exceed 0; evidence of a word with one edit against none.
+ERRORS, EDIT_FACTOR = 3.0, (1.0, 0.7)
 #: Tokens on either side of a hit that are looked at, and the factor of a quoted or reported hit.
 WINDOW, QUOTED = 6, 0.3
-CACHE = 300_000
+CACHE, COUNTED, STATES = 100_000, 50_000, 50_000
 # Quotation marks, and words by which a text reports another's words.
 OPENING, CLOSING = "\"“„«‹「『", "\"”“»›」』"
 REPORTING = "said says wrote writes quoted quote called calls claimed sagte sagt schrieb zitat nannte dit écrit appelé citation dijo dice escribió cita llamó".split()
@@ -34,14 +35,14 @@ _word = re.compile(r"[^\W\d_](?:[^\W_]|['’])*", re.UNICODE)
 
 
 def edits_for(term: str) -> int:
-    """Edits that a misspelling of a term may hold: none in short terms, two in long ones."""
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    """Edits that a misspelling of a term may hold: none in short terms."""
+    return 0 if len(term) < 5 else 1
 
 
 class FuzzyLexicon:
     """The terms within reach of a word: a lexicon trie intersected with Levenshtein automata, determined on demand."""
 
-    def __init__(self, terms: list[str], most_states: int = 200_000):
+    def __init__(self, terms: list[str], most_states: int = STATES):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.reach: list[int] = [0]  # most edits that a term below a node allows
@@ -165,6 +166,18 @@ class Scorer:
         return np.log1p(out)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: tuple) -> Scorer:
+    """The worker's scorer of a broadcast model (key, lexicon, clean, ...): its automaton and cache outlive a task."""
+    key, lexicon, clean = model[:3]
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(lexicon, clean)
+    return _scorers[key]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps on the ridge-penalised log likelihood (the bias is not penalised)."""
     z = np.column_stack([x, np.ones(len(x))])
@@ -187,10 +200,11 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 for w in set(_word.findall((text or "").lower())):
                     seen.setdefault(w, [0, 0])[label] += 1
-            if len(seen) > CACHE:
+            if len(seen) > COUNTED:
                 yield _counts(seen)
                 seen = {}
         yield _counts(seen)
+        trim()
 
     return labelled.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -232,10 +246,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     near = counted.where("clean > 0").mapInPandas(variants, "word string, toxic long, clean long").orderBy(F.desc("clean"), "word").limit(CLEAN_VARIANTS)
     unclean = set(near.select("word").toPandas().word)
-    model = spark.sparkContext.broadcast((lexicon, unclean))
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, lexicon, unclean))
 
     def measure(batches):
-        scorer = Scorer(*model.value)
+        scorer = scorer_of(model.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = scorer.features(part.column("text"))
@@ -255,16 +269,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     is their base rate. A null id is passed on; repeated rows give repeated rows; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    lexicon, unclean, weights, bias = learn(docs, labels, id_col, text_col, label_col)
-    model = spark.sparkContext.broadcast((lexicon, unclean, weights, bias))
+    small_batches(spark)
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, *learn(docs, labels, id_col, text_col, label_col)))
 
     def score(batches):
-        lexicon, unclean, weights, bias = model.value
-        scorer = Scorer(lexicon, unclean)
+        scorer, (weights, bias) = scorer_of(model.value), model.value[3:]
         for batch in batches:
             for part in slices(batch, "text"):
                 p = 1 / (1 + np.exp(-np.clip(scorer.features(part.column("text")) @ weights + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -274,14 +288,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns, that score below the threshold. Scores are computed where the texts are: no join."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs, labels, id_col, text_col))
+    small_batches(spark)
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, *learn(docs, labels, id_col, text_col)))
 
     def keep(batches):
-        lexicon, unclean, weights, bias = model.value
-        scorer = Scorer(lexicon, unclean)
+        scorer, (weights, bias) = scorer_of(model.value), model.value[3:]
         for batch in batches:
             for part in slices(batch, text_col):
                 z = scorer.features(part.column(text_col)) @ weights + bias
                 yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)

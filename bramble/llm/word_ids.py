@@ -8,6 +8,7 @@ encoding each whole text.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -116,6 +117,15 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def trim() -> None:
+    """Hand freed memory of a worker back to the system: workers are kept between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each range, one range after the other."""
     total = int(counts.sum())
@@ -162,4 +172,4 @@ def encode_batches(path: str, batches, text: str = "text", end_id: int | None =
                 ids = np.insert(ids, np.cumsum(n), np.uint32(end_id)).astype("<u4", copy=False)
                 n = n + 1
             yield part, n, ids
-        pa.default_memory_pool().release_unused()
+    trim()
