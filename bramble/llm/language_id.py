@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bramble.llm.common import held_out
-from bramble.llm.word_ids import slices
+from bramble.llm.word_ids import slices, small_batches
 
 #: Characters of labelled text per language, of one labelled text, and bytes of all automata together at most.
 SAMPLE_CHARS, SAMPLE_TEXT, TABLE_BYTES = 40_000, 4_000, 96_000_000
@@ -153,6 +153,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     give repeated rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held_out"))
     train = rows.where("not held_out and lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_TEXT).alias("text"))
     n_langs = train.select("lang").distinct().count()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bramble.llm.common import shuffle_parts, stage
 from bramble.llm.token_files import mix
+from bramble.llm.word_ids import small_batches
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights that repeat over the sources in order, and the most that a target may repeat its source.
@@ -153,6 +154,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_
     and n_chars, if there is such a column, is counted anew. A document that is taken in up to MOST passes gives as many
     rows; one that is not taken gives none. The id is the key here: rows that repeat an id all follow its first plan.
     """
+    small_batches(docs.sparkSession)
     sized = word_sizes(docs, id_col, text_col, source_col, seed)
     _, slots = mixed_slots(sized, block_words, seed=seed)
     times = slots.groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))

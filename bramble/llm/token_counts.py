@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bramble.llm.word_ids import slices
+from bramble.llm.word_ids import slices, small_batches
 
 #: Entries of the broadcast table: with pre-tokens of at most LONGEST characters, a few MB at any input size.
 FREQUENT, LONGEST = 65_536, 48
@@ -83,6 +83,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     tokens); a null id is passed on; repeated rows give repeated rows; an empty table gives none; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     top = frequent_pre_tokens(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
     words = top.column("word").to_pylist()
     lengths = np.minimum(np.asarray(_encoded_lengths(model_path, words), dtype=np.int64), 255).astype(np.uint8)
