@@ -10,13 +10,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.llm.common import shuffle_parts, stage
 from bramble.llm.token_files import mix
-from bramble.llm.word_ids import small_batches
+from bramble.llm.word_ids import small_batches, trim
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights that repeat over the sources in order, and the most that a target may repeat its source.
@@ -164,26 +164,28 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_
     plans = taken.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("bramble_plan"))
     plans = plans.groupBy("doc_id").agg(F.min_by("bramble_plan", "start").alias("bramble_plan")).select(F.col("doc_id").alias("bramble_id"), "bramble_plan")
     planned = docs.join(plans, docs[id_col].eqNullSafe(plans["bramble_id"])).drop("bramble_id")
-    finder = re.compile(r"[^\x20\x09-\x0D]+")
+    finder, names = re.compile(r"[^\x20\x09-\x0D]+"), docs.columns
 
-    def cut(frames):
-        for pdf in frames:
+    def cut(batches):
+        for batch in batches:
             at, texts = [], []
-            for i, (text, plan) in enumerate(zip(pdf[text_col], pdf.bramble_plan, strict=True)):
-                plan = [(p["from_word"], p["n"], p["times"]) for p in plan]
+            for i, (text, plan) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("bramble_plan").to_pylist(), strict=True)):
                 words = [m.span() for m in finder.finditer(text)]
-                for turn in range(1, max(t for _, _, t in plan) + 1):
+                for turn in range(1, max(p["times"] for p in plan) + 1):
                     runs: list[list[int]] = []
-                    for first, n, times in plan:
-                        if times >= turn:
-                            if runs and runs[-1][1] == first:
-                                runs[-1][1] = first + n
+                    for p in plan:
+                        if p["times"] >= turn:
+                            if runs and runs[-1][1] == p["from_word"]:
+                                runs[-1][1] += p["n"]
                             else:
-                                runs.append([first, first + n])
+                                runs.append([p["from_word"], p["from_word"] + p["n"]])
                     at.append(i)
                     texts.append(text if runs == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
-            out = pdf.iloc[at].drop(columns=["bramble_plan"]).reset_index(drop=True)
-            out[text_col] = pd.Series(texts, dtype=object)
-            yield out.assign(n_chars=out[text_col].str.len().astype("int64")) if "n_chars" in out and len(out) else out
-
-    return planned.mapInPandas(cut, docs.schema)
+            kept = batch.take(pa.array(at, pa.int64()))
+            new = {text_col: pa.array(texts, pa.string())}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([len(t) for t in texts], kept.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, kept.column(c)) for c in names], names)
+        trim()
+
+    return planned.mapInArrow(cut, docs.schema)
