@@ -139,8 +139,9 @@ def taken_words(docs: DataFrame, block_words: int = 64, id_col: str = "doc_id",
     shares, slots = mixed_slots(sized, block_words, seed=seed)
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
     spans = block_spans(sized, block_words)
+    # slots grow with the words but are planned from the few rows of the draws: the hint keeps them from being broadcast
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
-    took = spans.join(times, same, "left").select(spans["source"], spans["start"], spans["doc_id"], spans["size"], (F.col("n") * F.coalesce("times", F.lit(0))).alias("words"))
+    took = spans.join(times.hint("merge"), same, "left").select(spans["source"], spans["start"], spans["doc_id"], spans["size"], (F.col("n") * F.coalesce("times", F.lit(0))).alias("words"))
     sums = took.groupBy("source", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
     empty = sized.where("size = 0").select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     rows = sums.unionByName(empty)
@@ -160,7 +161,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_
     times = slots.groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))
     spans = block_spans(sized, block_words)
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
-    taken = spans.join(times, same).select(spans["doc_id"], spans["start"], "from_word", "n", "times")
+    taken = spans.join(times.hint("merge"), same).select(spans["doc_id"], spans["start"], "from_word", "n", "times")
     plans = taken.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("bramble_plan"))
     plans = plans.groupBy("doc_id").agg(F.min_by("bramble_plan", "start").alias("bramble_plan")).select(F.col("doc_id").alias("bramble_id"), "bramble_plan")
     planned = docs.join(plans, docs[id_col].eqNullSafe(plans["bramble_id"])).drop("bramble_id")
