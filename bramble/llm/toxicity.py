@@ -22,8 +22,8 @@ from bramble.llm.word_ids import slices, small_batches, trim
 
 #: Labelled rows that are learnt from at most (a hashed sample beyond), and bounds of the broadcast word lists.
 LABELLED, LEXICON, CLEAN_VARIANTS = 200_000, 3_000, 50_000
-#: Standard errors by which a word's log odds must exceed 0; evidence of a word with one edit against none.
-ERRORS, EDIT_FACTOR = 3.0, (1.0, 0.7)
+#: Standard errors by which a word's log odds must exceed 0; evidence of one or two edits against none.
+ERRORS, EDIT_FACTOR = 3.0, (1.0, 0.7, 0.4)
 #: Tokens on either side of a hit that are looked at, and the factor of a quoted or reported hit.
 WINDOW, QUOTED = 6, 0.3
 CACHE, COUNTED, STATES = 100_000, 50_000, 50_000
@@ -35,8 +35,16 @@ _word = re.compile(r"[^\W\d_](?:[^\W_]|['’])*", re.UNICODE)
 
 
 def edits_for(term: str) -> int:
-    """Edits that a misspelling of a term may hold: none in short terms."""
-    return 0 if len(term) < 5 else 1
+    """Edits that a misspelling of a term may hold: none in short terms, two in long ones."""
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+
+
+def shortened(word: str, most: int) -> list[str]:
+    """The word with up to `most` letters (two at the most) left out."""
+    if not most:
+        return [word]
+    one = [word[:i] + word[i + 1 :] for i in range(len(word))]
+    return [word, *one] if most == 1 else [word, *one, *[w[:j] + w[j + 1 :] for i, w in enumerate(one) for j in range(i, len(w))]]
 
 
 class FuzzyLexicon:
@@ -60,6 +68,11 @@ class FuzzyLexicon:
                 self.reach[node] = max(self.reach[node], edits_for(t))
             self.term[node] = i
         self.alphabet = {c for n in self.children for c in n}
+        self.near = {f for t in terms for f in shortened(t, edits_for(t))}
+        self.edits: dict[int, int] = {}  # most edits of a term that a word of a length can match
+        for k, n in {(edits_for(t), len(t)) for t in terms}:
+            for m in range(n - k, n + k + 1):
+                self.edits[m] = max(self.edits.get(m, 0), k)
         self._reset()
 
     def _reset(self) -> None:
@@ -73,7 +86,7 @@ class FuzzyLexicon:
         todo = list(nodes.items())
         while todo:
             node, e = todo.pop()
-            if nodes[node] != e:
+            if nodes[node] != e or e >= self.reach[node]:
                 continue
             for child in self.children[node].values():
                 if e + 1 <= self.reach[child] and e + 1 < nodes.get(child, 9):
@@ -89,16 +102,24 @@ class FuzzyLexicon:
     def _step(self, state: int, c: str) -> int:
         out: dict[int, int] = {}
         for node, e in self.sets[state]:
+            if e >= self.reach[node]:  # no edits left below: only the letter itself goes on
+                child = self.children[node].get(c)
+                if child is not None and e <= self.reach[child] and e < out.get(child, 9):
+                    out[child] = e
+                continue
             for letter, child in self.children[node].items():
                 cost = e + (letter != c)
                 if cost <= self.reach[child] and cost < out.get(child, 9):
                     out[child] = cost
-            if e + 1 <= self.reach[node] and e + 1 < out.get(node, 9):
+            if e + 1 < out.get(node, 9):
                 out[node] = e + 1  # a letter too many
         return self._state(out) if out else -1
 
     def match(self, word: str) -> list[tuple[int, int]]:
         """(term, edits) of every term that the word is or misspells."""
+        most = self.edits.get(len(word), -1)
+        if most < 0 or self.near.isdisjoint(shortened(word, most)):
+            return []  # a term within k edits shares a form that k letters fewer at most leave of both
         if len(self.sets) > self.most_states:
             self._reset()
         state = self.start

@@ -255,6 +255,20 @@ def test_levenshtein_automaton_equals_brute_force():
         assert set(lexicon.match(w)) == want, w
 
 
+def test_two_edits_in_long_terms():
+    rng, terms = random.Random(8), ["idiot", "worthless", "disgusting", "scum", "unpleasantly", "unpleasant"]
+    allowed, lexicon = {"scum": 0, "idiot": 1, "worthless": 1, "disgusting": 2, "unpleasantly": 2, "unpleasant": 2}, toxicity.FuzzyLexicon(terms)
+    for _ in range(1500):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "s", "ti"])
+        w = "".join(w)
+        assert set(lexicon.match(w)) == {(i, edits(w, t)) for i, t in enumerate(terms) if edits(w, t) <= allowed[t]}, w
+    scorer = toxicity.Scorer({"disgusting": 2.0, "worthless": 2.0}, set())
+    assert [scorer.evidence(w) for w in ("disgusting", "disgustin", "disgsuting", "disgxxting", "dixgxxting", "worhtless")] == pytest.approx([2.0, 1.4, 0.8, 0.8, 0, 0])
+
+
 def test_toxicity(spark, none, docs):
     rng = random.Random(9)
     rows, labels = [], []
