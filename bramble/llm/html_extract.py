@@ -109,7 +109,8 @@ class Page:
         parent = self.stack[-1] if self.stack else ("", "", False)
         if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
             out = True
-        self.children.setdefault(parent[1], []).append(name)
+        if not (parent[2] or out):
+            self.children.setdefault(parent[1], []).append(name)
         if tag not in VOID:
             self.stack.append((tag, f"{parent[1]}/{name}", parent[2] or out))
 
@@ -126,10 +127,12 @@ class Page:
             self._flush()
 
     def features(self) -> list[tuple[str, int, str]]:
-        """(path, kind, feature): kind 0 the sequence of child elements, 1 the texts that stand at the path."""
+        """(path, kind, feature): kind 0 the sequence of child elements, 1 the texts that stand at the path. What is no
+        content shows none: it goes in any case and must not make the elements that hold it important."""
         texts: dict[str, list[str]] = {}
-        for path, text, _ in self.blocks:
-            texts.setdefault(path, []).append(text)
+        for path, text, out in self.blocks:
+            if not out:
+                texts.setdefault(path, []).append(text)
         styles = [(path, 0, " ".join(x for i, x in enumerate(names) if i == 0 or names[i - 1] != x)) for path, names in self.children.items()]
         return styles + [(path, 1, "\n".join(t)) for path, t in texts.items()]
 
@@ -182,7 +185,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, paths): of each host, the paths whose own content and composite importance are low.
+    """(host, paths): of each host, the paths of low composite importance, that is, whole branches. Text that stands
+    directly in an element whose composite importance is high stays, even if it repeats.
 
     The group of a host holds one row per path and kind, whatever the number of its pages.
     """
@@ -200,7 +204,8 @@ def low_branches(tree: DataFrame) -> DataFrame:
             most, g = max(parts, default=0.0), GAMMA ** len(parts)
             # an element is as important as its own variety in presentation and the best of what it holds
             composite[p] = max(most, (1 - g) * style.get(p, 0.0) + g * most) if parts else style.get(p, 0.0)
-        low = [p for p in content if max(content[p][0], 0.0) < (LOW_IN_ARTICLE if re.search(r"/(article|main)\b", p) else LOW)]
+        # no element is less important than what it holds: where one is low, all below it is low as well
+        low = [p for p in content if composite[p] < (LOW_IN_ARTICLE if re.search(r"/(article|main)\b", p) else LOW)]
         return pd.DataFrame({"host": [pdf.host.iloc[0]], "paths": [sorted(low)]})
 
     return tree.groupBy("host").applyInPandas(judge, "host string, paths array<string>")

@@ -307,6 +307,25 @@ def test_html_extraction(spark):
     assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, htmls):
+    rows = [(i, f"http://one.example.org/{i}", h) for i, h in enumerate(htmls)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_composite_importance(spark):
+    # the content varies below the first div; the nav's does too, but it goes in any case
+    got = texts_of(spark, [f"<body><div class='news'>By our staff<p>story {i}</p></div><div class='foot'>Follow us<p>Same line</p><nav><a>link {i}</a></nav></div></body>" for i in range(40)])
+    assert all(got[i] == f"By our staff\nstory {i}" for i in range(40)), got[0]
+
+    def page(i, bits):  # the texts below repeat, only which of them a page holds varies, or does not
+        parts = "".join(f"<p class='{c}'>part {c}</p>" for n, c in enumerate("abcdefghijklmnopqrst") if bits >> n & 1)
+        return f"<body><div class='kit'>Contents of the kit{parts}</div><h1>Set {i}</h1></body>"
+
+    rng = random.Random(3)
+    varied, fixed = texts_of(spark, [page(i, rng.getrandbits(20)) for i in range(60)]), texts_of(spark, [page(i, (1 << 20) - 1) for i in range(60)])
+    assert all(varied[i] == f"Contents of the kit\nSet {i}" and fixed[i] == f"Set {i}" for i in range(60)), (varied[0], fixed[0])
+
+
 def find(root, i):
     while root[i] != i:
         i = root[i]
