@@ -34,32 +34,44 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 NO_CONTENT = set("head script style noscript template iframe object svg canvas audio video nav footer aside form button select input textarea dialog menu".split())
 NAMED = set("ad ads advert adverts advertisement banner cookie cookies consent notice notices sidebar comment comments reply replies respond menu nav navbar navigation breadcrumb breadcrumbs footer masthead promo sponsored sponsor share sharing social related recommended newsletter subscribe signup popup modal login search widget disclaimer".split())
 
+ARTICLE = ("article", "main")
+# What a block is: content, no content by the name of an element around it, no content by its kind.
+CONTENT, BY_NAME, BY_KIND = 0, 1, 2
+NOWHERE = ("", "", False, ())
+
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _attr = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _digits = re.compile(r"\d+")
 
 
-def _name(tag: str, attrs: str) -> tuple[str, bool]:
-    """(tag, classes and id for the style tree, digits as 0; whether the element is no content by its kind or name)."""
-    found, words = "", []
+def _name(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """(tag, classes and id for the style tree, digits as 0; whether the element is no content by its kind; by its name).
+
+    A name is a whole class or id, not a word in one; html, body, main and article are content whatever their names.
+    """
+    found, words, out = "", [], tag in NO_CONTENT
     if attrs and "=" in attrs:
         for m in _attr.finditer(attrs):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() in ("class", "id"):
-                words += re.split(r"[\s_-]+", value)
+                words += value.split()
                 found += ("." if m[1].lower() == "class" else "#") + _digits.sub("0", ".".join(value.split()))
             elif m[1].lower() == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
-                words.append("nav")
-    return tag + found, tag in NO_CONTENT or any(w in NAMED for w in words)
+                out = True
+    return tag + found, out, tag not in ("html", "body", *ARTICLE) and any(w in NAMED for w in words)
 
 
 class Page:
-    """The blocks (path, text, is no content) of a page in order, and the child elements of each path."""
+    """The blocks (path, text, what it is) of a page in order, and the child elements of each path that are content.
+
+    An element that holds an article or main is content whatever its name; this is known once the page is read.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool]] = []
-        self.children: dict[str, list[str]] = {}
-        self.stack: list[tuple[str, str, bool]] = []  # tag, path, no content
+        self.found: list[tuple[str, str, bool, tuple[int, ...]]] = []  # path, text, by kind, numbers of the named elements around
+        self.held: list[tuple[str, str, bool, tuple[int, ...]]] = []  # path, child, as above
+        self.stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, as above
+        self.named, self.cleared = 0, set()
         self.pieces: list[str] = []
         at = 0
         while True:
@@ -82,21 +94,29 @@ class Page:
                     at = end.end() if end else len(html)
                     self._close(tag)
         self._flush()
+        self.blocks = [(path, text, self._what(out, named)) for path, text, out, named in self.found]
+        self.children: dict[str, list[str]] = {}
+        for path, name, out, named in self.held:
+            if not self._what(out, named):
+                self.children.setdefault(path, []).append(name)
+
+    def _what(self, out: bool, named: tuple[int, ...]) -> int:
+        return BY_KIND if out else CONTENT if self.cleared.issuperset(named) else BY_NAME
 
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join(unescape("".join(self.pieces)).split())
             self.pieces = []
             if text:
-                _, path, out = self.stack[-1] if self.stack else ("", "", False)
-                self.blocks.append((path, text, out))
+                _, path, out, named = self.stack[-1] if self.stack else NOWHERE
+                self.found.append((path, text, out, named))
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
             self.pieces.append("\n")
             return
-        name, out = _name(tag, attrs)
-        if tag in INLINE and not out:
+        name, out, by_name = _name(tag, attrs)
+        if tag in INLINE and not (out or by_name):
             return
         self._flush()
         for i in range(len(self.stack) - 1, -1, -1):
@@ -106,13 +126,17 @@ class Page:
                 break
             if open_tag in SCOPES.get(tag, ()) or open_tag in ("table", "td", "th", "button", "object"):
                 break
-        parent = self.stack[-1] if self.stack else ("", "", False)
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
+        _, path, around, named = self.stack[-1] if self.stack else NOWHERE
+        if tag in ARTICLE:
+            self.cleared.update(named)
+        if tag == "header" and not any(t in ARTICLE for t, *_ in self.stack):
             out = True
-        if not (parent[2] or out):
-            self.children.setdefault(parent[1], []).append(name)
+        if by_name:
+            self.named += 1
+            named = (*named, self.named)
+        self.held.append((path, name, around or out, named))
         if tag not in VOID:
-            self.stack.append((tag, f"{parent[1]}/{name}", parent[2] or out))
+            self.stack.append((tag, f"{path}/{name}", around or out, named))
 
     def _close(self, tag: str) -> None:
         if tag == "br":
@@ -216,8 +240,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Blocks stand in page order, parted by one newline; white space inside a block is one space; references are decoded. A
     null or empty page gives an empty text; a null url counts as the host with the empty name; repeated rows are kept; an
-    empty table gives no rows. If the tree would leave nothing of a page, its blocks that HTML does not mark as no
-    content stay. Pages of a host that holds most rows are dealt over SALTS copies of its row of the tree.
+    empty table gives no rows. If the tree would leave nothing of a page, all its content blocks stay; if it has none,
+    those that only a name marks as no content go by the tree in the same way. Pages of a host that holds most rows are dealt over SALTS copies of its row of the tree.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     tree = stage(low_branches(style_tree(rows.select("url", "html"))), "html-tree").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -230,7 +254,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             texts = []
             for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
                 low = set(paths or ())
-                blocks = [(p, t) for p, t, out in Page(html or "").blocks if not out]
+                found = Page(html or "").blocks
+                blocks = [(p, t) for p, t, what in found if what == CONTENT] or [(p, t) for p, t, what in found if what == BY_NAME]
                 texts.append("\n".join([t for p, t in blocks if p not in low] or [t for _, t in blocks]))
             n = pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])

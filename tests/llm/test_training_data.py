@@ -326,6 +326,16 @@ def test_html_composite_importance(spark):
     assert all(varied[i] == f"Contents of the kit\nSet {i}" and fixed[i] == f"Set {i}" for i in range(60)), (varied[0], fixed[0])
 
 
+def test_html_names(spark):
+    forms = ["<body class='right-sidebar'><p>{t}</p>", "<body class='comment-open search'><p>{t}</p>", "<div id='page' class='has-banner'><p>{t}</p></div>", "<article class='post social'><p>{t}</p></article>"]
+    forms += ["<main id='search'><p>{t}</p></main>", "<main id='search-results'><p>{t}</p></main>", "<div class='widget'><section><article><p>{t}</p></article></section></div>", "<div class='widget'><p>{t}</p></div>"]
+    got = texts_of(spark, [f"<html>{f}<div class='ad'>buy {i}</div><nav>go {i}</nav></html>".replace("{t}", f"words {i}") for i, f in enumerate(forms * 5)])
+    for i in range(5 * len(forms)):  # the last form has no other text than what names mark
+        assert got[i] == (f"words {i}" if i % len(forms) < len(forms) - 1 else f"words {i}\nbuy {i}"), (i, got[i])
+    mixed = texts_of(spark, [f"<body><p>words {i}</p><div id='comments'><p>me too {i}</p></div><div class='x sidebar'>side {i}</div></body>" for i in range(9)])
+    assert all(mixed[i] == f"words {i}" for i in range(9))
+
+
 def find(root, i):
     while root[i] != i:
         i = root[i]
