@@ -72,22 +72,25 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return value.astype(np.int64)
 
 
-def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
+def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, row_col: str | None = None) -> DataFrame:
     """Staged (doc_id, source, size, start): start is the document's first word in its source's stream.
 
+    With row_col, a column that tells rows apart, it comes as row; rows of one id are then placed by their texts.
     A source's order is hash bucket, then id; running sums are taken inside a bucket of bounded size and bucket totals are
     summed on their own, so a source that holds most rows is never one task's work.
     """
-    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    own = [] if row_col is None else [F.xxhash64(text_col).alias("hash"), F.col(row_col).alias("row")]
+    by_text, by_row = (["hash"], ["row"]) if own else ([], [])
+    sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *own), "mix-sizes")
     buckets = max(1, sized.count() // 5_000)
-    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"))
+    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", *by_text, F.lit(seed)), F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", *by_text, *by_row).rowsBetween(Window.unboundedPreceding, -1)
     runs = keyed.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = runs.join(bases, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return stage(placed.select("doc_id", "source", "size", (F.col("base") + F.col("run")).alias("start")), "mix-starts")
+    return stage(placed.select("doc_id", "source", "size", (F.col("base") + F.col("run")).alias("start"), *by_row), "mix-starts")
 
 
 def mixed_slots(sized: DataFrame, block_words: int = 64, slots_per_shard: int = 1 << 16, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -153,18 +156,19 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_
 
     All columns stay; the text holds the taken runs of words as they stand, runs that do not touch parted by a newline,
     and n_chars, if there is such a column, is counted anew. A document that is taken in up to MOST passes gives as many
-    rows; one that is not taken gives none. The id is the key here: rows that repeat an id all follow its first plan.
+    rows; one that is not taken gives none. Every row has its own plan, whether its id is null, repeated or not. For this
+    the rows are written out once, with a number.
     """
     small_batches(docs.sparkSession)
-    sized = word_sizes(docs, id_col, text_col, source_col, seed)
+    rows = stage(docs.withColumn("bramble_row", F.monotonically_increasing_id()), "mix-rows")
+    sized = word_sizes(rows, id_col, text_col, source_col, seed, "bramble_row")
     _, slots = mixed_slots(sized, block_words, seed=seed)
     times = slots.groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))
-    spans = block_spans(sized, block_words)
+    spans = block_spans(sized.withColumn("doc_id", F.col("row")), block_words)
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
-    taken = spans.join(times.hint("merge"), same).select(spans["doc_id"], spans["start"], "from_word", "n", "times")
-    plans = taken.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("bramble_plan"))
-    plans = plans.groupBy("doc_id").agg(F.min_by("bramble_plan", "start").alias("bramble_plan")).select(F.col("doc_id").alias("bramble_id"), "bramble_plan")
-    planned = docs.join(plans, docs[id_col].eqNullSafe(plans["bramble_id"])).drop("bramble_id")
+    taken = spans.join(times.hint("merge"), same).select(spans["doc_id"].alias("bramble_row"), "from_word", "n", "times")
+    plans = taken.groupBy("bramble_row").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("bramble_plan"))
+    planned = rows.join(plans, "bramble_row").drop("bramble_row")
     finder, names = re.compile(r"[^\x20\x09-\x0D]+"), docs.columns
 
     def cut(batches):

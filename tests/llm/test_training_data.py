@@ -200,6 +200,16 @@ def test_mixed_documents(docs, none, rows):
     assert got.columns == docs.columns and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixed_documents_of_equal_ids(spark):
+    # one source: its words are all taken once
+    texts = [(None, "a1 a2 a3"), (None, " ".join(f"b{i}" for i in range(30))), (None, None), (7, "c1"), (7, " ".join(f"d{i}" for i in range(25))), (7, None), (8, "e1 e2"), (8, "e1 e2")]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in texts], DOC)
+    mixed = [mixing.mixed_documents(df.repartition(n), block_words=4).collect() for n in (1, 3)]
+    for got in mixed:
+        assert sorted((r["doc_id"] or -1, w) for r in got for w in r["text"].split()) == sorted((i or -1, w) for i, t in texts for w in (t or "").split())
+    assert sorted(map(repr, mixed[0])) == sorted(map(repr, mixed[1]))
+
+
 def test_suffix_automaton_parse():
     text, table = "abracadabra", None
     moves = language_id.suffix_automaton([ord(c) - 95 for c in text])
