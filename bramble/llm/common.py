@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 HELD_OUT_MOD, HELD_OUT_REST = 3, 1
 
 
+#: What a Python worker keeps between tasks, of one operator at a time.
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The worker's store of an operator. Workers outlive tasks and operators: asking for another one drops the last."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    return _kept[owner]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, a fresh local one (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer whose tokens never cross white space.
 
-A batch of texts is split at ASCII white space and dictionary-encoded in Arrow; each distinct word is encoded by the
-tokenizers library, with a bounded cache in the Python worker; the ids of the texts are then gathered with numpy.
-Normalisation, pre-tokenisation and merges of such a tokenizer do not look across white space, so the result equals
-encoding each whole text.
+A batch of texts is cut at ASCII white space, and, for a tokenizer of a known form, into the pieces that its merges work on;
+this is done with numpy over the bytes. Distinct pieces are found by Arrow, encoded by the tokenizers library, with a bounded
+cache in the Python worker, and the ids of the texts are gathered with numpy. Normalisation, pre-tokenisation and merges of
+such a tokenizer do not look across white space, so the result equals encoding each whole text.
 """
 
 from __future__ import annotations
@@ -12,23 +12,43 @@ import ctypes
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker keeps: those met again (old) and those met once (young, emptied when full).
-OLD_WORDS, YOUNG_WORDS = 100_000, 100_000
+from bramble.llm.common import worker_cache
+
+#: Pieces that a worker keeps in each of two generations, of at most LONGEST characters: some 80 MB in all.
+KEPT, LONGEST = 200_000, 48
 #: Bytes of text that are handled at a time inside a task, and rows of an Arrow batch.
 SLICE_BYTES, BATCH_ROWS = 3_000_000, 1_000
 # Fixed values of the format of a tokenizer whose words can be handed to its merges directly.
 PLAIN_NORMALIZER = ["NFC", "Replace", "Lowercase"]
 PLAIN_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-
-_encoders: dict[str, "Encoder"] = {}
 # Characters on which Python and the library agree about case, letters and composition.
 _plain_word = re.compile("[!-~¡-¬®-±´-¸º»¿-įı-ſ]*")
 _pieces = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|[^\W_]|(?:[^\w\s]|_)+")
+# What a byte of UTF-8 is: white space, part of a letter, a digit, another sign; ODD bytes leave their word uncut. Letters are
+# those of ASCII and of Latin-1, whose first byte is 0xC3; 0x97 and 0xB7 are its two signs that are no letters.
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+
+
+def _byte_kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and each byte in lower case (in words without ODD bytes)."""
+    kind, lower = np.full(256, ODD, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+    kind[33:127] = SIGN
+    kind[[32, *range(9, 14)]] = SPACE
+    kind[48:58] = DIGIT
+    kind[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = LETTER
+    kind[[ord("'"), ord("<"), 0x97, 0xB7]] = ODD
+    lower[65:91] += 32
+    lower[0x80:0x9F] += 32
+    return kind, lower
+
+
+_KIND, _LOWER = _byte_kinds()
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -39,7 +59,7 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Encoder:
-    """A tokenizer of the library with a cache of words. Plain words go straight to the merges, others through encode."""
+    """A tokenizer of the library with a cache of pieces. Plain pieces go straight to the merges, others through encode."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,56 +80,71 @@ class Encoder:
         )
         self.merge = self.tokenizer.model.tokenize
         self.symbols = _byte_symbols()
-        self.old: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
+        # pieces met since the last change of generation, and those of the generation before
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(symbols)])
-
-    def _known(self, key: str) -> bytes | None:
-        found = self.old.get(key)
-        if found is None and (found := self.young.pop(key, None)) is not None:
-            if len(self.old) >= OLD_WORDS:
-                self.old.clear()
-            self.old[key] = found
-        return found
-
-    def _keep(self, key: str, ids: bytes) -> bytes:
-        if len(key) <= 64:
-            if len(self.young) >= YOUNG_WORDS:
-                self.young.clear()
-            self.young[key] = ids
-        return ids
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
-        out, rest = [], []
-        for i, word in enumerate(words):
-            if self.plain and "<|" not in word and _plain_word.fullmatch(word):
-                lower = word.lower()
-                body = lower.rstrip(".,")
-                if body.isalpha() and len(body) == len(lower):
-                    pieces = (body,)
-                elif body.isalpha() and body:
-                    pieces = (body, lower[len(body) :])
-                else:
-                    pieces = _pieces.findall(lower)
-                found = [x if (x := self._known(p)) is not None else self._keep(p, self._piece(p)) for p in pieces]
-                out.append(found[0] if len(found) == 1 else b"".join(found))
-            else:
-                out.append(b"")
-                rest.append(i)
-        if rest:
-            for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-                out[i] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.merge(symbols)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.plain and "<|" not in word and _plain_word.fullmatch(word):
+            return b"".join([self._piece(p) for p in _pieces.findall(word.lower())])
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each piece: a plain one (a run of letters, a digit, a run of signs) or a whole word."""
+        out = [*map(self.now.get, pieces)]
+        for i, found in enumerate(out):
+            if found is None:
+                piece = pieces[i]
+                found = self.before.get(piece)
+                if found is None:
+                    found = self._piece(piece) if self.plain and piece.isalpha() and piece.islower() and _plain_word.fullmatch(piece) else self._word(piece)
+                out[i] = found
+                if len(piece) <= LONGEST:
+                    if len(self.now) >= KEPT:
+                        self.before, self.now = self.now, {}
+                    self.now[piece] = found
         return out
 
 
-def _encode_words(path: str, words: list[str]) -> list[bytes]:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path].encode(words)
+def encoder_of(path: str) -> Encoder:
+    kept = worker_cache("word_ids")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
+def pieces_in(texts: pa.Array, cut: bool) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, pieces of each text): the words between white space; if cut, each word of LETTER, DIGIT and SIGN
+    bytes as its lower-case runs of letters, digits and runs of signs, and other words as they stand."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+    offsets = offsets - offsets[0]
+    kind = _KIND[raw]
+    held = kind != SPACE
+    begins = held.copy()
+    begins[1:] &= ~held[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[inner] |= held[inner]
+    if cut and len(raw):
+        starts = np.flatnonzero(begins)
+        whole = np.unique(np.searchsorted(starts, np.flatnonzero(kind == ODD), side="right") - 1)
+        edge = np.zeros(len(raw) + 1, dtype=np.int8)
+        edge[starts[whole]] += 1
+        edge[np.append(starts, len(raw))[whole + 1]] -= 1
+        free = np.cumsum(edge[:-1], dtype=np.int8) == 0
+        raw = np.where(free, _LOWER[raw], raw)
+        parts = kind == DIGIT
+        parts[1:] |= kind[1:] != kind[:-1]
+        begins |= parts & free & held
+    at = np.flatnonzero(begins)
+    packed = raw[held]
+    ends = np.append(np.flatnonzero(begins[held]), len(packed)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+    return pieces, np.diff(np.searchsorted(at, offsets))
 
 
 def small_batches(spark) -> None:
@@ -137,19 +172,19 @@ def gather(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n_ids of each text, all ids as '<u4'); a null text is empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    words = pc.ascii_split_whitespace(texts)
-    offsets = words.offsets.to_numpy()
-    coded = words.flatten().dictionary_encode()
-    blobs = _encode_words(path, coded.dictionary.to_pylist())
+    encoder = encoder_of(path)
+    pieces, n = pieces_in(pc.fill_null(texts.cast(pa.large_string()), ""), encoder.plain)
+    coded = pieces.dictionary_encode()
+    blobs = encoder.encode(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
     sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
     pool = np.frombuffer(b"".join(blobs), dtype="<u4")
     starts = np.cumsum(sizes) - sizes
     index = coded.indices.to_numpy(zero_copy_only=False)
-    per_word = sizes[index] if len(index) else np.zeros(0, dtype=np.int64)
-    ids = pool[gather(starts[index] if len(index) else per_word, per_word)]
-    ends = np.concatenate([[0], np.cumsum(per_word)])
-    return ends[offsets[1:] - offsets[0]] - ends[offsets[:-1] - offsets[0]], ids
+    per_piece = sizes[index] if len(index) else np.zeros(0, dtype=np.int64)
+    ids = pool[gather(starts[index] if len(index) else per_piece, per_piece)]
+    ends = np.concatenate([[0], np.cumsum(per_piece)])
+    upto = np.concatenate([[0], np.cumsum(n)])
+    return np.diff(ends[upto]), ids
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
