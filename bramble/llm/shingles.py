@@ -6,19 +6,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from bramble.llm.common import worker_cache
 from bramble.llm.token_files import mix
 
+#: Powers that a worker keeps; longer tables, for longer slices, are made anew each time.
+POWERS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(1 << 20, n + 1)
-        _powers[:] = [np.multiply.accumulate(np.asarray([1] + [b] * (size - 1), dtype=np.uint64)) for b in (_BASE, _INVERSE)]
-    return _powers[0], _powers[1]
+    kept = worker_cache("shingles")
+    if "powers" not in kept or n >= POWERS:
+        made = [np.multiply.accumulate(np.asarray([1] + [b] * max(POWERS - 1, n), dtype=np.uint64)) for b in (_BASE, _INVERSE)]
+        if n >= POWERS:
+            return made[0], made[1]
+        kept["powers"] = made
+    return kept["powers"][0], kept["powers"][1]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +51,21 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
+def low_hashes(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The least hash of each text's pairs of neighbouring words (of its word, if it has one; 0 without words)."""
+    pairs = hashes.copy()
+    with np.errstate(over="ignore"):
+        pairs[:-1] = mix(hashes[:-1] * np.uint64(_BASE) + hashes[1:], 5)
+    ends = np.cumsum(n)
+    inside = np.ones(len(pairs), dtype=bool)
+    inside[(ends - 1)[n > 1]] = False  # the pair of a text's last word reaches into the next text
+    pairs[~inside] = np.uint64(2**64 - 1)
+    out = np.zeros(len(n), dtype=np.uint64)
+    if len(pairs):
+        out[n > 0] = np.minimum.reduceat(pairs, (ends - n)[n > 0])
+    return out
+
+
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes (uint64) of the k-word shingles of each text. A text of fewer words has one, of all its words;
     a text without words has none."""

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,27 @@ def test_exact_dedup(docs, none, clashing, rows):
     assert kept.count(10) == 1 and 1 in kept and not {2, 3} & set(kept) and None in kept
 
 
+def test_keep_first_loses_no_text(spark, docs, clashing, none, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LARGE_ROWS", 2)
+    texts = [(1, "x"), (2, "x"), (2, "unique"), (2, " unique"), (3, None), (4, ""), (None, "x"), (None, "nameless"), (None, "nameless"), (5, "long " * 50_000), (5, "long " * 50_000)]
+    for n in (1, 3):
+        got = exact_dedup.keep_first(spark.createDataFrame(texts, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], norm(r["text"])) for r in got) == [(-1, "nameless"), (1, "x"), (2, " unique"), (2, "unique"), (3, ""), (5, "long " * 50_000)]
+    for table in (docs, clashing):
+        kept = exact_dedup.keep_first(table)
+        assert kept.columns == table.columns and sorted(norm(r["text"]) for r in kept.collect()) == sorted({norm(t) for _, t, *_ in rows})
+    assert exact_dedup.keep_first(none).count() == 0
+
+
+def test_keep_one_loses_no_text(spark, none):
+    base = words(60, 1)
+    texts = [(1, base), (2, base + " tail"), (2, words(40, 2)), (None, words(30, 3)), (None, base + " end"), (None, None), (3, ""), (3, ""), (4, words(30, 3)), (5, words(20, 5))]
+    got = jaccard_join.keep_one(spark.createDataFrame([(i, t, "c") for i, t in texts], "doc_id long, text string, cluster string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted([(1, base), (2, words(40, 2)), (-1, ""), (3, ""), (3, ""), (4, words(30, 3)), (5, words(20, 5))])
+    unique = [(i, t) for i, t in texts if i not in (None, 3)][:2] + [(9, words(30, 9))]
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(spark.createDataFrame(unique, "doc_id long, text string")).collect()) == [1, 9]
+
+
 def test_exact_dedup_plan_is_native(docs):
     plan = exact_dedup.exact_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -192,7 +214,7 @@ def test_mixing_targets_and_permutations():
 
 
 def test_mixed_documents(docs, none, rows):
-    got = mixing.mixed_documents(docs.where("doc_id <> 10"), block_words=4)
+    got = mixing.mixed_documents(docs, block_words=4)
     text = {i: t for i, t, *_ in rows}
     for r in got.collect():
         assert r["n_chars"] == len(r["text"])
@@ -276,7 +298,47 @@ def test_two_edits_in_long_terms():
         w = "".join(w)
         assert set(lexicon.match(w)) == {(i, edits(w, t)) for i, t in enumerate(terms) if edits(w, t) <= allowed[t]}, w
     scorer = toxicity.Scorer({"disgusting": 2.0, "worthless": 2.0}, set())
-    assert [scorer.evidence(w) for w in ("disgusting", "disgustin", "disgsuting", "disgxxting", "dixgxxting", "worhtless")] == pytest.approx([2.0, 1.4, 0.8, 0.8, 0, 0])
+    assert scorer.evidence(["disgusting", "disgustin", "disgsuting", "disgxxting", "dixgxxting", "worhtless"]) == pytest.approx([2.0, 1.4, 0.8, 0.8, 0, 0])
+
+
+def test_toxicity_features_equal_brute_force():
+    rng, lexicon = random.Random(11), {"disgusting": 2.0, "worthless": 3.0, "idiot": 1.5, "scum": 2.5}
+    terms, clean = list(lexicon), {"idiom"}
+    vocabulary = ["idiom", "idiots", "the", "a", "scums", "skum", "disgust", "worth", "less", "Café", "\U0001d4b3\U0001d4b3\U0001d4b3\U0001d4b3\U0001d4b3", "1diot"]
+
+    def word():
+        w = list(rng.choice(terms if rng.random() < 0.3 else vocabulary))
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é", "s"])
+        return rng.choice(["", '"', "("]) + "".join(w) + rng.choice(["", ".", '"', ",", "-" + rng.choice(terms)])
+
+    def evidence(token):
+        best = 0.0
+        for w in toxicity._word.findall(token):
+            for t in terms:
+                d = edits(w, t)
+                if d == 0 or (w not in lexicon and w not in clean and d <= toxicity.edits_for(t)):
+                    best = max(best, lexicon[t] * toxicity.EDIT_FACTOR[d])
+        return best
+
+    texts = [None, "", " \n", *(" ".join(word() for _ in range(rng.randint(1, 40))) for _ in range(150)), "idiot " * 3000]
+    scorer, want = toxicity.Scorer(lexicon, clean), []
+    for text in texts:
+        tokens = (text or "").lower().split()
+        found = [(evidence(t), i) for i, t in enumerate(tokens)]
+        found = [e * (toxicity.QUOTED if scorer.quoted(tokens[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1], min(i, toxicity.WINDOW)) else 1) for e, i in found if e]
+        want.append([sum(found), max(found, default=0), sum(found) / max(1, len(tokens))])
+    for _ in range(2):
+        assert scorer.features(pa.array(texts, pa.string())) == pytest.approx(np.log1p(np.asarray(want)))
+
+
+def test_copies_teach_once(spark):
+    text = words(60, 77) + " blorptastic"
+    rows = [(i, words(40, i)) for i in range(200)] + [(1000 + i, text) for i in range(60)]
+    labels = [(i, int(i % 10 == 0)) for i in range(200)] + [(1000 + i, 1) for i in range(60)]
+    lexicon, *_ = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert lexicon == {}
 
 
 def test_toxicity(spark, none, docs):
