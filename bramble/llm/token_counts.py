@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bramble.llm.common import worker_cache
 from bramble.llm.word_ids import slices, small_batches
 
 #: Entries of the broadcast table: with pre-tokens of at most LONGEST characters, a few MB at any input size.
@@ -19,21 +20,18 @@ FREQUENT, LONGEST = 65_536, 48
 PER_TASK, PRUNE = 8_192, 200_000
 CACHE = 250_000
 
-_models: dict[str, object] = {}
-_caches: dict[str, dict[str, int]] = {}
-_tables: dict[str, dict[str, int]] = {}
-
 
 def _model(path: str):
-    if path not in _models:
+    models = worker_cache("token_counts").setdefault("models", {})
+    if path not in models:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(i) for i in range(model.vocab_size()))
         if any(y == "▁" and x != "▁" for p in pieces for x, y in zip(p, p[1:])):
             raise ValueError("a piece crosses the start of a word: counts would not add up over pre-tokens")
-        _models[path] = model
-    return _models[path]
+        models[path] = model
+    return models[path]
 
 
 def _encoded_lengths(path: str, words: list[str]) -> list[int]:
@@ -86,16 +84,19 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     small_batches(spark)
     top = frequent_pre_tokens(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").toArrow()
     words = top.column("word").to_pylist()
-    lengths = np.minimum(np.asarray(_encoded_lengths(model_path, words), dtype=np.int64), 255).astype(np.uint8)
-    table = spark.sparkContext.broadcast(("\0".join(words), lengths.tobytes()))
+    # of LONGEST characters at most, so of 4 * LONGEST bytes and tokens and a few: 16 bits hold every length
+    lengths = np.asarray(_encoded_lengths(model_path, words), dtype=np.int64)
+    if len(lengths) and lengths.max() >= 1 << 16:
+        raise ValueError("a frequent pre-token has more tokens than the table can hold")
+    table = spark.sparkContext.broadcast(("\0".join(words), lengths.astype("<u2").tobytes()))
     key = uuid.uuid4().hex
 
     def lookup(words: list[str]) -> np.ndarray:
-        if key not in _tables:
-            _tables.clear()
+        kept = worker_cache("token_counts")
+        if kept.get("key") != key:
             text, sizes = table.value
-            _tables[key] = dict(zip(text.split("\0"), sizes, strict=True)) if text else {}
-        tier1, tier2 = _tables[key], _caches.setdefault(model_path, {})
+            kept.update(key=key, frequent=dict(zip(text.split("\0"), np.frombuffer(sizes, "<u2").tolist(), strict=True)) if text else {}, others={})
+        tier1, tier2 = kept["frequent"], kept["others"]
         found = [tier1.get(w) for w in words]
         found = [tier2.get(w) if x is None else x for w, x in zip(words, found, strict=True)]
         missing = [i for i, x in enumerate(found) if x is None]
