@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ from bramble.llm.word_ids import small_batches, trim
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights that repeat over the sources in order, and the most that a target may repeat its source.
 WEIGHTS, MOST = (5, 2, 1), 3
+#: Groups of shards that the driver draws for at most; blocks that a source has at least (where it has as many words; a
+#: twentieth of it where the words themselves are wanted in runs).
+GROUPS, BLOCKS = 64, 2_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> dict[str | None, float]:
@@ -93,41 +97,57 @@ def word_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return stage(placed.select("doc_id", "source", "size", (F.col("base") + F.col("run")).alias("start"), *by_row), "mix-starts")
 
 
-def mixed_slots(sized: DataFrame, block_words: int = 64, slots_per_shard: int = 1 << 16, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(per source: source, source_size, target; slots: shard, source, block, in which every slot is one block taken).
+def mixed_slots(sized: DataFrame, block_words: int = 64, slots_per_shard: int = 1 << 16, seed: int = 7, least_blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """(per source: s, source_size, target, length of its blocks; slots: shard, source, block, in which every slot is one
+    block taken).
 
-    The per-source totals come to the driver: one row per source, whatever the number of documents.
+    A source of few words has shorter blocks, so that whole blocks come near its target. The per-source totals come to the
+    driver: one row per source, whatever the number of documents. It draws for at most GROUPS groups of shards; the shards
+    of a group are drawn where the group is.
     """
     spark = sized.sparkSession
     sizes = {r["source"]: int(r["words"] or 0) for r in sized.groupBy("source").agg(F.sum("size").alias("words")).collect()}
     want, order = targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
-    blocks = np.asarray([-(-sizes[s] // block_words) for s in order], dtype=np.int64)
+    lengths = [max(1, min(block_words, sizes[s] // least_blocks)) for s in order]
+    blocks = np.asarray([-(-sizes[s] // n) for s, n in zip(order, lengths, strict=True)], dtype=np.int64)
     quotas = []
-    for s, n in zip(order, blocks.tolist(), strict=True):
+    for s, n, length in zip(order, blocks.tolist(), lengths, strict=True):
         passes, rest = divmod(want[s], sizes[s]) if sizes[s] else (0, 0)
-        quotas.append(min(MOST * n, int(passes) * n + min(n, round(rest / block_words))))
+        quotas.append(min(MOST * n, int(passes) * n + min(n, round(rest / length))))
+    per_group = slots_per_shard * max(1, -(-sum(quotas) // (slots_per_shard * GROUPS)))
     rows, first = [], np.zeros(len(order), dtype=np.int64)
-    for shard, got in enumerate(draw_shards(np.asarray(quotas, dtype=np.int64), slots_per_shard, seed)):
-        rows += [(shard, order[i], i, int(first[i]), int(n), int(blocks[i])) for i, n in enumerate(got) if n]
+    for group, got in enumerate(draw_shards(np.asarray(quotas, dtype=np.int64), per_group, seed)):
+        rows.append((group, first.tolist(), got.tolist()))
         first += got
-    shares = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in order], "source string, source_size long, target double")
-    drawn = spark.createDataFrame(rows, "shard int, source string, number int, first long, n long, blocks long")
+    shares = spark.createDataFrame([(s, sizes[s], float(want[s]), n) for s, n in zip(order, lengths, strict=True)], "s string, source_size long, target double, length int")
+    groups = spark.createDataFrame(rows, "group int, first array<long>, n array<long>").repartition(shuffle_parts(spark), "group")
+
+    def draw(frames):
+        for pdf in frames:
+            for group, first, n in zip(pdf.group.tolist(), pdf["first"], pdf.n, strict=True):
+                at = np.asarray(first, dtype=np.int64)
+                for i, got in enumerate(draw_shards(np.asarray(n, dtype=np.int64), slots_per_shard, seed + 1 + group)):
+                    some = np.flatnonzero(got)
+                    yield pd.DataFrame({"shard": group * (per_group // slots_per_shard) + i, "number": some, "first": at[some], "n": got[some], "blocks": blocks[some]})
+                    at = at + got
+
+    drawn = groups.mapInPandas(draw, "shard int, number int, first long, n long, blocks long")
     slots = drawn.repartition(shuffle_parts(spark), "shard", "number").withColumn("j", F.explode(F.expr("sequence(first, first + n - 1)")))
 
     def name_blocks(frames):
         for pdf in frames:
-            j, size = pdf.j.to_numpy(), pdf.blocks.to_numpy()
-            key = mix(pdf.number.to_numpy().astype(np.int64) * 1_000_003 + j // size, seed)
-            yield pdf[["shard", "source"]].assign(block=permuted(j % size, size, key))
+            j, size, number = pdf.j.to_numpy(), pdf.blocks.to_numpy(), pdf.number.to_numpy()
+            key = mix(number.astype(np.int64) * 1_000_003 + j // size, seed)
+            yield pd.DataFrame({"shard": pdf.shard, "source": pd.Series([order[i] for i in number], index=pdf.index, dtype=object), "block": permuted(j % size, size, key)})
 
-    return shares, slots.select("shard", "source", "number", "j", "blocks").mapInPandas(name_blocks, "shard int, source string, block long")
+    return shares, slots.select("shard", "number", "j", "blocks").mapInPandas(name_blocks, "shard int, source string, block long")
 
 
-def block_spans(sized: DataFrame, block_words: int) -> DataFrame:
-    """(doc_id, source, start, block, from_word, n): the words of a document that lie in a block of its source."""
-    with_words = sized.where("size > 0")
-    spans = with_words.withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
-    low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
+def block_spans(sized: DataFrame, shares: DataFrame) -> DataFrame:
+    """(doc_id, source, start, size, block, from_word, n): the words of a document that lie in a block of its source."""
+    with_words = sized.where("size > 0").join(F.broadcast(shares.select("s", "length")), F.col("source").eqNullSafe(F.col("s")))
+    spans = with_words.withColumn("block", F.explode(F.expr("sequence(start div length, (start + size - 1) div length)")))
+    low, high = F.greatest("start", F.col("block") * F.col("length")), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     return spans.select("doc_id", "source", "start", "size", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("n"))
 
 
@@ -135,20 +155,21 @@ def taken_words(docs: DataFrame, block_words: int = 64, id_col: str = "doc_id",
     """doc_id, size, source_size, target, taken of every row of docs; taken counts the words that the mix takes of it.
 
     A null text has no words; rows with a null source form the last source; repeated rows are taken separately; an empty
-    table gives no rows; documents without words are taken 0 times. Reruns on the same rows agree: all draws are keyed by
-    seed, id and position.
+    table gives no rows; documents without words are taken 0 times. Rows of equal id and size take their places in the
+    stream in any order, which changes nothing; a very long text spans many blocks. Other columns, whatever their names, are
+    ignored. Reruns on the same rows agree: all draws are keyed by seed, id and position.
     """
     sized = word_sizes(docs, id_col, text_col, source_col, seed)
     shares, slots = mixed_slots(sized, block_words, seed=seed)
     times = slots.groupBy("source", "block").agg(F.count("*").alias("times"))
-    spans = block_spans(sized, block_words)
+    spans = block_spans(sized, shares)
     # slots grow with the words but are planned from the few rows of the draws: the hint keeps them from being broadcast
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
     took = spans.join(times.hint("merge"), same, "left").select(spans["source"], spans["start"], spans["doc_id"], spans["size"], (F.col("n") * F.coalesce("times", F.lit(0))).alias("words"))
     sums = took.groupBy("source", "start", "doc_id", "size").agg(F.sum("words").alias("taken"))
     empty = sized.where("size = 0").select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
     rows = sums.unionByName(empty)
-    return rows.join(F.broadcast(shares.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+    return rows.join(F.broadcast(shares), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -162,9 +183,9 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, id_col: str = "doc_
     small_batches(docs.sparkSession)
     rows = stage(docs.withColumn("bramble_row", F.monotonically_increasing_id()), "mix-rows")
     sized = word_sizes(rows, id_col, text_col, source_col, seed, "bramble_row")
-    _, slots = mixed_slots(sized, block_words, seed=seed)
+    shares, slots = mixed_slots(sized, block_words, seed=seed, least_blocks=BLOCKS // 20)
     times = slots.groupBy("source", "block").agg(F.count("*").cast("int").alias("times"))
-    spans = block_spans(sized.withColumn("doc_id", F.col("row")), block_words)
+    spans = block_spans(sized.withColumn("doc_id", F.col("row")), shares)
     same = spans["source"].eqNullSafe(times["source"]) & (spans["block"] == times["block"])
     taken = spans.join(times.hint("merge"), same).select(spans["doc_id"].alias("bramble_row"), "from_word", "n", "times")
     plans = taken.groupBy("bramble_row").agg(F.sort_array(F.collect_list(F.struct("from_word", "n", "times"))).alias("bramble_plan"))
