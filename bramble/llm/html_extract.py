@@ -9,7 +9,9 @@ content (scripts, forms, navigation, ...) is always removed.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -31,6 +33,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "body": {"head"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+ENDS_P = set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
+BREAKS = ENDS_P | set("body caption col colgroup head html legend optgroup option tbody td tfoot th thead tr".split())
+MUTE = {"audio", "button", "canvas", "object", "select", "svg", "template", "video"}  # no content, but no break either
 NO_CONTENT = set("head script style noscript template iframe object svg canvas audio video nav footer aside form button select input textarea dialog menu".split())
 NAMED = set("ad ads advert adverts advertisement banner cookie cookies consent notice notices sidebar comment comments reply replies respond menu nav navbar navigation breadcrumb breadcrumbs footer masthead promo sponsored sponsor share sharing social related recommended newsletter subscribe signup popup modal login search widget disclaimer".split())
 
@@ -38,10 +43,14 @@ ARTICLE = ("article", "main")
 # What a block is: content, no content by the name of an element around it, no content by its kind.
 CONTENT, BY_NAME, BY_KIND = 0, 1, 2
 NOWHERE = ("", "", False, ())
+#: Characters of an element's path; deeper elements begin a new root of the tree, named by a hash of the path so far.
+LONGEST_PATH = 2_000
 
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_start = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_stop = re.compile("[>\"']")
 _attr = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _digits = re.compile(r"\d+")
+_in_article = re.compile(r"/(article|main)\b")
 
 
 def _name(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -73,26 +82,32 @@ class Page:
         self.stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, as above
         self.named, self.cleared = 0, set()
         self.pieces: list[str] = []
-        at = 0
-        while True:
-            m = _tag.search(html, at)
-            if m is None:
+        self.open: Counter = Counter()  # how often each tag is in the stack
+        self.muted: list[tuple[int, list[str]]] = []  # place in the stack and pieces of the block around a mute element
+        at, last = 0, {c: html.rfind(c) for c in ">\"'"}
+        while at < len(html):
+            begin = html.find("<", at)
+            if begin < 0:
                 self.pieces.append(html[at:])
                 break
-            if m.start() > at:
-                self.pieces.append(html[at : m.start()])
-            at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            self.pieces.append(html[at:begin])
+            m = _start.match(html, begin + 1)
+            if m is None:
+                at = self._skip(html, begin, last)
                 continue
+            end = self._tag_end(html, m.end(), last)
+            if end < 0:
+                break  # a tag that does not end, ends the page
+            tag, at = m[2].lower(), end + 1
             if m[1]:
                 self._close(tag)
+            elif tag in RAW:
+                if not html[m.end() : end].rstrip().endswith("/"):
+                    found = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+                    at = found.end() if found else len(html)
             else:
-                self._open(tag, m[3])
-                if tag in RAW and not m[3].rstrip().endswith("/"):
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                    at = end.end() if end else len(html)
-                    self._close(tag)
+                self._open(tag, html[m.end() : end])
+        self._cut(0)
         self._flush()
         self.blocks = [(path, text, self._what(out, named)) for path, text, out, named in self.found]
         self.children: dict[str, list[str]] = {}
@@ -100,6 +115,46 @@ class Page:
             if not self._what(out, named):
                 self.children.setdefault(path, []).append(name)
 
+    def _skip(self, html: str, begin: int, last: dict[str, int]) -> int:
+        """Past a comment, a declaration or a lone `<`, which is text."""
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            return len(html) if end < 0 else end + 3
+        if html.startswith(("<!", "<?", "</"), begin) and begin < last[">"]:
+            return html.find(">", begin) + 1
+        self.pieces.append("<")
+        return begin + 1
+
+    @staticmethod
+    def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+        """The place of the `>` that ends a tag; one inside a quoted value does not. -1 if there is none."""
+        while at <= last[">"]:
+            m = _stop.search(html, at)
+            if m is None or m[0] == ">":
+                break
+            before = m.start() - 1
+            while before > at and html[before].isspace():
+                before -= 1
+            quoted = html[before] == "=" and m.start() < last[m[0]]
+            at = html.index(m[0], m.end()) + 1 if quoted else m.end()
+        return html.find(">", at)
+
+    def _cut(self, at: int) -> None:
+        """Close the elements from a place in the stack on. Text inside a mute one is no content; the block around it goes on."""
+        self._flush()
+        while self.muted and self.muted[-1][0] >= at:
+            place, around = self.muted.pop()
+            self._drop(place)
+            self.pieces = around
+            if place > at:
+                self._flush()
+        self._drop(at)
+
+    def _drop(self, at: int) -> None:
+        for tag, *_ in self.stack[at:]:
+            self.open[tag] -= 1
+        del self.stack[at:]
+
     def _what(self, out: bool, named: tuple[int, ...]) -> int:
         return BY_KIND if out else CONTENT if self.cleared.issuperset(named) else BY_NAME
 
@@ -116,36 +171,45 @@ class Page:
             self.pieces.append("\n")
             return
         name, out, by_name = _name(tag, attrs)
-        if tag in INLINE and not (out or by_name):
+        if (tag in INLINE or (tag not in BREAKS and self.stack and self.stack[-1][0] == "p")) and not (out or by_name):
             return
-        self._flush()
-        for i in range(len(self.stack) - 1, -1, -1):
+        mute = tag in MUTE
+        if not mute:
+            self._flush()
+        closes = any(self.open[t] for t in CLOSES.get(tag, ())) or (tag in ENDS_P and self.open["p"])
+        for i in range(len(self.stack) - 1, -1, -1) if closes else ():
             open_tag = self.stack[i][0]
-            if open_tag in CLOSES.get(tag, ()) or (open_tag == "p" and tag not in INLINE):
-                del self.stack[i:]
+            if open_tag in CLOSES.get(tag, ()) or (open_tag == "p" and tag in ENDS_P):
+                self._cut(i)
                 break
             if open_tag in SCOPES.get(tag, ()) or open_tag in ("table", "td", "th", "button", "object"):
                 break
         _, path, around, named = self.stack[-1] if self.stack else NOWHERE
         if tag in ARTICLE:
             self.cleared.update(named)
-        if tag == "header" and not any(t in ARTICLE for t, *_ in self.stack):
+        if tag == "header" and not any(self.open[t] for t in ARTICLE):
             out = True
         if by_name:
             self.named += 1
             named = (*named, self.named)
         self.held.append((path, name, around or out, named))
+        if mute:
+            self.muted.append((len(self.stack), self.pieces))
+            self.pieces = []
         if tag not in VOID:
+            if len(path) > LONGEST_PATH:
+                inside = "/article" if _in_article.search(path) else ""
+                path = f"{inside}/{hashlib.blake2b(path.encode(), digest_size=8).hexdigest()}"
             self.stack.append((tag, f"{path}/{name}", around or out, named))
+            self.open[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self.pieces.append("\n")
             return
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
             if self.stack[i][0] == tag:
-                self._flush()
-                del self.stack[i:]
+                self._cut(i)
                 return
         if tag == "p":
             self._flush()
@@ -170,8 +234,6 @@ def _feature_rows(pages: DataFrame) -> DataFrame:
     """(host, path, kind, feature, pages): pages of a host that show a feature; each task counts its own first."""
 
     def count(batches):
-        import hashlib
-
         seen: dict[tuple[str, str, int, int], int] = {}
         for batch in batches:
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -229,7 +291,7 @@ def low_branches(tree: DataFrame) -> DataFrame:
             # an element is as important as its own variety in presentation and the best of what it holds
             composite[p] = max(most, (1 - g) * style.get(p, 0.0) + g * most) if parts else style.get(p, 0.0)
         # no element is less important than what it holds: where one is low, all below it is low as well
-        low = [p for p in content if composite[p] < (LOW_IN_ARTICLE if re.search(r"/(article|main)\b", p) else LOW)]
+        low = [p for p in content if composite[p] < (LOW_IN_ARTICLE if _in_article.search(p) else LOW)]
         return pd.DataFrame({"host": [pdf.host.iloc[0]], "paths": [sorted(low)]})
 
     return tree.groupBy("host").applyInPandas(judge, "host string, paths array<string>")
@@ -240,7 +302,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Blocks stand in page order, parted by one newline; white space inside a block is one space; references are decoded. A
     null or empty page gives an empty text; a null url counts as the host with the empty name; repeated rows are kept; an
-    empty table gives no rows. If the tree would leave nothing of a page, all its content blocks stay; if it has none,
+    empty table gives no rows. Very long and deep pages take time and memory in proportion to their length. Columns of pages
+    are selected by name; others, whatever their names, are ignored. If the tree would leave nothing of a page, all its content blocks stay; if it has none,
     those that only a name marks as no content go by the tree in the same way. Pages of a host that holds most rows are dealt over SALTS copies of its row of the tree.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

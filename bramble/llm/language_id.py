@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from bramble.llm.common import held_out
 from bramble.llm.word_ids import slices, small_batches
 
-#: Characters of labelled text per language, of one labelled text, and bytes of all automata together at most.
-SAMPLE_CHARS, SAMPLE_TEXT, TABLE_BYTES = 40_000, 4_000, 96_000_000
-#: Classes of characters: 0 is anything but a letter, 1 a letter outside the alphabet, the last one padding.
-CLASSES = 64
-PAD = CLASSES - 1
-#: Texts are parsed in blocks of so many characters; no phrase crosses a block.
+#: Characters of labelled text per language, characters of one labelled text that a language takes at most (from anywhere
+#: in it), and bytes of all automata together at most: the bounds of the sample that is learnt from.
+SAMPLE_CHARS, PIECE_CHARS, TABLE_BYTES = 40_000, 4_000, 96_000_000
+#: Letters that a language tells apart at most (its most frequent ones); another letter is a phrase of its own.
+ALPHABET = 250
+#: Classes of characters: 0 is anything but a letter, 1 a letter outside the language's alphabet, the last one padding.
+OTHER = 1
+#: Numbers of letters, over all languages: as the classes, but padding is PAD.
+PAD = 65_535
+#: Texts are parsed whole, in lanes of so many characters; a phrase is cut where a lane ends, in all languages alike.
 BLOCK = 512
 FLAG = 1 << 30
 
@@ -70,11 +74,11 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(moves: list[dict[int, int]]) -> np.ndarray:
-    """Next state for state * CLASSES + class; FLAG is set where the character begins a phrase: at the start state, and where
-    the match cannot grow, from which on the next state follows the start state. A character that the sample lacks is a
-    phrase of its own. Padding stays."""
-    table = np.full((len(moves), CLASSES), -1, dtype=np.int32)
+def parse_table(moves: list[dict[int, int]], classes: int) -> np.ndarray:
+    """Next state for state and class; FLAG is set where the character begins a phrase: at the start state, and where the
+    match cannot grow, from which on the next state follows the start state. A character that the sample lacks is a phrase
+    of its own. The last class is padding and changes nothing."""
+    table = np.full((len(moves), classes), -1, dtype=np.int32)
     for state, out in enumerate(moves):
         for c, to in out.items():
             table[state, c] = to
@@ -82,51 +86,62 @@ def parse_table(moves: list[dict[int, int]]) -> np.ndarray:
     dead = table < 0
     dead[0] = True
     table[dead] = (np.broadcast_to(fresh, table.shape) | FLAG)[dead]
-    table[:, PAD] = np.arange(len(moves))
+    table[:, -1] = np.arange(len(moves))
     return table
 
 
 def phrases(table: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     """Phrases of each lane (a row of classes) against one language."""
-    flat, state = table.ravel(), np.zeros(len(lanes), dtype=np.int64)
-    count = np.zeros(len(lanes), dtype=np.int64)
+    flat, classes = table.ravel(), table.shape[1]
+    state, count = np.zeros(len(lanes), dtype=np.int64), np.zeros(len(lanes), dtype=np.int64)
     for column in np.ascontiguousarray(lanes.T):
-        step = flat[state * CLASSES + column]
+        step = flat[state * classes + column]
         count += step >> 30
         state = (step & (FLAG - 1)).astype(np.int64)
     return count
 
 
-def _train(train: DataFrame, n_langs: int, sample_chars: int) -> tuple[dict[int, int], list[tuple[str, float, np.ndarray]]]:
-    """Alphabet and (language, bits of a phrase, parse table), from at most sample_chars characters a language."""
-    most = int(min(sample_chars, TABLE_BYTES / max(1, n_langs) / (1.6 * CLASSES * 4)))
+def _train(train: DataFrame, n_langs: int, sample_chars: int) -> tuple[dict[int, int], list[tuple[str, float, np.ndarray, np.ndarray]]]:
+    """Letter numbers and (language, bits of a phrase, class of each letter number, parse table) of each language."""
     totals = train.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
-    keep = F.least(F.lit(1.0), 3.0 * most / F.col("chars"))
+    keep = F.least(F.lit(1.0), 3.0 * sample_chars / F.col("chars"))
     picked = train.join(F.broadcast(totals.withColumnRenamed("lang", "l")), F.col("lang") == F.col("l"))
     picked = picked.where((F.pmod(F.col("at"), F.lit(1 << 20)) / float(1 << 20)) < keep).select("lang", "at", "text").orderBy("lang", "at", "text").toPandas()
     kept: dict[str, list[str]] = {}
     for lang, text in zip(picked.lang, picked.text, strict=True):
         so_far = kept.setdefault(lang, [])
-        if sum(map(len, so_far)) < most:
+        if sum(map(len, so_far)) < sample_chars:
             so_far.append(text.lower())
-    letters = pd.Series(list("".join(t for x in kept.values() for t in x))).value_counts() if kept else pd.Series(dtype=int)
-    alphabet = {ord(c): 2 + i for i, c in enumerate([c for c in letters.index if c.isalpha()][: CLASSES - 3])}
+    own = {}
+    for lang, texts in kept.items():
+        seen = pd.Series(list("".join(texts)), dtype=object).value_counts()
+        own[lang] = sorted([c for c in seen.index if c.isalpha()][:ALPHABET])
+    numbers = {ord(c): i for i, c in enumerate(sorted(set().union(*own.values())) if own else (), OTHER + 1)}
+    if len(numbers) > PAD - 2:
+        raise ValueError("more letters than numbers")
     out = []
     for lang in sorted(kept):
-        lanes, _ = _lanes(kept[lang], alphabet)
-        symbols = lanes[lanes != PAD].tolist()[:most]
+        classes = len(own[lang]) + 3
+        of = np.full(PAD + 1, OTHER, dtype=np.uint8)
+        of[[numbers[ord(c)] for c in own[lang]]] = np.arange(2, classes - 1)
+        of[0], of[PAD] = 0, classes - 1
+        lanes, _ = _lanes(kept[lang], numbers)
+        most = int(min(sample_chars, TABLE_BYTES / max(1, n_langs) / (1.6 * classes * 4)))
+        symbols = of[lanes[lanes != PAD]].tolist()[:most]
         if symbols:
-            out.append((lang, float(np.log2(len(symbols) + 1)), parse_table(suffix_automaton(symbols))))
-    return alphabet, out
+            # letters outside of the alphabet differ from each other: no phrase may hold one
+            moves = [{c: to for c, to in out.items() if c != OTHER} for out in suffix_automaton(symbols)]
+            out.append((lang, float(np.log2(len(symbols) + 1)), of, parse_table(moves, classes)))
+    return numbers, out
 
 
-def _lanes(texts: list[str], alphabet: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes of BLOCK classes, text of each lane). Runs of other characters than letters count as one."""
+def _lanes(texts: list[str], numbers: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(lanes of BLOCK letter numbers, text of each lane). Runs of other characters than letters count as one."""
     points, sizes = _code_points(texts)
-    classes = np.zeros(0x110000, dtype=np.uint8)
-    classes[_is_letter()] = 1
-    classes[list(alphabet)] = list(alphabet.values())
-    c = classes[points]
+    number = np.zeros(0x110000, dtype=np.uint16)
+    number[_is_letter()] = OTHER
+    number[list(numbers)] = list(numbers.values())
+    c = number[points]
     text = np.repeat(np.arange(len(texts)), sizes)
     keep = np.ones(len(c), dtype=bool)
     if len(c):
@@ -137,7 +152,7 @@ def _lanes(texts: list[str], alphabet: dict[int, int]) -> tuple[np.ndarray, np.n
     lane_text = np.repeat(np.arange(len(texts)), per)
     first_lane = np.cumsum(per) - per
     place = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
-    lanes = np.full((len(lane_text), BLOCK), PAD, dtype=np.uint8)
+    lanes = np.full((len(lane_text), BLOCK), PAD, dtype=np.uint16)
     lanes[first_lane[text] + place // BLOCK, place % BLOCK] = c
     return lanes, lane_text
 
@@ -145,34 +160,36 @@ def _lanes(texts: list[str], alphabet: dict[int, int]) -> tuple[np.ndarray, np.n
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
-    Languages are learnt from text and non-null lang of rows that are not held out, by a hashed sample of at most
-    sample_chars characters a language (less where many languages would exceed TABLE_BYTES of tables in a worker). A text
+    Languages are learnt from text and non-null lang of rows that are not held out: from a hashed sample of rows, and from
+    PIECE_CHARS characters of each at a hashed place, until a language has sample_chars characters (less where many
+    languages would exceed TABLE_BYTES of tables in a worker). All texts are parsed whole, however long. A text
     that is null or has no letter, or any text when nothing could be learnt, gets `und` with score 0. Ties go to the first
     language by code point. The score is the winner's share when each language weighs 2 to the power of minus its bits per
     character, over 32 characters at most. A null id is passed on and counts as not held out for the flag; repeated rows
-    give repeated rows.
+    give repeated rows, and rows that repeat an id with another text their own. Other columns, whatever their names, are
+    ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held_out"))
-    train = rows.where("not held_out and lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("at"), F.substring("text", 1, SAMPLE_TEXT).alias("text"))
+    train = rows.where("not held_out and lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("at"), F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {PIECE_CHARS} + 1)), {PIECE_CHARS})").alias("text"))
     n_langs = train.select("lang").distinct().count()
-    alphabet, learnt = _train(train, n_langs, sample_chars)
-    model = spark.sparkContext.broadcast((alphabet, learnt))
+    numbers, learnt = _train(train, n_langs, sample_chars)
+    model = spark.sparkContext.broadcast((numbers, learnt))
 
     def predict(batches):
-        alphabet, learnt = model.value
-        bits = np.asarray([b for _, b, _ in learnt])
-        names = np.asarray([n for n, _, _ in learnt], dtype=object)
+        numbers, learnt = model.value
+        bits = np.asarray([b for _, b, *_ in learnt])
+        names = np.asarray([n for n, *_ in learnt], dtype=object)
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 texts = pc.fill_null(pc.utf8_lower(part.column("text").cast(pa.large_string())), "").to_pylist()
-                lanes, lane_text = _lanes(texts, alphabet)
+                lanes, lane_text = _lanes(texts, numbers)
                 chars = np.bincount(lane_text, weights=(lanes != PAD).sum(axis=1), minlength=len(texts))
                 has_letter = np.bincount(lane_text, weights=((lanes != PAD) & (lanes != 0)).any(axis=1), minlength=len(texts)) > 0
                 pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
                 if learnt and has_letter.any():
-                    cost = np.stack([np.bincount(lane_text, weights=phrases(t, lanes), minlength=len(texts)) for _, _, t in learnt]) * bits[:, None] / np.maximum(chars, 1)
+                    cost = np.stack([np.bincount(lane_text, weights=phrases(t, of[lanes]), minlength=len(texts)) for _, _, of, t in learnt]) * bits[:, None] / np.maximum(chars, 1)
                     best = cost.argmin(axis=0)
                     share = 2.0 ** (-(cost - cost.min(axis=0)) * np.minimum(chars, 32))
                     pred = np.where(has_letter, names[best], "und")

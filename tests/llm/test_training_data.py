@@ -235,7 +235,7 @@ def test_mixed_documents_of_equal_ids(spark):
 def test_suffix_automaton_parse():
     text, table = "abracadabra", None
     moves = language_id.suffix_automaton([ord(c) - 95 for c in text])
-    table = language_id.parse_table(moves)
+    table = language_id.parse_table(moves, 64)
 
     def brute(s):
         n, at = 0, 0
@@ -247,7 +247,7 @@ def test_suffix_automaton_parse():
         return n
 
     for s in ("abra", "cadabrac", "zzz", "abracadabraabra", "r"):
-        lane = np.asarray([[min(ord(c) - 95, 60) for c in s] + [language_id.PAD] * 4], dtype=np.uint8)
+        lane = np.asarray([[min(ord(c) - 95, 60) for c in s] + [63] * 4], dtype=np.uint8)
         assert language_id.phrases(table, lane)[0] == brute(s)
 
 
@@ -265,6 +265,16 @@ def test_language_id(spark, none, docs):
     assert language_id.identify(none).count() == 0 and language_id.identify(docs).count() == docs.count()
 
 
+def test_language_id_of_many_letters(spark):
+    # scripts of more letters than an alphabet holds, and labelled texts longer than the sample
+    rng = random.Random(6)
+    script = {"aa": [chr(0x4E00 + i) for i in range(900)], "bb": [chr(0xAC00 + i) for i in range(900)], "cc": [chr(0x4E00 + 450 + i) for i in range(900)]}
+    odds = [1 / (i + 5) for i in range(900)]
+    rows = [(i, "".join(rng.choices(script[l], odds, k=9_000 if i < 9 else 120)), l) for i, l in enumerate([*script] * 50)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert np.mean([got[i] == l for i, _, l in rows if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.9
+
+
 def edits(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -408,6 +418,25 @@ def test_html_names(spark):
     assert all(mixed[i] == f"words {i}" for i in range(9))
 
 
+def test_html_blocks():
+    blocks = lambda html: [t for _, t, what in html_extract.Page(html).blocks if what == html_extract.CONTENT]
+    assert blocks("<p>x<script>if (a</p>b) </script>y</p>z") == ["xy", "z"]
+    assert blocks("<p>x <button>go <div>on</div></button> y <svg><text>s</text></svg>z<p>w <video>v</p>u") == ["x y z", "w", "u"]
+    assert blocks("<p>a<x-y>b</x-y>c<div>d</div>e") == ["abc", "d", "e"]
+    assert blocks("<p>1 < 2 <b title='>'>and</b> 3 > 2</p><p it's>fine</p><p title = \"a'>b\">so<!-- <p> --> on<? x ?></p>") == ["1 < 2 and 3 > 2", "fine", "so on"]
+    assert blocks("<p>a</p><p title=\"never closed>b</p>") == ["a", "b"] and blocks("<p>a</p><p tail") == ["a"]
+
+
+def test_html_of_great_length_and_depth():
+    import time
+
+    began = time.process_time()
+    for html in ("<div>" * 30_000 + "deep", "<a " * 300_000, "<a '" * 200_000, "<p title=\"" * 200_000, "<" * 300_000, "<!-- " * 100_000):
+        page = html_extract.Page(html)
+        assert sum(len(p) for p, *_ in page.held) < 150_000_000
+    assert html_extract.Page("<main>" + "<div class='abcdefgh'>" * 1_000 + "deep").blocks[0][0].startswith("/article/") and time.process_time() - began < 60
+
+
 def find(root, i):
     while root[i] != i:
         i = root[i]
