@@ -102,11 +102,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
 
     A bin with at most `slack` tokens free is final. Each round gathers the other bins into 1 / fan_in as many
     partitions; it stops after one partition has packed all that is left or when a round saves next to nothing. A bin's
-    members travel with it (at most capacity of them), so no map of bins is joined. An empty table gives no rows.
+    members travel with it (at most capacity of them), so no map of bins is joined. An empty table gives no rows. Rows of
+    equal id, and items of equal size, go to any of the bins that fit as well. A very long text is cut into pieces where it
+    is encoded. Other columns, whatever their names, are ignored.
     """
     schema = f"fill int, members array<{MEMBER}>"
     single = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
-    items = pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col).select(F.col("length").alias("fill"), F.array(single).alias("members"))
+    # written once, so that a task holds the tokenizer or a packer, never both
+    pieces = stage(pieces_of(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pack-pieces")
+    items = pieces.select(F.col("length").alias("fill"), F.array(single).alias("members"))
     pack = _packer(capacity, rows_at_once)
     parts, done, before = shuffle_parts(docs.sparkSession), [], None
     bins = stage(items.mapInPandas(pack, schema), "pack")

@@ -29,7 +29,7 @@ EDIT_FACTOR = (1.0, 0.7, 0.4)
 #: Tokens on either side of a hit that are looked at, and the factor of a quoted or reported hit.
 WINDOW, QUOTED = 6, 0.3
 #: Tokens that a worker keeps in each of two generations, words of a task's counter, states of an automaton.
-CACHE, COUNTED, STATES = 150_000, 50_000, 20_000
+CACHE, COUNTED, STATES = 100_000, 50_000, 20_000
 #: Bits of the first look at a shortened form, and shortened forms that are hashed at a time.
 FORM_BITS, FORMS = 22, 1 << 20
 # Quotation marks, and words by which a text reports another's words.

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from bramble.llm.common import worker_cache
 
-#: Pieces that a worker keeps in each of two generations, of at most LONGEST characters: some 80 MB in all.
-KEPT, LONGEST = 200_000, 48
+#: Pieces that a worker keeps in each of two generations, of at most LONGEST characters: some 50 MB in all.
+KEPT, LONGEST = 120_000, 48
 #: Bytes of text that are handled at a time inside a task, and rows of an Arrow batch.
 SLICE_BYTES, BATCH_ROWS = 3_000_000, 1_000
 # Fixed values of the format of a tokenizer whose words can be handed to its merges directly.
