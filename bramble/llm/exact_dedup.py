@@ -73,15 +73,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by id and text, so a row goes only if an equal text stays. Of rows with equal texts and ids (null
     ids count as equal) any one stays; a null id stays only where no equal text has an id. Columns of docs may have any
-    names but bramble_id and bramble_full.
+    names that do not begin with bramble_.
     """
     fate = stage(_fates(docs, id_col, text_col, prefix_chars, False).where("group_size > 1"), "dedup-fate")
     named = fate.select(F.col("doc_id").alias("bramble_id"), F.col("full").alias("bramble_full"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    # only rows whose id is marked in a bitmap of fixed size may go: other rows, nearly all, are not shuffled
+    slot = F.pmod(F.xxhash64(F.col("bramble_id")), F.lit(BITMAP_WORDS * 64))
+    marked = named.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("bramble_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bramble_bits"))
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast(fate.schema["doc_id"].dataType)), F.lit(BITMAP_WORDS * 64))
+    flag = F.coalesce(F.col("bramble_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bramble_spot") % 64).cast("int"))) != 0, F.lit(False))
+    flagged = docs.withColumn("bramble_spot", spot).withColumn("bramble_word", F.expr("bramble_spot div 64")).join(F.broadcast(marked), "bramble_word", "left").withColumn("bramble_flag", flag)
+    sure, maybe = flagged.where("not bramble_flag").select(*docs.columns), flagged.where("bramble_flag").select(*docs.columns)
     full = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
     same = F.col(id_col).eqNullSafe(F.col("bramble_id")) & (full == F.col("bramble_full"))
-    kept = docs.join(named.where("not kept").drop("kept").distinct(), same, "left_anti")
+    kept = maybe.join(named.where("not kept").drop("kept").distinct(), same, "left_anti")
     again = named.where("kept").groupBy("bramble_id", "bramble_full").count().where("count > 1").drop("count")
     if not again.limit(1).count():
-        return kept
+        return sure.unionByName(kept)
     repeats = kept.join(again, same, "left_semi").withColumn("bramble_full", full).dropDuplicates([id_col, "bramble_full"]).drop("bramble_full")
-    return kept.join(again, same, "left_anti").unionByName(repeats)
+    return sure.unionByName(kept.join(again, same, "left_anti")).unionByName(repeats)
