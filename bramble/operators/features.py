@@ -101,13 +101,22 @@ def label_spheres(doc_labels: DataFrame, features: DataFrame) -> tuple[DataFrame
 
 def window_counts(docs: DataFrame, tokens: Column, width: int = 20) -> tuple[DataFrame, DataFrame]:
     """(words(word, n), pairs(a, b, n), windows are runs of `width` tokens): a word counts once per window; a pair counts
-    each of its occurrences in a window in both orders, the same word twice is no pair."""
-    wins = docs.select(F.explode(T.windows(tokens, width)).alias("w"))
-    words = wins.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    left = wins.select("w", F.posexplode("w").alias("i", "a"))
-    both = left.select("i", "a", F.posexplode("w").alias("j", "b")).where((F.col("j") < F.col("i")) & (F.col("a") != F.col("b")))
-    either = both.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    return words, either.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    each of its occurrences in a window in both orders, the same word twice is no pair.
+
+    Windows are not built: a pair of places is in as many windows as begin between (later place - width + 1) and the
+    earlier place, and a word adds, at each place, the windows that begin after its place before.
+    """
+    texts = docs.select(tokens.alias("w")).where(F.size("w") > 0).select("w", F.greatest(F.size("w") - width, F.lit(0)).alias("last"))
+    first = lambda place: F.greatest(F.lit(0), place - (width - 1))
+    starts = lambda low, high: F.greatest(F.lit(0), F.least(high, F.col("last")) - F.least(low, F.col("last") + 1) + 1).cast("long")
+    placed = texts.select(F.monotonically_increasing_id().alias("text"), "w", "last").select("text", "last", F.posexplode("w").alias("i", "word"))
+    before = F.coalesce(F.lag("i").over(Window.partitionBy("text", "word").orderBy("i")), F.lit(-1))
+    words = placed.select("word", starts(F.greatest(first(F.col("i")), before + 1), F.col("i")).alias("k")).groupBy("word").agg(F.sum("k").alias("n"))
+    left = texts.select("w", "last", F.posexplode("w").alias("i", "a"))
+    both = left.select("last", "i", "a", F.posexplode(F.slice("w", F.col("i") + 2, F.lit(width - 1))).alias("d", "b")).where(F.col("a") != F.col("b"))
+    one = both.groupBy("a", "b").agg(F.sum(starts(first(F.col("i") + 1 + F.col("d")), F.col("i"))).alias("n"))
+    either = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    return words, either.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def pmi(words: DataFrame, pairs: DataFrame, n_windows: DataFrame) -> DataFrame:

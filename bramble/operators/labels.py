@@ -115,9 +115,8 @@ def fixed_candidates(candidates: DataFrame, all_labels: DataFrame, n: int, seed:
     docs = candidates.select("doc_id").distinct()
     own = candidates.select("doc_id", "label", F.lit(True).alias("own"))
     # n labels that are none of a document's own are enough padding, and n + (its own) hashed labels always hold them
-    order = Window.orderBy(hash32(seed, "label"), "label")
     most = candidates.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
-    pool = all_labels.select("label").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= n + most).select("label")
+    pool = all_labels.select("label").distinct().orderBy(hash32(seed, "label"), "label").limit(n + most)
     pads = docs.crossJoin(F.broadcast(pool)).join(own.select("doc_id", "label"), ["doc_id", "label"], "left_anti").withColumn("own", F.lit(False))
     ranked = own.unionByName(pads).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own"), hash32(seed, "doc_id", "label"), "label")))
     return ranked.where(F.col("r") <= n).select("doc_id", "label", "own")

@@ -149,6 +149,33 @@ def filtered_ranks(scores: DataFrame, facts: DataFrame, gold: DataFrame) -> Data
     return target.join(better, ["key", "gold"], "left").select("key", F.col("gold").alias("label"), (F.coalesce("count", F.lit(0)) + 1).alias("rank"))
 
 
+def shared_filtered_ranks(scores: DataFrame, facts: DataFrame, gold: DataFrame) -> DataFrame:
+    """filtered_ranks where a label(label, score) scores the same for every key: no key meets every label.
+
+    The rank is 1 + the labels that score more than the gold one - the key's own facts among them. Labels above a score
+    are counted over distinct scores.
+    """
+    known = facts.select("key", "label").distinct()
+    per_score = scores.groupBy("score").count()
+    above = F.coalesce(F.sum("count").over(Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = gold.select("key", F.col("label").alias("gold")).join(scores.select(F.col("label").alias("gold"), F.col("score").alias("gold_score")), "gold")
+    target = target.join(per_score.select(F.col("score").alias("gold_score"), above.alias("above")), "gold_score")
+    own = known.join(scores, "label").join(target, "key").where(F.col("score") > F.col("gold_score")).groupBy("key", "gold").count()
+    return target.join(own, ["key", "gold"], "left").select("key", F.col("gold").alias("label"), (1 + F.col("above") - F.coalesce("count", F.lit(0))).alias("rank"))
+
+
+def question_coverage(answers: DataFrame) -> DataFrame:
+    """(section, questions, known, coverage): per cent of the questions(section, right) whose words are all known."""
+    n = answers.groupBy("section").agg(F.count("*").alias("questions"), F.count("right").alias("known"))
+    return n.withColumn("coverage", 100 * F.col("known") / F.col("questions"))
+
+
+def unknown_pairs(pairs: DataFrame) -> DataFrame:
+    """(pairs, known, oov): per cent of the pairs(similarity) with an unknown word, which have no similarity."""
+    n = pairs.agg(F.count("*").alias("pairs"), F.count("similarity").alias("known"))
+    return n.withColumn("oov", 100 * (F.col("pairs") - F.col("known")) / F.col("pairs"))
+
+
 def hits_at(ranks: DataFrame, ks: list[int]) -> DataFrame:
     return ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"hits_at_{k}") for k in ks])
 

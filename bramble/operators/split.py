@@ -42,9 +42,31 @@ def per_tree_sample(docs: DataFrame, trees: int, fraction: float, seed: int = 42
     return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).where(uniform(seed, "tree", "doc_id") < fraction).select("tree", "doc_id")
 
 
-def bagged(docs: DataFrame, members: int, ratio: float, seed: int = 42) -> DataFrame:
-    """(member, doc_id): a member trains on the documents whose hash falls below the ratio."""
-    return per_tree_sample(docs, members, ratio, seed).withColumnRenamed("tree", "member")
+def per_tree_count(docs: DataFrame, trees: int, n: int, seed: int = 42) -> DataFrame:
+    """(tree, doc_id): for every tree the n first documents in its own hashed order."""
+    out = None
+    for tree in range(trees):
+        one = docs.select(F.lit(tree).alias("tree"), "doc_id").orderBy(hash32(seed, F.lit(tree), "doc_id"), "doc_id").limit(n)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def last_share(docs: DataFrame, share: float = 0.1, order: str = "doc_id") -> DataFrame:
+    """(doc_id, is_validation): the last share of the documents in their order, by dense numbers of a range sort."""
+    from bramble.operators.labels import _numbered
+
+    n = docs.count()
+    rows = _numbered(docs.select("doc_id", F.col(order).alias("_order")), ["_order", "doc_id"], "_place")
+    return rows.select("doc_id", (F.col("_place") >= n - int(n * share)).alias("is_validation"))
+
+
+def bagged(docs: DataFrame, members: int, ratio: float, seed: int = 42, content: str = "doc_id") -> DataFrame:
+    """(member, doc_id): a member trains on the documents whose hash, of the id or of a column of their content, falls below
+    the ratio; rows of equal content share their members."""
+    from bramble.functions.hashing import uniform
+
+    rows = docs.select("doc_id", F.col(content).alias("_content"), F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"))
+    return rows.where(uniform(seed, "member", "_content") < ratio).select("member", "doc_id")
 
 
 def shuffled(docs: DataFrame, seed: int = 42) -> DataFrame:

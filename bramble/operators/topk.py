@@ -25,6 +25,12 @@ def merge_batches(batches: list[DataFrame], k: int) -> DataFrame:
     return top_k(out, k)
 
 
+def merge_numbered_batches(scores: DataFrame, k: int, batch: str = "batch") -> DataFrame:
+    """As merge_batches, of any number of label batches that a column tells apart."""
+    best = top_k(scores.select("doc_id", "label", "score", batch), k, by=["doc_id", batch])
+    return top_k(best.drop("rank", batch), k)
+
+
 def sum_ensemble(members: list[DataFrame], k: int, logits: bool = False) -> DataFrame:
     """Sum of the members' scores (through a sigmoid if they are logits) and the top-k of the sum."""
     rows = members[0].select("doc_id", "label", "score")

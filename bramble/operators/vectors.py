@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +53,45 @@ def subword_vectors(words: DataFrame, gram_vectors: DataFrame, least: int = 3, m
     return mean_vectors(grams.join(gram_vectors, "gram").select("word", "vector"), "word")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, banned: DataFrame | None = None, by: str = "query", blocks: int = 8) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, banned: DataFrame | None = None, by: str = "query", apart: str | None = None, query_block: int = 1_024, vector_block: int = 32_768) -> DataFrame:
     """(query, rank, id, similarity): the k vectors of largest cosine for each of a stated set of queries.
 
-    All vectors are compared with all queries: queries are dealt in blocks, so no task meets them all, and each task
-    keeps k a query before the shuffle. banned(query, id) leaves rows out.
+    All vectors are compared with all queries, block by block: a task multiplies a block of queries by a block of vectors
+    and hands on k a query. banned(query, id), few a query, leaves rows out; so does an equal value in the column `apart`
+    of both tables. A zero vector has cosine 0 to all.
     """
-    q = queries.select(F.col(by).alias("query"), unit(F.col("vector")).alias("q"), F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int").alias("block"))
-    v = vectors.select("id", unit(F.col("vector")).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = v.join(q, "block").select("query", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
-    if banned is not None:
-        pairs = pairs.join(banned, ["query", "id"], "left_anti")
-    best = top_k(pairs, k, by="query", score="similarity", tie="id")
-    return best.select("query", "rank", "id", "similarity")
+    other = F.col(apart).cast("string") if apart else F.lit(None).cast("string")
+    q = queries.select(F.col(by).alias("query"), unit(F.col("vector")).alias("v"), other.alias("apart"))
+    out = F.lit(None).cast(vectors.schema["id"].dataType)
+    if banned is None:
+        q = q.withColumn("banned", F.array(out))
+    else:
+        q = q.join(banned.groupBy("query").agg(F.collect_set("id").alias("banned")), "query", "left").withColumn("banned", F.coalesce("banned", F.array(out)))
+    rows, columns = (max(1, -(-t.count() // n)) for t, n in ((queries, query_block), (vectors, vector_block)))
+    q = q.withColumn("r", F.pmod(F.xxhash64("query"), F.lit(rows)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    v = vectors.select("id", unit(F.col("vector")).alias("v"), other.alias("apart")).withColumn("c", F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": [], "id": [], "similarity": []})
+        right = right.sort_values("id").reset_index(drop=True)
+        found = np.round(np.stack(left.v.to_numpy()) @ np.stack(right.v.to_numpy()).T, 6)
+        place, parts = pd.Index(right.id), []
+        for i, (query, own, out) in enumerate(zip(left["query"], left.apart, left.banned, strict=True)):
+            score = found[i]
+            hidden = place.get_indexer([x for x in out if x is not None])
+            score[hidden[hidden >= 0]] = -np.inf
+            if own is not None:
+                score[(right.apart == own).to_numpy()] = -np.inf
+            least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+            at = np.flatnonzero((score >= least) & (score > -np.inf))
+            at = at[np.argsort(-score[at], kind="stable")][:k]  # ties go to the least id
+            parts.append(pd.DataFrame({"query": query, "id": right.id.to_numpy()[at], "similarity": score[at]}))
+        return pd.concat(parts, ignore_index=True)
+
+    schema = f"query {q.schema['query'].dataType.simpleString()}, id {v.schema['id'].dataType.simpleString()}, similarity double"
+    pairs = q.groupBy("r", "c").cogroup(v.groupBy("r", "c")).applyInPandas(best, schema)
+    return top_k(pairs, k, by="query", score="similarity", tie="id").select("query", "rank", "id", "similarity")
 
 
 def analogy_queries(questions: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,8 +124,12 @@ def negative_table(vocabulary: DataFrame) -> DataFrame:
     w = F.sqrt(F.col("n"))
     ids = vocabulary_index(vocabulary).where("type = 'word'")
     total = ids.agg(F.sum(w).alias("total"))
-    upto = F.sum(w).over(Window.orderBy("token_id"))
-    rows = ids.withColumn("cum", upto).crossJoin(F.broadcast(total))
+    # running sums inside runs of ids, and over the runs' totals: no task meets the whole vocabulary
+    runs = ids.withColumn("run", F.expr("token_id div 10000"))
+    before = F.coalesce(F.sum("s").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    bases = runs.groupBy("run").agg(F.sum(w).alias("s")).select("run", before.alias("base"))
+    upto = F.sum(w).over(Window.partitionBy("run").orderBy("token_id"))
+    rows = runs.withColumn("upto", upto).join(bases, "run").withColumn("cum", F.col("base") + F.col("upto")).crossJoin(F.broadcast(total))
     return rows.select("token", ((F.col("cum") - w) / F.col("total")).alias("low"), (F.col("cum") / F.col("total")).alias("high"))
 
 
@@ -107,7 +139,10 @@ def product_quantize(vectors: DataFrame, dsub: int, centroids: int = 16, rounds:
     from pyspark.ml.functions import array_to_vector
 
     n = vectors.count()
-    dim = vectors.select(F.size("vector")).first()[0]
+    row = vectors.select(F.size("vector").alias("dim")).first()
+    if row is None:
+        return vectors.select("id", F.array().cast("array<int>").alias("codes")), []
+    dim = row["dim"]
     sample = vectors.where(uniform(seed, "id") < min(1.0, fit_on / max(n, 1)))
     out, books = vectors.select("id", "vector"), []
     for part in range(0, dim, dsub):

@@ -114,6 +114,20 @@ def p21(s, d):
     return per_tree_sample(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), 3, 0.4)
 
 
+@query("p21_counted_rows_per_tree", "SELECT tree, o_orderkey AS doc_id FROM orders, (SELECT unnest([0, 1, 2]) AS tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY ('0x' || substr(md5('42|' || tree || '|' || o_orderkey), 1, 8))::BIGINT, o_orderkey) <= 500")
+def p21b(s, d):
+    from bramble.operators.split import per_tree_count
+
+    return per_tree_count(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), 3, 500)
+
+
+@query("t21_bagging_by_content", "SELECT member, doc_id FROM documents, (SELECT unnest([0, 1]) AS member) WHERE ('0x' || substr(md5('42|' || member || '|' || coalesce(text, '')), 1, 8))::BIGINT / 4294967296 < 0.8")
+def t21b(s, d):
+    from bramble.operators.split import bagged
+
+    return bagged(v.documents(s, d), 2, 0.8, content="text")
+
+
 @query("t21_bagging", "SELECT member, o_orderkey AS doc_id FROM orders, (SELECT unnest([0, 1]) AS member) WHERE ('0x' || substr(md5('42|' || member || '|' || o_orderkey), 1, 8))::BIGINT / 4294967296 < 0.8")
 def t21(s, d):
     from bramble.operators.split import bagged
@@ -349,10 +363,11 @@ def f13(s, d):
     return V.mean_vectors(e, "label", F.col("w").cast("double")).select("label", F.posexplode("vector").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("f18_multi_hot", with_views("SELECT doc_id, array_to_string([(list_contains(l, i))::INTEGER FOR i IN range(0, 26)], '') AS hot FROM (SELECT doc_id, list(CAST(substr(label, 7) AS BIGINT)) AS l FROM order_labels GROUP BY doc_id)", "order_labels"))
+@query("f18_multi_hot", with_views("SELECT doc_id, array_to_string([(list_contains(l, i))::INTEGER FOR i IN range(0, (SELECT max(CAST(substr(label, 7) AS BIGINT)) + 1 FROM order_labels))], '') AS hot FROM (SELECT doc_id, list(CAST(substr(label, 7) AS BIGINT)) AS l FROM order_labels GROUP BY doc_id)", "order_labels"))
 def f18(s, d):
     ids = v.order_labels(s, d).groupBy("doc_id").agg(F.collect_set(F.expr("cast(substr(label, 7) as int)")).alias("l"))
-    return ids.select("doc_id", F.array_join(F.transform(S.multi_hot(F.col("l"), 26), lambda x: x.cast("string")), "").alias("hot"))
+    width = v.order_labels(s, d).agg(F.max(F.expr("cast(substr(label, 7) as int)"))).first()[0]
+    return ids.select("doc_id", F.array_join(F.transform(S.multi_hot(F.col("l"), (width or 0) + 1), lambda x: x.cast("string")), "").alias("hot"))
 
 
 @query("f19_label_strings", "SELECT n_nationkey AS id, '__label__' || replace(trim(n_name || ' x'), ' ', '_') AS label FROM nation UNION ALL SELECT p_partkey, '__label__' || replace(trim(p_name), ' ', '_') FROM part")

@@ -10,6 +10,7 @@ from bramble.operators import matcher, metrics, topk, weights
 from bramble.operators import vectors as V
 from bramble.plans import views as v
 from bramble.plans.registry import query
+from bramble.plans.shared import stage
 from bramble.plans.views import with_views
 
 R6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
@@ -26,6 +27,12 @@ def a02(s, d):
     return per_doc.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
+@query("a02_corpus_totals", with_views("SELECT (SELECT count(*) FROM tokens) AS tokens, count(*) AS documents, (SELECT count(DISTINCT token) FROM tokens) AS words FROM documents", "tokens"))
+def a02b(s, d):
+    t = v.tokens(s, d).agg(F.count("*").alias("tokens"), F.count_distinct("token").alias("words"))
+    return t.crossJoin(v.documents(s, d).agg(F.count("*").alias("documents"))).select("tokens", "documents", "words")
+
+
 @query("a03_matcher_counts", with_views("SELECT key, label, n FROM key_counts", "key_counts"))
 def a03(s, d):
     return v.key_counts(s, d)
@@ -83,12 +90,26 @@ def a09(s, d):
 
 @query("s19_weights_to_propensity", with_views(f"SELECT label, round(1 / (1 + (ln({N}) - 1) * power(2.5, 0.55) * power(n + 1.5, -0.55)), 6) AS propensity FROM label_counts", "label_counts"))
 def s19(s, d):
-    from bramble.plans.shared import stage
-
     kept = stage(weights.label_weights(v.order_labels(s, d), "propensity"), "weights")
     return kept.select("label", F.round(1 / F.col("weight"), 6).alias("propensity"))
 
 
+def _scored_keys(s, d):
+    return v.key_scores(s, d).withColumnRenamed("key", "doc_id")
+
+
+def _popular_keys(s, d):
+    """(doc_id = key, label, score): the share of each label, the same for every key."""
+    counts = L.counts(v.order_labels(s, d))
+    share = counts.crossJoin(counts.agg(F.sum("n").alias("total"))).select("label", F.round(F.col("n") / F.col("total"), 9).alias("score"))
+    return v.order_keys(s, d).select(F.col("key").alias("doc_id")).distinct().join(share)
+
+
+def _of_keys(s, d, ranked):
+    """Rows ranked once a key (doc_id = key), for each document of the key."""
+    return v.order_keys(s, d).join(ranked.withColumnRenamed("doc_id", "key"), "key").drop("key")
+
+
 MACRO = """SELECT k, round(avg(h / k), 6) AS p, round(avg(h / t), 6) AS r, round(2 * avg(h / k) * avg(h / t) / (avg(h / k) + avg(h / t)), 6) AS f1
     FROM (SELECT doc_id, k, any_value(n_truth) AS t, sum(CASE WHEN rank <= k THEN hit ELSE 0 END) AS h FROM hits, (SELECT unnest([1, 2, 3]) AS k) GROUP BY doc_id, k) GROUP BY k"""
 
@@ -156,15 +177,14 @@ def a28(s, d):
     SELECT model, k, round(avg(c / k), 6) AS p, round(avg(c / t), 6) AS r FROM (SELECT model, doc_id, k, any_value(t) AS t, sum(CASE WHEN rank <= k THEN hit ELSE 0 END) AS c
     FROM h, (SELECT unnest([1, 3, 5]) AS k) GROUP BY model, doc_id, k) GROUP BY model, k""", "scores", "label_counts"))
 def a29(s, d):
-    by_key = v.scores(s, d).select("doc_id", "label", "score")
-    counts = L.counts(v.order_labels(s, d))
-    total = counts.agg(F.sum("n").alias("total"))
-    popular = v.order_keys(s, d).select("doc_id").crossJoin(F.broadcast(counts.crossJoin(total).select("label", F.round(F.col("n") / F.col("total"), 9).alias("score"))))
-    truth = v.order_labels(s, d)
+    # scores depend on a document's key alone: members are ranked and summed once a key
+    by_key, popular = stage(_scored_keys(s, d), "by-key"), stage(_popular_keys(s, d), "popular")
+    truth = stage(v.order_labels(s, d), "truth")
     tops = [topk.top_k(by_key, 5).withColumn("model", F.lit("by key")), topk.top_k(popular, 5).withColumn("model", F.lit("popular")), topk.sum_ensemble([by_key, popular], 5).withColumn("model", F.lit("sum"))]
     rows = tops[0]
     for t in tops[1:]:
         rows = rows.unionByName(t)
+    rows = _of_keys(s, d, rows)
     sizes = truth.groupBy("doc_id").agg(F.count("*").alias("n_truth"))
     h = rows.join(sizes, "doc_id").join(truth.withColumn("hit", F.lit(1)), ["doc_id", "label"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     return metrics.set_metrics(h, "model", [1, 3, 5]).select("model", "k", *R6("p", "r"))
@@ -199,10 +219,9 @@ def a32(s, d):
     SELECT round(avg((rank <= 1)::INTEGER), 6) AS hits_at_1, round(avg((rank <= 10)::INTEGER), 6) AS hits_at_10 FROM r""")
 def a33(s, d):
     facts = v.table(s, d, "lineitem").select((F.col("l_orderkey") % 500).alias("key"), F.col("l_suppkey").alias("label"))
-    popular = facts.groupBy("key", "label").count().groupBy("label").agg(F.sum("count").alias("score"))
+    popular = facts.groupBy("label").agg(F.count("*").alias("score"))
     gold = facts.groupBy("key").agg(F.min("label").alias("label"))
-    scored = gold.select("key").crossJoin(popular)
-    return metrics.hits_at(metrics.filtered_ranks(scored, facts, gold), [1, 10]).select(*R6("hits_at_1", "hits_at_10"))
+    return metrics.hits_at(metrics.shared_filtered_ranks(popular, facts, gold), [1, 10]).select(*R6("hits_at_1", "hits_at_10"))
 
 
 @query("j13_filtered_ranks", """WITH sup AS (SELECT DISTINCT l_orderkey % 500 AS key, l_suppkey AS label FROM lineitem), pop AS (SELECT l_suppkey AS label, count(*) AS score FROM lineitem GROUP BY 1),
@@ -212,7 +231,7 @@ def j13(s, d):
     rows = v.table(s, d, "lineitem").select((F.col("l_orderkey") % 500).alias("key"), F.col("l_suppkey").alias("label"))
     popular = rows.groupBy("label").agg(F.count("*").alias("score"))
     gold = rows.groupBy("key").agg(F.max("label").alias("label"))
-    return metrics.filtered_ranks(gold.select("key").crossJoin(popular), rows, gold)
+    return metrics.shared_filtered_ranks(popular, rows, gold)
 
 
 @query("a34_section_accuracy", """WITH a AS (SELECT n_name AS section, (c_acctbal > 0)::INTEGER AS ok FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_acctbal IS NOT NULL),
@@ -230,6 +249,22 @@ def a35(s, d):
     return metrics.spearman(v.table(s, d, "lineitem").select("l_quantity", "l_discount"), "l_quantity", "l_discount").select(*R6("spearman"))
 
 
+@query("a34_question_coverage", """SELECT n_name AS section, count(*) AS questions, count(CASE WHEN c_acctbal > 0 THEN 1 END) AS known, round(100 * count(CASE WHEN c_acctbal > 0 THEN 1 END) / count(*), 6) AS coverage FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")
+def a34b(s, d):
+    c, n = v.table(s, d, "customer"), v.table(s, d, "nation")
+    answers = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("section"), F.when(F.col("c_acctbal") > 0, 1).alias("right"))
+    return metrics.question_coverage(answers).select("section", "questions", "known", *R6("coverage"))
+
+
+@query("a35_unknown_pairs", "SELECT count(*) AS pairs, count(CASE WHEN vec_id + 490 IN (SELECT vec_id FROM embeddings) THEN 1 END) AS known, round(100 * count(CASE WHEN vec_id + 490 NOT IN (SELECT vec_id FROM embeddings) THEN 1 END) / count(*), 6) AS oov FROM embeddings")
+def a35b(s, d):
+    from bramble.operators import vectors as V
+
+    e = v.vectors(s, d)
+    pairs = e.select(F.col("id").alias("w1"), (F.col("id") + 490).alias("w2"), F.lit(1.0).alias("gold"))
+    return metrics.unknown_pairs(V.pair_similarity(pairs, e)).select("pairs", "known", *R6("oov"))
+
+
 @query("a36_cross_entropy", with_views("""SELECT round(avg(CASE WHEN o.label IS NULL THEN -ln(1 - score) ELSE -ln(score) END), 6) AS loss FROM scores s LEFT JOIN order_labels o ON o.doc_id = s.doc_id AND o.label = s.label""", "scores", "order_labels"))
 def a36(s, d):
     return metrics.cross_entropy(v.scores(s, d), v.order_labels(s, d)).select(*R6("loss"))
@@ -299,8 +334,7 @@ def w12(s, d):
 
 @query("l01_merge_batches", with_views("SELECT doc_id, rank, label, score FROM top5", "top5"))
 def l01(s, d):
-    scored = v.scores(s, d)
-    return topk.merge_batches([scored.where(F.col("batch") == b) for b in range(3)], 5).select("doc_id", "rank", "label", "score")
+    return topk.merge_numbered_batches(v.batched_scores(s, d), 5).select("doc_id", "rank", "label", "score")
 
 
 @query("l02_truncated_predictions", with_views("SELECT doc_id, string_agg(label, ',' ORDER BY rank) AS labels FROM top5 WHERE rank <= 3 GROUP BY doc_id", "top5"))
@@ -572,8 +606,7 @@ def j12(s, d):
 def l06(s, d):
     e = v.vectors(s, d)
     q = e.where("id % 50 = 0").select(F.col("id").alias("query"), "vector", "label")
-    same = q.join(e.select("id", F.col("label").alias("l")), F.col("label") == F.col("l")).select("query", "id")
-    return V.nearest(q, e, 5, banned=same)
+    return V.nearest(q, e, 5, apart="label")
 
 
 @query("j15_pair_similarity", "SELECT a.vec_id AS w1, a.vec_id + 490 AS w2, a.label::DOUBLE AS gold, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 490")
@@ -602,20 +635,15 @@ def l04(s, d):
 POP = "pop AS (SELECT doc_id, label, round(n / (SELECT sum(n) FROM label_counts), 9) AS score FROM order_keys, label_counts)"
 
 
-def _popular(s, d):
-    counts = L.counts(v.order_labels(s, d))
-    total = counts.agg(F.sum("n").alias("total"))
-    return v.order_keys(s, d).select("doc_id").crossJoin(F.broadcast(counts.crossJoin(total).select("label", F.round(F.col("n") / F.col("total"), 9).alias("score"))))
-
-
 @query("t20_mean_ensemble", with_views(f"WITH {POP}, m AS (SELECT doc_id, label, round(sum(score) / 2, 9) AS score FROM (SELECT doc_id, label, score FROM top5 UNION ALL SELECT doc_id, label, score FROM pop) GROUP BY ALL) SELECT doc_id, label, score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 5", "top5", "label_counts"))
 def t20(s, d):
-    return topk.mean_ensemble([v.top5(s, d), _popular(s, d)], 5).select("doc_id", "label", "score")
+    best = topk.top_k(_scored_keys(s, d), 5).drop("rank")
+    return _of_keys(s, d, topk.mean_ensemble([best, _popular_keys(s, d)], 5)).select("doc_id", "label", "score")
 
 
 @query("t22_sum_ensemble", with_views(f"WITH {POP}, m AS (SELECT doc_id, label, round(sum(1 / (1 + exp(-score))), 9) AS score FROM (SELECT doc_id, label, score FROM scores UNION ALL SELECT doc_id, label, score FROM pop) GROUP BY ALL) SELECT doc_id, label, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 5", "scores", "label_counts"))
 def t22(s, d):
-    return topk.sum_ensemble([v.scores(s, d), _popular(s, d)], 5, logits=True).select("doc_id", "label", F.round("score", 6).alias("score"))
+    return _of_keys(s, d, topk.sum_ensemble([_scored_keys(s, d), _popular_keys(s, d)], 5, logits=True)).select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("t28_asked_probabilities", with_views("SELECT s.doc_id, s.label, s.score FROM scores s JOIN order_labels o ON o.doc_id = s.doc_id AND o.label = s.label", "scores", "order_labels"))
@@ -631,8 +659,11 @@ def t30(s, d):
     return v.order_keys(s, d).select("doc_id").crossJoin(F.broadcast(head)).select("doc_id", "label", "score")
 
 
-@query("t31_fixed_candidates", with_views("SELECT doc_id, count(*) AS own FROM order_labels GROUP BY doc_id", "order_labels"))
+@query("t31_fixed_candidates", with_views("SELECT doc_id, least(count(*), 12) AS own, least((SELECT count(*) FROM label_counts), 12) AS candidates, 0::BIGINT AS foreign_own FROM order_labels GROUP BY doc_id", "label_counts"))
 def t31(s, d):
     rows = v.order_labels(s, d)
     got = L.fixed_candidates(rows, rows, 12)
-    return got.groupBy("doc_id").agg(F.sum(F.col("own").cast("long")).alias("own"))
+    # what is said to be a document's own, must be; padding must not be, and no label may come twice
+    checked = got.join(rows.withColumn("true", F.lit(True)), ["doc_id", "label"], "left")
+    wrong = F.col("own") != F.coalesce("true", F.lit(False))
+    return checked.groupBy("doc_id").agg(F.sum(F.col("own").cast("long")).alias("own"), F.count_distinct("label").alias("candidates"), F.sum(wrong.cast("long")).alias("foreign_own"))

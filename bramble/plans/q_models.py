@@ -33,6 +33,11 @@ def t02(s, d):
     return split.fixed_size(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), 400)
 
 
+@query("t02_last_tenth", "SELECT o_orderkey AS doc_id, row_number() OVER (ORDER BY o_orderkey) > count(*) OVER () - count(*) OVER () // 10 AS is_validation FROM orders")
+def t02b(s, d):
+    return split.last_share(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")))
+
+
 @query("t03_folds", f"SELECT o_orderkey AS doc_id, ({H.format(x=chr(39) + '42|' + chr(39) + ' || o_orderkey')} % 5)::INTEGER AS fold FROM orders")
 def t03(s, d):
     return split.folds(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), 5)
@@ -124,13 +129,14 @@ def l10(s, d):
     return LT.path_products(scores, tree, paths).select("label", F.round("score", 9).alias("score"))
 
 
-@query("l10_beam_search", with_views(f"WITH {NODES}, e AS (SELECT label, round(exp(sum(ln(p))), 6) AS score FROM tree JOIN up USING (node) JOIN ns ON ns.node = up.ancestor WHERE label IS NOT NULL GROUP BY label) SELECT o_orderkey AS doc_id, max(score) AS best, 3::BIGINT AS found FROM orders, e GROUP BY o_orderkey", "order_labels", recursive=True))
+@query("l10_beam_search", with_views(f"WITH {NODES}, e AS (SELECT label, round(exp(sum(ln(p))), 6) AS score FROM tree JOIN up USING (node) JOIN ns ON ns.node = up.ancestor WHERE label IS NOT NULL GROUP BY label) SELECT o_orderkey AS doc_id, max(score) AS best, least(count(*), 3) AS found FROM orders, e GROUP BY o_orderkey", "order_labels", recursive=True))
 def l10b(s, d):
     tree = _tree(s, d)
-    docs = v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    scores = docs.crossJoin(F.broadcast(stage(_node_scores(s, d, tree, LT.closure(tree)), "nodes")))
-    found = LT.beam_search(docs, tree, scores, beam=27, k=3)
-    return found.groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("found"))
+    # node scores depend on nothing but a document's key here, so the search runs once a key
+    keys = v.order_keys(s, d).select(F.col("key").alias("doc_id")).distinct()
+    scores = stage(keys.join(_node_scores(s, d, tree, LT.closure(tree))), "nodes")
+    found = LT.beam_search(keys, tree, scores, beam=27, k=3).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("found"))
+    return v.order_keys(s, d).join(found.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "best", "found")
 
 
 @query("t15_balanced_label_tree")
@@ -189,15 +195,15 @@ def t05(s, d):
 @query("t06_cluster_forest")
 def t06(s, d):
     docs = v.order_labels(s, d).select("doc_id").distinct()
-    return D.cluster_forest(docs, v.order_labels(s, d), trees=1, most_in_leaf=2_000, most_depth=3, most_rounds=3)
+    return D.cluster_forest(docs, v.order_labels(s, d), trees=1, most_in_leaf=4_000, most_rounds=50)
 
 
 @query("t07_forest_predictions")
 def t07(s, d):
     labels, f = v.order_labels(s, d), X.l2_normalise(v.order_features(s, d))
-    models, leaves = D.grow_forest(f, labels, trees=1, most_in_leaf=3_000, most_depth=2)
+    models, leaves = D.grow_forest(f, labels, trees=1, most_in_leaf=4_000)
     leaves = stage(leaves, "leaves")
-    places = D.place(f, models, leaves, 1, 4)
+    places = D.place(f, models, leaves, 1)
     return topk.top_k(D.mean_over_trees(places, D.leaf_distribution(leaves, labels), 1), 5).select("doc_id", "rank", "label", "score")
 
 

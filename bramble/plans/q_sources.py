@@ -153,7 +153,7 @@ def s11(s, d):
     rows = v.key_counts(s, d).select("key", F.expr("cast(substr(label, 7) as int)").alias("label"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy("key")), 6).alias("score"))
     path = new_path(s, "scores")
     cell = F.struct("label", F.concat_ws(":", F.col("label").cast("string"), F.format_string("%.6f", "score")).alias("t"))
-    rows.groupBy("key", F.expr("label div 10").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["t"]), " ").alias("value")).coalesce(1).orderBy("batch", "key").select("value", "batch").write.partitionBy("batch").text(path)
+    rows.groupBy("key", F.expr("label div 10").alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["t"]), " ").alias("value")).orderBy("batch", "key").select("value", "batch").write.partitionBy("batch").text(path)
     names = rows.select("key").distinct()
     numbered = L._numbered(names, ["key"], "line")
     return readers.score_files(s, path).join(numbered, "line").select("key", "label", "score")
@@ -282,15 +282,16 @@ def k12(s, d):
     return s.read.parquet(path).select("label", F.round("weight", 6).alias("weight"))
 
 
-@query("k13_memberships", with_views("SELECT doc_id, 1 AS clusters, least(count(*), 1) AS any_labels FROM order_labels GROUP BY doc_id", "order_labels"))
+@query("k13_memberships", with_views("SELECT doc_id, key AS cluster, labels, total FROM order_keys JOIN (SELECT DISTINCT doc_id FROM order_labels) USING (doc_id) JOIN (SELECT key, count(*) AS labels, round(sum(p), 6) AS total FROM (SELECT key, round(n / size, 3) AS p FROM key_counts JOIN (SELECT key, count(*) AS size FROM order_keys JOIN (SELECT DISTINCT doc_id FROM order_labels) USING (doc_id) GROUP BY key) USING (key)) GROUP BY key) USING (key)", "key_counts"))
 def k13(s, d):
     from bramble.operators.doctree import leaf_distribution
 
     leaves = v.order_keys(s, d).join(v.order_labels(s, d), "doc_id", "left_semi").select(F.lit(0).alias("tree"), F.col("key").alias("node"), "doc_id")
     path = new_path(s, "clusters")
     writers.memberships(leaves, leaf_distribution(leaves, v.order_labels(s, d)), path)
-    shares = s.read.json(f"{path}/leaves").count()
-    return s.read.schema("doc_id long, clusters array<string>").json(f"{path}/rows").select("doc_id", F.size("clusters").alias("clusters"), F.lit(min(shares, 1)).cast("long").alias("any_labels"))
+    shares = s.read.schema("tree int, node string, labels map<string, double>").json(f"{path}/leaves").select(F.col("node").alias("cluster"), F.size("labels").cast("long").alias("labels"), F.round(F.aggregate(F.map_values("labels"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    rows = s.read.schema("doc_id long, clusters array<string>").json(f"{path}/rows").select("doc_id", F.explode("clusters").alias("cluster"))
+    return rows.join(shares, "cluster").select("doc_id", "cluster", "labels", "total")
 
 
 @query("k14_model_tables", with_views("SELECT key AS node, label, round(n / size, 6) AS p FROM key_counts JOIN (SELECT key, count(*) AS size FROM order_keys JOIN (SELECT DISTINCT doc_id FROM order_labels) USING (doc_id) GROUP BY key) USING (key)", "key_counts"))

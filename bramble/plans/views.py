@@ -102,24 +102,32 @@ def key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(order_keys(spark, sf_dir), order_labels(spark, sf_dir))
 
 
+def key_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, label, score): the frequency of a label given a key."""
+    model = key_counts(spark, sf_dir)
+    total = model.groupBy("key").agg(F.sum("n").alias("total"))
+    return model.join(total, "key").select("key", "label", F.round(F.col("n") / F.col("total"), 9).alias("score"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, score, batch): the frequency of a label given the document's key; labels in batches of ten."""
+    """(doc_id, label, score): the frequency of a label given the document's key."""
+    return order_keys(spark, sf_dir).join(key_scores(spark, sf_dir), "key").select("doc_id", "label", "score")
+
+
+def batched_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, score, batch): scores with labels in batches of ten by label order."""
     from bramble.operators.labels import index_labels
 
-    model = key_counts(spark, sf_dir)
-    total = model.groupBy("key").agg(F.sum("n").alias("total"))
-    ids = index_labels(model, "sorted").select("label", F.expr("cast(label_id div 10 as int)").alias("batch"))
-    share = model.join(total, "key").join(ids, "label").select("key", "label", F.round(F.col("n") / F.col("total"), 9).alias("score"), "batch")
-    return order_keys(spark, sf_dir).join(share, "key").select("doc_id", "label", "score", "batch")
+    share = key_scores(spark, sf_dir)
+    ids = index_labels(share, "sorted").select("label", F.expr("cast(label_id div 10 as int)").alias("batch"))
+    return order_keys(spark, sf_dir).join(share.join(ids, "label"), "key").select("doc_id", "label", "score", "batch")
 
 
 def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best labels of each order. They depend on the key alone, so each key is ranked once."""
     from bramble.operators.topk import top_k
 
-    model = key_counts(spark, sf_dir)
-    total = model.groupBy("key").agg(F.sum("n").alias("total"))
-    best = top_k(model.join(total, "key").select("key", "label", F.round(F.col("n") / F.col("total"), 9).alias("score")), 5, by="key")
+    best = top_k(key_scores(spark, sf_dir), 5, by="key")
     return order_keys(spark, sf_dir).join(best, "key").select("doc_id", "label", "score", "rank")
 
 

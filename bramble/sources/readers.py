@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,15 +31,27 @@ def tagged_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TAGGED).json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): lines of a text folder with their number from 0, in file and line order.
+def numbered_lines(spark: SparkSession, path: str, per_unit: bool = False) -> DataFrame:
+    """(line, value): lines of a text folder with their number from 0, in file and line order; with per_unit (unit, line,
+    value), numbered in each unit: a file, or the files of one partition folder `key=value`.
 
-    The number is the partition's offset plus the place inside it; lines of a file stay in order since each split is read
-    as one partition. It is the only positional reader; everything else joins on keys.
+    Files are ordered by the number of a part file, then by path; a file's splits by where they begin; lines of a split as
+    they are read. Spark deals splits to tasks by size, so tasks do not follow that order: the lines are written out once
+    with their split, and each split's offset is the number of lines in the splits before it. It is the only positional
+    reader; everything else joins on keys.
     """
-    rows = spark.read.text(path)
-    indexed = rows.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(indexed, "line long, value string")
+    from bramble.plans.shared import stage
+
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("seen"))
+    lines = stage(rows, "lines")
+    folder = F.regexp_extract("file", r"^(.*/[^/=]+=[^/]*)/[^/]*$", 1)
+    unit = F.when(folder != "", folder).otherwise(F.col("file")) if per_unit else F.lit("")
+    splits = lines.groupBy("file", "begin").agg(F.count("*").alias("n"), F.min("seen").alias("first")).withColumn("unit", unit)
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("long")
+    upto = Window.partitionBy("unit").orderBy(part, "file", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    places = splits.select("file", "begin", "unit", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("first")).alias("offset"))
+    numbered = lines.join(places, ["file", "begin"]).withColumn("line", F.col("offset") + F.col("seen"))
+    return numbered.select(*(["unit"] if per_unit else []), "line", "value")
 
 
 def sparse_pairs(tokens: Column) -> Column:
@@ -95,17 +107,12 @@ def aligned_files(spark: SparkSession, texts: str, labels: str, part: str) -> Da
 
 
 def score_files(spark: SparkSession, path: str) -> DataFrame:
-    """(batch, line, label, score) of a folder of 'label:score ...' files, one file per label batch.
+    """(batch, line, label, score) of 'label:score ...' files, one file, or one folder `batch=...`, for each label batch.
 
-    Line numbers run inside each file, so files are numbered apart.
+    Line numbers run inside each batch; batch is the last part of the file's or folder's path.
     """
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value").distinct()
-    names = [r["file"] for r in rows.select("file").distinct().collect()]
-    out = None
-    for name in sorted(names):
-        one = numbered_lines(spark, name).withColumn("batch", F.lit(name.rsplit("/", 1)[-1]))
-        out = one if out is None else out.unionByName(one)
-    pairs = out.select("batch", "line", F.explode(F.split(F.trim("value"), " +")).alias("t")).where("t <> ''")
+    rows = numbered_lines(spark, path, per_unit=True).withColumn("batch", F.regexp_extract("unit", r"([^/]*)$", 1))
+    pairs = rows.select("batch", "line", F.explode(F.split(F.trim("value"), " +")).alias("t")).where("t <> ''")
     return pairs.select("batch", "line", F.split_part("t", F.lit(":"), F.lit(1)).cast("int").alias("label"), F.split_part("t", F.lit(":"), F.lit(2)).cast("double").alias("score"))
 
 
@@ -118,7 +125,7 @@ def label_rows(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(word, vector) of 'n dim' and 'word v1 ... vd' rows: the first row of a word, vectors of length 0 left out."""
     rows = numbered_lines(spark, path).where("line > 0").select("line", F.split(F.trim("value"), " ").alias("t"))
-    v = rows.select("line", F.col("t")[0].alias("word"), F.transform(F.slice("t", 2, 1_000_000), lambda x: x.try_cast("double")).alias("vector"))
+    v = rows.select("line", F.col("t")[0].alias("word"), F.transform(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("vector"))
     sound = v.where(F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull()))
     return sound.groupBy("word").agg(F.min_by("vector", "line").alias("vector"))
 
@@ -137,9 +144,7 @@ def label_mapping(spark: SparkSession, path: str) -> DataFrame:
 def analogy_questions(spark: SparkSession, path: str) -> DataFrame:
     """(line, section, a, b, c, d): a ': name' row opens a section. Sections are joined to the rows between their headers."""
     rows = numbered_lines(spark, path)
-    from pyspark.sql import Window
-
-    headers = rows.where(F.col("value").startswith(":")).select("line", F.trim(F.substring("value", 2, 1000)).alias("section"))
+    headers = rows.where(F.col("value").startswith(":")).select("line", F.trim(F.expr("substring(value, 2)")).alias("section"))
     until = F.lead("line", 1, 1 << 62).over(Window.orderBy("line"))
     spans = headers.select("section", F.col("line").alias("low"), until.alias("high"))
     w = F.split(F.trim("value"), " +")

@@ -43,8 +43,15 @@ def sparse_text(rows: DataFrame, path: str, features: int, labels: int, header:
 
 
 def text_and_labels(docs: DataFrame, texts: str, labels: str) -> None:
-    """Aligned files of docs(doc_id, text, labels): same order in both, spaces in labels become underscores."""
-    ordered = docs.orderBy("doc_id").select(F.regexp_replace("text", r"\s+", " ").alias("text"), F.array_join(F.transform("labels", lambda x: F.replace(x, F.lit(" "), F.lit("_"))), " ").alias("l"))
+    """Aligned files of docs(doc_id, text, labels): same order in both, spaces in labels become underscores.
+
+    The order is settled once, as a number of each row, so that both files have it even where ids repeat.
+    """
+    from bramble.operators.labels import _numbered
+    from bramble.plans.shared import stage
+
+    lines = docs.select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"), F.array_join(F.transform("labels", lambda x: F.replace(x, F.lit(" "), F.lit("_"))), " ").alias("l"))
+    ordered = stage(_numbered(lines, ["doc_id", "text", "l"], "place"), "aligned").orderBy("place")
     ordered.select("text").write.text(texts)
     ordered.select("l").write.text(labels)
 

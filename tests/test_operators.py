@@ -159,7 +159,7 @@ def test_learners_beat_popularity(spark):
     floor = precision_at_1(truth.select("doc_id").distinct().crossJoin(popular).withColumn("rank", F.lit(1)), truth)
     w = linear.train_in_batches(f, truth, truth, batch=4, rounds=8)
     assert precision_at_1(topk.top_k(linear.score(f, w), 1), truth) > floor + 0.3
-    models, leaves = doctree.grow_forest(features.l2_normalise(f), truth, trees=1, most_in_leaf=40, most_depth=4)
+    models, leaves = doctree.grow_forest(features.l2_normalise(f), truth, trees=1, most_in_leaf=40)
     places = doctree.place(features.l2_normalise(f), models, leaves, 1)
     assert places.count() == 240
     assert precision_at_1(topk.top_k(doctree.mean_over_trees(places, doctree.leaf_distribution(leaves, truth), 1), 1), truth) > floor + 0.1
