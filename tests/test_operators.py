@@ -1,6 +1,7 @@
 """Small fixed cases and properties of the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,7 +138,7 @@ def test_split_objective_never_falls(spark):
         now = doctree.discounted_counts(sides, rows).first()["objective"]
         assert now >= before - 1e-6
         before, sides = now, doctree.reassign(sides, rows).drop("moved")
-    leaves = doctree.cluster_forest(rows.select("doc_id").distinct(), rows, trees=2, most_in_leaf=40)
+    leaves = doctree.cluster_forest(rows.select("doc_id").distinct(), rows, trees=2, most_in_leaf=40, most_rounds=5)
     assert leaves.groupBy("tree").count().where("count = 120").count() == 2
 
 
@@ -159,7 +160,7 @@ def test_learners_beat_popularity(spark):
     floor = precision_at_1(truth.select("doc_id").distinct().crossJoin(popular).withColumn("rank", F.lit(1)), truth)
     w = linear.train_in_batches(f, truth, truth, batch=4, rounds=8)
     assert precision_at_1(topk.top_k(linear.score(f, w), 1), truth) > floor + 0.3
-    models, leaves = doctree.grow_forest(features.l2_normalise(f), truth, trees=1, most_in_leaf=40)
+    models, leaves = doctree.grow_forest(features.l2_normalise(f), truth, trees=1, most_in_leaf=40, most_rounds=5)
     places = doctree.place(features.l2_normalise(f), models, leaves, 1)
     assert places.count() == 240
     assert precision_at_1(topk.top_k(doctree.mean_over_trees(places, doctree.leaf_distribution(leaves, truth), 1), 1), truth) > floor + 0.1
@@ -193,3 +194,96 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert "flagship_ranking_metrics" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    from bramble.sources import readers, writers
+
+    rng, want = random.Random(4), []
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for part, n in enumerate([3, 400, 1, 0, 2000, 50]):
+        lines = [f"{part} {i} " + "x" * rng.randint(0, 60) for i in range(n)]
+        (folder / f"part-{part:05d}-a.txt").write_text("".join(f"{x}\n" for x in lines))
+        want += lines
+    # part numbers count, not names: Spark pads them to five digits only
+    (folder / "part-100000-a.txt").write_text("last\n")
+    want.append("last")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = readers.numbered_lines(spark, str(folder))
+        assert got.columns == ["line", "value"] and sorted((r["line"], r["value"]) for r in got.collect()) == list(enumerate(want))
+        docs = spark.createDataFrame([(i // 2, f"text {i} " + "y" * rng.randint(0, 90), [f"l{i}", "a b"]) for i in range(900)], "doc_id long, text string, labels array<string>").repartition(7)
+        texts, labels = str(tmp_path / "texts"), str(tmp_path / "labels")
+        writers.text_and_labels(docs, texts, labels)
+        rows = readers.aligned_files(spark, texts, labels, "train").collect()
+        assert sorted(r["line"] for r in rows) == list(range(900)) and all(r["labels"] == [f"l{r['text'].split()[1]}", "a_b"] for r in rows)
+        for batch in range(2):
+            (tmp_path / "scores" / f"batch={batch}").mkdir(parents=True)
+            for part in range(3):
+                (tmp_path / "scores" / f"batch={batch}" / f"part-{part:05d}.txt").write_text("".join(f"{batch}:0.{part}{i}\n" for i in range(1, 4)))
+        scored = readers.score_files(spark, str(tmp_path / "scores")).collect()
+        assert sorted((r["batch"], r["line"], r["label"], r["score"]) for r in scored) == [(f"batch={b}", 3 * p + i - 1, b, float(f"0.{p}{i}")) for b in range(2) for p in range(3) for i in range(1, 4)]
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    (tmp_path / "none").mkdir()
+    assert readers.numbered_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("loss", ["squared_hinge", "logistic"])
+def test_linear_models_equal_plain_loops(spark, loss):
+    rng = random.Random(2)
+    docs = {i: {f"f{rng.randrange(12)}": rng.random() for _ in range(rng.randint(1, 5))} for i in range(40)}
+    own = {i: {f"l{rng.randrange(4)}" for _ in range(rng.randint(0, 2))} for i in docs}
+    f = spark.createDataFrame([(i, n, x) for i, row in docs.items() for n, x in row.items()], "doc_id long, feature string, value double")
+    l = spark.createDataFrame([(i, x) for i, ls in own.items() for x in ls], "doc_id long, label string")
+    w, q = {}, {}
+    for _ in range(4):
+        g = {}
+        for i, row in docs.items():
+            row = {**row, linear.BIAS: 1.0}
+            for label in sorted(set().union(*own.values())):
+                y, score = (1.0 if label in own[i] else -1.0), sum(x * w.get((label, n), 0.0) for n, x in row.items())
+                slope = -2 * y * max(0.0, 1 - y * score) if loss == "squared_hinge" else -y / (1 + math.exp(y * score))
+                for n, x in row.items():
+                    g[label, n] = g.get((label, n), 0.0) + slope * x
+        for (label, n), x in g.items():
+            x = x / len(docs) + (0.0 if n == linear.BIAS else 1e-6 * w.get((label, n), 0.0))
+            if x:
+                q[label, n] = q.get((label, n), 0.0) + x * x
+                w[label, n] = w.get((label, n), 0.0) - 0.5 * x / math.sqrt(q[label, n] + 1e-12)
+    got = {(r["label"], r["feature"]): r["weight"] for r in linear.train_in_batches(f, l, l, batch=3, rounds=4, loss=loss).collect()}
+    assert got == pytest.approx({k: x for k, x in w.items() if abs(x) > 0.01})
+
+
+def test_window_counts_equal_windows(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 30]))) for _ in range(60)] + [None]
+    words, pairs = {}, {}
+    for t in texts:
+        w = (t or "").split()
+        for s in range(max(1, len(w) - 3) if w else 0):
+            win = w[s : s + 4]
+            for x in set(win):
+                words[x] = words.get(x, 0) + 1
+            for i, x in enumerate(win):
+                for j, y in enumerate(win):
+                    if i != j and x != y:
+                        pairs[x, y] = pairs.get((x, y), 0) + 1
+    got = features.window_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), F.filter(F.split("text", " "), lambda x: x != ""), 4)
+    assert {tuple(r) for r in got[0].collect()} == {(k, n) for k, n in words.items()} and {tuple(r) for r in got[1].collect()} == {(*k, n) for k, n in pairs.items()}
+
+
+def test_shared_filtered_ranks(spark):
+    rng = random.Random(6)
+    score = {f"l{i}": rng.randrange(6) for i in range(20)}
+    facts = {(k, f"l{rng.randrange(20)}") for k in range(15) for _ in range(4)}
+    gold = {k: min(l for kk, l in facts if kk == k) for k in range(15)}
+    want = {(k, g, 1 + sum(x > score[g] and (k, l) not in facts for l, x in score.items())) for k, g in gold.items()}
+    frames = spark.createDataFrame(list(score.items()), "label string, score long"), spark.createDataFrame(sorted(facts), "key long, label string"), spark.createDataFrame(list(gold.items()), "key long, label string")
+    assert {tuple(r) for r in metrics.shared_filtered_ranks(*frames).collect()} == want
