@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get("bramble.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         root = "file://" + tempfile.mkdtemp(prefix="bramble-", dir="/tmp/checkpoints")
         spark.conf.set("bramble.shared.dir", root)
