@@ -133,30 +133,68 @@ def negative_table(vocabulary: DataFrame) -> DataFrame:
     return rows.select("token", ((F.col("cum") - w) / F.col("total")).alias("low"), (F.col("cum") / F.col("total")).alias("high"))
 
 
-def product_quantize(vectors: DataFrame, dsub: int, centroids: int = 16, rounds: int = 25, seed: int = 42, fit_on: int = 65_536) -> tuple[DataFrame, list]:
-    """((id, codes), centroids of each sub-vector): k-means on each slice of a bounded sample, nearest centroid for all."""
+def product_quantize(vectors: DataFrame, dsub: int, centroids: int = 256, rounds: int = 25, seed: int = 42, fit_on: int = 65_536, norms: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((id, codes, norm), books): k-means on each slice of a bounded sample, the nearest centroid for all.
+
+    books is one row (books array<array<array<double>>>, slice by slice; norm_book array<double>), of a size that the
+    parameters fix. With norms, directions are coded, and lengths by a quantizer of their own; norm is then the place of
+    the length in norm_book, otherwise null. Null vectors have no codes; without vectors both tables are empty.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n = vectors.count()
-    row = vectors.select(F.size("vector").alias("dim")).first()
-    if row is None:
-        return vectors.select("id", F.array().cast("array<int>").alias("codes")), []
+    spark, books_schema = vectors.sparkSession, "books array<array<array<double>>>, norm_book array<double>"
+    vectors = vectors.where("vector IS NOT NULL")
+    row = vectors.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if not row["n"]:
+        return vectors.select("id", F.array().cast("array<int>").alias("codes"), F.lit(None).cast("int").alias("norm")), spark.createDataFrame([], books_schema)
     dim = row["dim"]
-    sample = vectors.where(uniform(seed, "id") < min(1.0, fit_on / max(n, 1)))
-    out, books = vectors.select("id", "vector"), []
+    as_double = F.transform("vector", lambda x: x.cast("double"))
+    out = vectors.select("id", (unit(F.col("vector")) if norms else as_double).alias("vector"), F.array(norm(F.col("vector"))).alias("length"))
+    sample = out.where(uniform(seed, "id") < min(1.0, fit_on / row["n"]))
+
+    def fit(piece: Column, name: str):
+        return KMeans(k=centroids, maxIter=rounds, seed=seed, featuresCol="f", predictionCol=name).fit(sample.select(array_to_vector(piece).alias("f")))
+
+    books = []
     for part in range(0, dim, dsub):
-        piece = F.transform(F.slice("vector", part + 1, dsub), lambda x: x.cast("double"))
-        model = KMeans(k=centroids, maxIter=rounds, seed=seed, featuresCol="f", predictionCol=f"c{part}").fit(sample.select(array_to_vector(piece).alias("f")))
+        piece = F.slice("vector", part + 1, dsub)
+        model = fit(piece, f"c{part}")
         out = model.transform(out.withColumn("f", array_to_vector(piece))).drop("f")
         books.append([c.tolist() for c in model.clusterCenters()])
-    return out.select("id", F.array(*[F.col(f"c{p}") for p in range(0, dim, dsub)]).alias("codes")), books
+    norm_book = None
+    if norms:
+        model = fit(F.col("length"), "norm")
+        out = model.transform(out.withColumn("f", array_to_vector("length"))).drop("f")
+        norm_book = [float(c[0]) for c in model.clusterCenters()]
+    else:
+        out = out.withColumn("norm", F.lit(None).cast("int"))
+    codes = out.select("id", F.array(*[F.col(f"c{p}") for p in range(0, dim, dsub)]).alias("codes"), "norm")
+    return codes, spark.createDataFrame([(books, norm_book)], books_schema)
 
 
-def reconstruct(codes: DataFrame, books: list) -> DataFrame:
+def _coded_length(place: Column, norm_book: Column) -> Column:
+    return F.coalesce(F.get(norm_book, place), F.lit(1.0))
+
+
+def reconstruct(codes: DataFrame, books: DataFrame) -> DataFrame:
     """(id, vector) of quantized vectors."""
-    parts = [F.element_at(F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in book]), F.get("codes", F.lit(i)) + 1) for i, book in enumerate(books)]
-    return codes.select("id", F.concat(*parts).alias("vector"))
+    whole = F.flatten(F.transform("codes", lambda c, i: F.get(F.get(F.col("books"), i), c)))
+    scaled = F.transform(whole, lambda x: x * _coded_length(F.col("norm"), F.col("norm_book")))
+    return codes.crossJoin(F.broadcast(books)).select("id", scaled.alias("vector"))  # one row of fixed size
+
+
+def approximate_dots(pairs: DataFrame, queries: DataFrame, codes: DataFrame, books: DataFrame) -> DataFrame:
+    """(query, id, dot) of pairs(query, id): the dot product of queries(query, vector) with coded vectors, from the codes.
+
+    Each query is multiplied once with all centroids; a pair then adds up one product a slice. Pairs with an unknown query
+    or id are left out; repeated pairs stay.
+    """
+    width = F.size(F.element_at(F.element_at("books", 1), 1))
+    table = F.transform("books", lambda book, i: F.transform(book, lambda c: dot(F.slice(F.col("vector"), i * width + 1, width), c)))
+    q = queries.crossJoin(F.broadcast(books)).select("query", table.alias("products"), "norm_book")
+    total = F.aggregate(F.transform("codes", lambda c, i: F.get(F.get(F.col("products"), i), c)), F.lit(0.0), lambda a, x: a + x)
+    return pairs.join(codes, "id").join(q, "query").select("query", "id", (total * _coded_length(F.col("norm"), F.col("norm_book"))).alias("dot"))
 
 
 def word_vectors(docs: DataFrame, tokens: Column, dim: int = 16, least: int = 2, seed: int = 42) -> DataFrame:
@@ -166,3 +204,21 @@ def word_vectors(docs: DataFrame, tokens: Column, dim: int = 16, least: int = 2,
 
     model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, inputCol="tokens", outputCol="v", maxIter=1).fit(docs.select(tokens.alias("tokens")))
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
+
+
+def gram_vectors(word_vecs: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
+    """(gram, vector): the mean of the vectors of the words(token, vector) that hold a character n-gram."""
+    from bramble.functions.text import char_ngrams
+
+    grams = word_vecs.select("vector", F.explode(F.array_distinct(char_ngrams(F.col("token"), least, most))).alias("gram"))
+    return mean_vectors(grams, "gram")
+
+
+def unseen_word_vectors(words: DataFrame, word_vecs: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
+    """(word, vector) for words(word) without a vector of their own, from their character n-grams.
+
+    N-grams take the mean of the words that hold them and are not trained along with the words. A word none of whose
+    n-grams is known has no row.
+    """
+    new = words.select("word").distinct().join(word_vecs.select(F.col("token").alias("word")), "word", "left_anti")
+    return subword_vectors(new, gram_vectors(word_vecs, least, most), least, most)

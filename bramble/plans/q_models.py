@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bramble.functions.hashing import hash32
+from bramble.functions.scores import dot, norm
 from bramble.operators import doctree as D
 from bramble.operators import features as X
 from bramble.operators import labels as L
@@ -298,7 +299,15 @@ def t19(s, d):
 def t25(s, d):
     from bramble.functions.text import words
 
-    return V.word_vectors(v.documents(s, d), words(F.col("text")), dim=8, least=20).select("token", F.size("vector").alias("dim"))
+    return V.word_vectors(v.documents(s, d), words(F.col("text")), dim=8, least=20).select("token", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
+
+
+@query("t25_unseen_words")
+def t25b(s, d):
+    from bramble.functions.text import words
+
+    known = stage(V.word_vectors(v.documents(s, d), words(F.col("text")), dim=8, least=20), "words")
+    return V.unseen_word_vectors(v.tokens(s, d).select(F.col("token").alias("word")), known).select("word", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
 
 
 @query("t26_negative_table", with_views("SELECT token, round((cum - sqrt(n)) / total, 6) AS low, round(cum / total, 6) AS high FROM (SELECT token, n, sum(sqrt(n)) OVER (ORDER BY n DESC, token) AS cum, sum(sqrt(n)) OVER () AS total FROM (SELECT token, count(*) AS n FROM tokens GROUP BY token))", "tokens"))
@@ -310,13 +319,19 @@ def t26(s, d):
 @query("t27_product_quantization")
 def t27(s, d):
     e = v.vectors(s, d).select("id", "vector")
-    codes, books = V.product_quantize(e, 16, centroids=16, rounds=8)
+    codes, books = V.product_quantize(e, 16, norms=True)
     back = V.reconstruct(codes, books).withColumnRenamed("vector", "approx")
-    from bramble.functions.scores import dot
-
     return e.join(back, "id").select("id", F.round(dot(F.col("vector"), F.col("approx")), 4).alias("agreement"))
 
 
+@query("t27_approximate_dots")
+def t27b(s, d):
+    e = v.vectors(s, d).select("id", "vector")
+    codes, books = V.product_quantize(e, 16, norms=True)
+    pairs = e.select(F.col("id").alias("query"), (F.col("id") + 1).alias("id"))
+    return V.approximate_dots(pairs, e.withColumnRenamed("id", "query"), codes, books).select("query", "id", F.round("dot", 4).alias("dot"))
+
+
 @query("j12_analogies", """WITH q AS (SELECT vec_id AS query, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c FROM embeddings WHERE vec_id % 50 = 0 AND vec_id + 2 IN (SELECT vec_id FROM embeddings)), u AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
     t AS (SELECT query, a, b, c, [x.v[i] * -1 + y.v[i] + z.v[i] FOR i IN range(1, 65)] AS v FROM q JOIN u x ON x.id = a JOIN u y ON y.id = b JOIN u z ON z.id = c)
     SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank, id, similarity FROM (SELECT query, u.id, round(list_cosine_similarity(t.v, u.v), 6) AS similarity FROM t JOIN u ON u.id NOT IN (a, b, c)) QUALIFY rank <= 3""")

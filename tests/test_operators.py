@@ -287,3 +287,35 @@ def test_shared_filtered_ranks(spark):
     want = {(k, g, 1 + sum(x > score[g] and (k, l) not in facts for l, x in score.items())) for k, g in gold.items()}
     frames = spark.createDataFrame(list(score.items()), "label string, score long"), spark.createDataFrame(sorted(facts), "key long, label string"), spark.createDataFrame(list(gold.items()), "key long, label string")
     assert {tuple(r) for r in metrics.shared_filtered_ranks(*frames).collect()} == want
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_quantized_dots_equal_dots_of_reconstructions(spark, norms):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1 + i % 3) for _ in range(6)]) for i in range(60)] + [(60, [0.0] * 6), (61, None)]
+    e = spark.createDataFrame(rows, "id long, vector array<double>")
+    codes, books = vectors.product_quantize(e, 4, centroids=8, rounds=5, norms=norms)
+    back = {r["id"]: r["vector"] for r in vectors.reconstruct(codes, books).collect()}
+    assert set(back) == set(range(61)) and all(len(x) == 6 for x in back.values())
+    given = dict(rows)
+    pairs = spark.createDataFrame([(q, i) for q in (0, 5, 60, 99) for i in (1, 2, 60, 61, 99)], "query long, id long")
+    got = {(r["query"], r["id"]): r["dot"] for r in vectors.approximate_dots(pairs, e.where("vector IS NOT NULL").withColumnRenamed("id", "query"), codes, books).collect()}
+    want = {(q, i): sum(x * y for x, y in zip(given[q], back[i], strict=True)) for q in (0, 5, 60) for i in (1, 2, 60)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+
+
+def test_quantize_with_a_centroid_for_each_vector_is_exact(spark):
+    rows = [(i, [float(i % 4), float(i % 3), 2.0, float(i % 2)]) for i in range(24)]
+    codes, books = vectors.product_quantize(spark.createDataFrame(rows, "id long, vector array<double>"), 2, centroids=32)
+    assert {r["id"]: list(r["vector"]) for r in vectors.reconstruct(codes, books).collect()} == dict(rows)
+    empty = spark.createDataFrame([], "id long, vector array<double>")
+    codes, books = vectors.product_quantize(empty, 2)
+    assert codes.count() == 0 and vectors.reconstruct(codes, books).count() == 0
+
+
+def test_unseen_words_take_their_ngrams(spark):
+    known = spark.createDataFrame([("abc", [1.0, 0.0]), ("abd", [0.0, 1.0])], "token string, vector array<double>")
+    words = spark.createDataFrame([("abx",), ("abc",), ("zzz",), ("abx",)], "word string")
+    got = {r["word"]: list(r["vector"]) for r in vectors.unseen_word_vectors(words, known, 2, 3).collect()}
+    # "<a" and "ab" and "<ab" are held by both words; no other n-gram of <abx> is known
+    assert got == {"abx": [0.5, 0.5]}
