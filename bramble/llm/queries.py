@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import best_fit, embedding_join, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, token_files, toxicity
+from bramble.llm import best_fit, conversation_repair, embedding_join, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, token_files, toxicity, whitening
 from bramble.llm.common import new_path, read
 
 
@@ -60,12 +60,81 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_toxicity, op5_html_extraction, op6_token_files, op7_embedding_near_dedup, op8_token_counts, op9_jaccard_join, op10_exact_dedup)
+    for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_toxicity, op5_html_extraction, op6_token_files, op7_embedding_near_dedup, op8_token_counts, op9_jaccard_join, op10_exact_dedup, op11_embedding_whitening, op13_conversation_repair)
 }
 
+
+
+def _least(*paths: str) -> str:
+    return f"list_min(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))"
+
+
+def _edit(state: str, cost: str, edit: str, row: str = "''") -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || {edit}, 't': {state}.t || {row}}} END"
+
+
+_INSERTED = ("'I'", "chr(10) || 'user:'", "chr(10) || 'assistant:'")
+_KEPT = "chr(10) || role || ':' || text"
+_OPEN = ("CASE WHEN initial = 'u' THEN 'K' ELSE 'R' END", f"CASE WHEN initial = 'u' THEN {_KEPT} ELSE chr(10) || 'user:' || text END")
+_CLOSE = ("CASE WHEN initial = 'a' THEN 'K' ELSE 'R' END", f"CASE WHEN initial = 'a' THEN {_KEPT} ELSE chr(10) || 'assistant:' || text END")
+
+
+def _taken(state: str, allowed: str, cost: str, edit: tuple[str, str]) -> str:
+    return f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND {allowed} THEN {_edit(state, f'({cost}) + CASE WHEN fault = ' + chr(39) + 'truncated' + chr(39) + ' THEN 5 ELSE 0 END', *edit)} END"
+
+
+def _repair_sql() -> str:
+    """Row by row from the left: the cheapest edits that lead to each state, with the text they give."""
+    opened, closed = "CASE WHEN initial = 'u' THEN 0 ELSE 1 END", "CASE WHEN initial = 'a' THEN 0 ELSE 1 END"
+    gone = [_edit(f"s{i}", "2", "'D'") for i in range(4)]
+    n1 = _least(_taken("s0", "initial = 's'", "0", ("'K'", _KEPT)), gone[1])
+    n2 = _least(*[_taken(s, "TRUE", opened, _OPEN) for s in ("s0", "s1", "s3")], gone[2])
+    n3 = _least(_taken("s2", "TRUE", closed, _CLOSE), gone[3])
+    more2 = _least("n2", *[_edit(s, "5", *_INSERTED[:2]) for s in ("n0", "n1", "n3")])
+    more3 = _least("n3", _edit("m2", "5", _INSERTED[0], _INSERTED[2]))
+    grow = lambda source: f"SELECT conv_id, pos, n0 AS s0, n1 AS s1, m2 AS s2, {more3} AS s3 FROM (SELECT *, {more2} AS m2 FROM ({source}) AS n) AS m"
+    empty = "{'c': 0, 'a': '', 't': ''}"
+    none = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, t VARCHAR))"
+    return rf"""
+        WITH RECURSIVE hit AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda k, i: xor(k >> 1, 3988292384 * (k & 1))))) % 20 AS kind
+            FROM conversations),
+        dmg AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM hit JOIN (SELECT unnest([1, 2]) AS copy) ON copy = 1 OR kind = 3 WHERE kind <> 0),
+        num AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM dmg),
+        rows AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault,
+            coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial NOT IN ('su', 'ua', 'au'), FALSE) AS odd FROM num),
+        ids AS (SELECT DISTINCT conv_id FROM conversations),
+        best AS (
+            {grow(f"SELECT conv_id, 0::BIGINT AS pos, {empty} AS n0, {none} AS n1, {none} AS n2, {none} AS n3 FROM ids")}
+            UNION ALL
+            {grow(f"SELECT conv_id, pos, {gone[0]} AS n0, {n1} AS n1, {n2} AS n2, {n3} AS n3 FROM (SELECT r.conv_id, r.pos, initial, role, text, fault, s0, s1, s2, s3 FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.pos = b.pos + 1) AS j")}),
+        found AS (SELECT conv_id, {_least('s0', 's3')} AS f FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+        facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal FROM rows GROUP BY conv_id)
+        SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            f.c::BIGINT AS cost, f.a AS audit, sha256(substr(f.t, 2)) AS repaired_sha256
+        FROM ids i JOIN found g ON g.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN facts k ON k.conv_id IS NOT DISTINCT FROM i.conv_id
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op13_conversation_repair": _repair_sql(),
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
