@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bramble.llm import best_fit, conversation_repair, embedding_join, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, token_files, toxicity, whitening
+from bramble.llm import best_fit, conversation_repair, embedding_join, exact_dedup, html_extract, jaccard_join, language_id, lm_scoring, mixing, token_counts, token_files, toxicity, whitening
 from bramble.llm.common import new_path, read
 
 
@@ -64,13 +64,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_toxicity, op5_html_extraction, op6_token_files, op7_embedding_near_dedup, op8_token_counts, op9_jaccard_join, op10_exact_dedup, op11_embedding_whitening, op13_conversation_repair)
+    for f in (op1_language_id, op2_best_fit_packing, op3_source_mixing, op4_toxicity, op5_html_extraction, op6_token_files, op7_embedding_near_dedup, op8_token_counts, op9_jaccard_join, op10_exact_dedup, op11_embedding_whitening, op12_lm_scoring, op13_conversation_repair)
 }
 
 
