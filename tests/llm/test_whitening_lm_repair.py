@@ -125,7 +125,7 @@ def plain_bits(text, code, tables, weights):
                 at = code.start[data[i]] + j
                 state = [int(tables[k][LM.slots(hashes[k][i : i + 1], np.array([1]), code.node[at : at + 1], 10)][0]) for k in range(LM.CONTEXTS)]
                 x = LM.ODDS[state].astype(float)
-                z = float((weights[LM.KNOWN[state[-1]] * 4 + LM.KNOWN[state[-2]]] + moved) @ x)
+                z = float((weights[(state[-1] >> 6) * 4 + (state[-2] >> 6)] + moved) @ x)
                 p = 1 / (1 + math.exp(-z))
                 cost -= math.log2(p if code.bit[at] else 1 - p)
                 grad += (float(code.bit[at]) - p) * x
@@ -138,7 +138,7 @@ def test_bits_equal_plain_loop():
     rng = np.random.default_rng(2)
     code = LM.Code(np.bincount(LM.stream(pa.array([t for _, t in LM_ROWS]))[0], minlength=256))
     assert sum(2.0 ** -code.length) == 1 and all(code.bit[s : s + n].size == n for s, n in zip(code.start, code.length, strict=True))
-    tables = [LM.states(rng.integers(0, 40, 2 << 10)) for _ in range(LM.CONTEXTS)]
+    tables = [LM.BRIEF[LM.states(rng.integers(0, 40, 2 << 10))] for _ in range(LM.CONTEXTS)]
     weights = rng.random((LM.GATES, LM.CONTEXTS)).astype(np.float32)
     texts = [LM_ROWS[i][1] for i in (0, 3, 60, 119, 120, 121, 127)]
     got = LM.bits_of(*LM.stream(pa.array(texts)), code, tables, weights)
@@ -180,7 +180,7 @@ def test_model_is_a_distribution():
     """Over all texts of a few bytes the probabilities add up to at most 1, and nearly 1 with longer ones."""
     rng = np.random.default_rng(4)
     code = LM.Code(np.bincount(np.frombuffer(b"ab\nab \n" * 9, dtype=np.uint8), minlength=256))
-    tables, weights = [LM.states(rng.integers(0, 9, 2 << 10)) for _ in range(LM.CONTEXTS)], np.full((LM.GATES, LM.CONTEXTS), 0.3, dtype=np.float32)
+    tables, weights = [LM.BRIEF[LM.states(rng.integers(0, 9, 2 << 10))] for _ in range(LM.CONTEXTS)], np.full((LM.GATES, LM.CONTEXTS), 0.3, dtype=np.float32)
     texts = [" ".join(w) for n in range(4) for w in itertools.product(["a", "b", "ab"], repeat=n)]
     total = (2.0 ** -LM.bits_of(*LM.stream(pa.array(texts)), code, tables, weights)).sum()
     assert 0 < total <= 1
