@@ -5,14 +5,22 @@ A tree is an edge table tree(node, parent, label): parent is null at the root, l
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bramble.functions.hashing import hash32
+from bramble.functions.scores import sigmoid
 from bramble.operators.features import l2_normalise
+from bramble.operators.labels import _numbered
+from bramble.operators.linear import score_examples, train_examples
 from bramble.operators.topk import top_k
 from bramble.plans.shared import stage
 
+#: Gives (doc_id, node, p) for asked (doc_id, node).
+Scorer = Callable[[DataFrame], DataFrame]
+
 
 def complete_tree(labels: DataFrame, arity: int, seed: int | None = None) -> DataFrame:
     """The complete m-ary tree over labels(label, label_id from 0): nodes are numbered by level, the parent of i is
@@ -23,45 +31,80 @@ def complete_tree(labels: DataFrame, arity: int, seed: int | None = None) -> Dat
         return spark.createDataFrame([], "node long, parent long, label string")
     size = -(-(arity * n - 1) // (arity - 1))
     order = [hash32(seed, "label"), "label"] if seed is not None else ["label_id"]
-    from bramble.operators.labels import _numbered
-
     leaves = _numbered(labels.select("label", "label_id"), [F.col("label_id")] if seed is None else order, "place").select((F.col("place") + size - n).alias("node"), "label")
     parent = F.when(F.col("node") > 0, F.expr(f"(node - 1) div {arity}"))
     return spark.range(size).withColumnRenamed("id", "node").join(leaves, "node", "left").select("node", parent.alias("parent"), "label")
 
 
-def closure(tree: DataFrame, most_depth: int = 64) -> DataFrame:
+def closure(tree: DataFrame) -> DataFrame:
     """(node, ancestor, steps): every node with itself and all above it. Path doubling: the number of joins is logarithmic
-    in the depth."""
+    in the depth, which has no limit; a cycle raises."""
     reach = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")).unionByName(tree.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
     reach, width = stage(reach, "closure"), 1
-    while width < most_depth:
+    while True:
         far = reach.where(F.col("steps") == width).select(F.col("node").alias("n"), F.col("ancestor").alias("mid"))
         up = reach.where("steps > 0").select(F.col("node").alias("mid"), F.col("ancestor"), "steps")
-        more = far.join(up, "mid").select(F.col("n").alias("node"), "ancestor", (F.col("steps") + width).alias("steps"))
+        more = stage(far.join(up, "mid").select(F.col("n").alias("node"), "ancestor", (F.col("steps") + width).alias("steps")), "closure")
         if not more.limit(1).count():
             return reach
+        if more.where("node = ancestor").limit(1).count():
+            raise ValueError("the tree has a cycle")
         reach, width = stage(reach.unionByName(more), "closure"), width * 2
-    raise ValueError(f"a path is longer than {most_depth}: there is a cycle, or the tree is deeper")
 
 
-def problems(edges: DataFrame, labels: DataFrame, root: str, most_depth: int = 64) -> DataFrame:
-    """(problem, item) of edges(parent, child, label): self_parent, duplicate_child, duplicate_label, unreachable (a cycle
-    is never reached from the root either), missing_label. No rows: the tree is sound."""
+def path_order(paths: DataFrame) -> DataFrame:
+    """(model, place): nodes in the order of their paths from the root, so that a subtree stands together."""
+    route = paths.groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("up"), F.col("ancestor")))).alias("p"))
+    numbered = _numbered(route.select("node", F.col("p.ancestor").alias("path")), ["path", "node"], "place")
+    return numbered.select(F.col("node").alias("model"), "place")
+
+
+def _led(e: DataFrame, root: str, nodes: DataFrame) -> DataFrame:
+    """(node, end): where the chosen parents(child, parent) of e lead by pointer doubling, after at least as many steps as
+    there are nodes: the root, a node without a parent, or, from a cycle, some node of it."""
+    steps, n = 1, nodes.count()
+    jump = stage(nodes.join(e.select(F.col("child").alias("node"), F.col("parent").alias("end")).where(F.col("child") != root), "node", "left").select("node", F.coalesce("end", "node").alias("end")), "jump")
+    while steps < n:
+        far = stage(jump.select("node", F.col("end").alias("mid")).join(jump.select(F.col("node").alias("mid"), "end"), "mid").select("node", "end"), "jump")
+        changed = far.join(jump.withColumnRenamed("end", "old"), "node").where("end <> old").limit(1).count()
+        jump, steps = far, steps * 2
+        if not changed:
+            break
+    return jump
+
+
+def problems(edges: DataFrame, labels: DataFrame, root: str) -> DataFrame:
+    """(problem, item) of edges(parent, child, label): self_parent, duplicate_child, duplicate_label, cycle (each node of a
+    cycle of two or more), unreachable (not reached from the root), missing_label. No rows: the tree is sound.
+
+    Pointers to parents are doubled, so a tree of any depth takes logarithmically many rounds; only where a child has
+    several parents is the way through the others tried afterwards, once more for each that helps.
+    """
     e = stage(edges.select("parent", "child", "label"), "edges")
     selfs = e.where("parent = child").select(F.lit("self_parent").alias("problem"), F.col("child").alias("item"))
     children = e.groupBy("child").count().where("count > 1").select(F.lit("duplicate_child").alias("problem"), F.col("child").alias("item"))
     twice = e.where("label is not null").groupBy("label").count().where("count > 1").select(F.lit("duplicate_label").alias("problem"), F.col("label").alias("item"))
     missing = labels.select("label").distinct().join(e, "label", "left_anti").select(F.lit("missing_label").alias("problem"), F.col("label").alias("item"))
-    spark = e.sparkSession
-    frontier, seen = spark.createDataFrame([(root,)], "node string"), spark.createDataFrame([(root,)], "node string")
-    for _ in range(most_depth):
-        frontier = stage(e.join(frontier, e["parent"] == frontier["node"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti"), "frontier")
-        if not frontier.limit(1).count():
+    links = stage(e.where("parent <> child").select("parent", "child").distinct(), "links")
+    nodes = stage(e.select(F.col("child").alias("node")).unionByName(e.select(F.col("parent").alias("node"))).where("node is not null").distinct(), "nodes")
+    chosen = links.groupBy("child").agg(F.min("parent").alias("parent"))
+    several = links.groupBy("child").count().where("count > 1").limit(1).count()
+    while True:
+        ends = _led(chosen, root, nodes)
+        if not several:
+            break
+        sound = ends.where(F.col("end") == root).select("node")
+        saved = links.join(sound, links["parent"] == sound["node"], "left_semi").join(sound, links["child"] == sound["node"], "left_anti").groupBy("child").agg(F.min("parent").alias("other"))
+        saved = stage(saved.where(F.col("child") != root), "saved")
+        if not saved.limit(1).count():
             break
-        seen = stage(seen.unionByName(frontier), "seen")
-    lost = e.select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").select(F.lit("unreachable").alias("problem"), F.col("node").alias("item"))
-    return selfs.unionByName(children).unionByName(twice).unionByName(missing).unionByName(lost)
+        chosen = stage(chosen.join(saved, "child", "full").select("child", F.coalesce("other", "parent").alias("parent")), "chosen")
+    lost = stage(e.select(F.col("child").alias("node")).distinct().join(ends.where(F.col("end") != root), "node"), "lost")
+    # after so many steps every pointer that stays below no root stands on a cycle, and every node of it is stood on
+    tops = nodes.join(links.where(F.col("child") != root), nodes["node"] == links["child"], "left_anti").select(F.col("node").alias("end"))
+    rings = lost.select("end").distinct().join(tops, "end", "left_anti").select(F.lit("cycle").alias("problem"), F.col("end").alias("item"))
+    unreachable = lost.select(F.lit("unreachable").alias("problem"), F.col("node").alias("item"))
+    return selfs.unionByName(children).unionByName(twice).unionByName(missing).unionByName(rings).unionByName(unreachable)
 
 
 def node_positives(doc_labels: DataFrame, tree: DataFrame, paths: DataFrame) -> DataFrame:
@@ -105,51 +148,136 @@ def normalised_children(node_scores: DataFrame, tree: DataFrame) -> DataFrame:
     return rows.select("doc_id", "node", F.when(F.col("parent").isNull() | (total == 0), F.col("p")).otherwise(F.col("p") / total).alias("p"))
 
 
-def beam_search(docs: DataFrame, tree: DataFrame, node_scores: DataFrame, beam: int, k: int, most_depth: int = 64) -> DataFrame:
-    """(doc_id, rank, label, score): level by level from the root, the `beam` best nodes of a document a level."""
-    root = tree.where("parent is null").select("node", "label").limit(1)
-    frontier = stage(docs.select("doc_id").crossJoin(F.broadcast(root)).join(node_scores, ["doc_id", "node"]).select("doc_id", "node", "label", F.col("p").alias("score")), "beam")
-    found = frontier.where("label is not null")
-    for _ in range(most_depth):
-        children = tree.where("parent is not null").select(F.col("parent").alias("up"), F.col("node"), F.col("label"))
-        grown = frontier.where("label is null").select("doc_id", F.col("node").alias("up"), F.col("score").alias("s")).join(children, "up").join(node_scores, ["doc_id", "node"])
-        grown = grown.select("doc_id", "node", "label", F.round(F.col("s") * F.col("p"), 12).alias("score"))
-        frontier = stage(top_k(grown, beam, tie="node").drop("rank"), "beam")
-        if not frontier.limit(1).count():
-            break
-        found = found.unionByName(frontier.where("label is not null"))
-    return top_k(found.select("doc_id", "label", "score"), k)
+def table_scores(node_scores: DataFrame) -> Scorer:
+    """A scorer that looks probabilities(doc_id, node, p) up."""
+    return lambda asked: asked.join(node_scores.select("doc_id", "node", "p"), ["doc_id", "node"])
 
 
-def balanced_clusters(centroids: DataFrame, arity: int = 2, most_leaves: int = 8, rounds: int = 4, seed: int = 42, most_depth: int = 24) -> DataFrame:
+def _grown(frontier: DataFrame, tree: DataFrame, scorer: Scorer, normalise: bool) -> DataFrame:
+    """(doc_id, node, label, score) of the children of the frontier's inner nodes, path probabilities multiplied on."""
+    children = tree.where("parent is not null").select(F.col("parent").alias("up"), "node", "label")
+    asked = frontier.where("label is null").select("doc_id", F.col("node").alias("up"), F.col("score").alias("s")).join(children, "up")
+    p = scorer(asked.select("doc_id", "node"))
+    if normalise:
+        p = normalised_children(p, tree)
+    return asked.join(p, ["doc_id", "node"]).select("doc_id", "node", "label", (F.col("s") * F.col("p")).alias("score"))
+
+
+def best_first(docs: DataFrame, tree: DataFrame, scorer: Scorer, k: int, normalise: bool = False) -> DataFrame:
+    """(doc_id, rank, label, score): exactly the k labels of the largest path probability of each document, rounded to nine
+    places, ties by label. scorer gives (doc_id, node, p) for asked (doc_id, node), p at most 1; a node without p ends there.
+
+    A dive keeps the k best nodes of a document on each level; the k-th best leaf it finds is a bound, and as no path
+    grows more likely, the search proper follows only nodes whose path reaches the bound. All documents take a level at
+    a time; the depth has no limit.
+    """
+    root = tree.where("parent is null").select("node", "label")
+    at_root = docs.select("doc_id").distinct().crossJoin(F.broadcast(root.limit(1)))
+    begin = stage(at_root.join(scorer(at_root.select("doc_id", "node")), ["doc_id", "node"]).select("doc_id", "node", "label", F.col("p").alias("score")), "frontier")
+    found, bound = None, None
+    for exact in (False, True):
+        frontier = begin
+        found = begin.where("label is not null")
+        while frontier.where("label is null").limit(1).count():
+            grown = _grown(frontier, tree, scorer, normalise)
+            if exact:
+                kept = grown.join(bound, "doc_id", "left").where(F.col("score") >= F.coalesce("bound", F.lit(0.0))).drop("bound")
+            else:
+                kept = grown.withColumn("leaf", F.col("label").isNotNull())
+                kept = top_k(kept, k, by=["doc_id", "leaf"], tie="node").drop("rank", "leaf")
+            frontier = stage(kept, "frontier")
+            found = found.unionByName(frontier.where("label is not null"))
+        # a little below the k-th best: equal scores and roundings stay in
+        last = top_k(found, k, tie="node").groupBy("doc_id").agg(F.min("score").alias("bound"), F.count("*").alias("n"))
+        bound = stage(last.where(F.col("n") == k).select("doc_id", (F.col("bound") - 2e-9).alias("bound")), "bound") if not exact else bound
+    return top_k(found.select("doc_id", "label", F.round("score", 9).alias("score")), k).select("doc_id", "rank", "label", "score")
+
+
+#: Steps in which gaps between similarities are told apart; within one, labels are dealt by hash.
+GAP_STEPS = 4096
+
+
+def _take(rows: DataFrame, seed: str) -> DataFrame:
+    """rows(path, label, gap, m) and taken: exactly the m rows of the largest gap of each path, by steps of the gap and then
+    by hash. Counts by step and by hash bucket settle all but a few rows, so no path is sorted in one task."""
+    keyed = rows.withColumn("step", F.floor(F.col("gap") * (GAP_STEPS / 4)).cast("int")).withColumn("h", hash32(seed, "label"))
+    w = Window.partitionBy("path")
+
+    def before(table: DataFrame, key: str) -> DataFrame:
+        n = table.groupBy("path", key).agg(F.count("*").alias("many"))
+        order = F.desc(key) if key == "step" else F.asc(key)
+        return n.select("path", key, "many", F.coalesce(F.sum("many").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+    first = keyed.join(before(keyed, "step"), ["path", "step"])
+    border = first.where("before < m and before + many > m").select("path", "label", "h", (F.col("m") - F.col("before")).alias("m")).withColumn("bucket", F.shiftright("h", 20))
+    second = border.join(before(border, "bucket"), ["path", "bucket"])
+    edge = second.where("before < m and before + many > m").withColumn("r", F.row_number().over(Window.partitionBy("path", "bucket").orderBy("h", "label")))
+    taken = first.where("before + many <= m").select("path", "label").unionByName(second.where("before + many <= m").select("path", "label")).unionByName(edge.where("before + r <= m").select("path", "label"))
+    return rows.join(taken.withColumn("taken", F.lit(True)), ["path", "label"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+
+
+def _dealt(gaps: DataFrame, arity: int, seed: str) -> DataFrame:
+    """(path, label, n, side, own): sides of equal size, one label more or less, from gaps(path, label, n, sims): one side
+    after the other takes the labels that are nearer to it than to all sides still open."""
+    rest, done = gaps, None
+    for side in range(arity):
+        own = F.element_at("sims", side + 1)
+        if side == arity - 1:
+            last = rest.select("path", "label", "n", F.lit(side).alias("side"), own.alias("own"))
+            return last if done is None else done.unionByName(last)
+        others = F.array_max(F.slice("sims", side + 2, arity - side - 1))
+        m = F.expr(f"cast(n div {arity} as long)") + (F.col("n") % arity > side).cast("long")
+        cut = stage(_take(rest.withColumn("gap", own - others).withColumn("m", m), seed), "dealt")
+        mine = cut.where("taken").select("path", "label", "n", F.lit(side).alias("side"), own.alias("own"))
+        done = mine if done is None else done.unionByName(mine)
+        rest = cut.where("not taken").drop("gap", "m", "taken")
+
+
+def balanced_clusters(centroids: DataFrame, arity: int = 2, most_leaves: int = 8, rounds: int = 4, seed: int = 42, eps: float = 1e-4) -> DataFrame:
     """(label, path): hierarchical balanced k-means on label vectors(label, feature, value), all nodes of a level together.
 
-    Each round scores labels against their node's centroids (two seeded labels at first) and deals them, by the difference
-    of the scores, in halves; a node of at most most_leaves labels is a leaf. Binary splits; arity is a power of two.
+    A node of more than most_leaves labels is split in `arity` children whose sizes differ by one at most; a path has one
+    character a level (digits, then letters). Each round scores labels against their node's centroids (seeded labels at
+    first) and deals them anew; a node rests when its mean similarity grows by less than eps, after `rounds` at most.
     """
-    if arity & (arity - 1):
-        raise ValueError("arity is a power of two")
+    if not 2 <= arity <= 36:
+        raise ValueError("arity is 2 to 36")
+    most_leaves = max(most_leaves, arity - 1)
     unit = stage(l2_normalise(centroids.withColumnRenamed("label", "doc_id")).withColumnRenamed("doc_id", "label"), "unit")
-    nodes = stage(unit.select("label").distinct().select("label", F.lit("r").alias("path")), "nodes")
-    for depth in range(most_depth):
+    nodes, depth = stage(unit.select("label").distinct().select("label", F.lit("r").alias("path")), "nodes"), 0
+    while True:  # children are smaller than their node, so this ends
         sizes = nodes.groupBy("path").agg(F.count("*").alias("n"))
-        open_nodes = stage(nodes.join(sizes.where(F.col("n") > most_leaves), "path"), "open")
-        if not open_nodes.limit(1).count():
-            break
+        active = stage(nodes.join(sizes.where(F.col("n") > most_leaves), "path").select("path", "label", "n"), "open")
+        if not active.limit(1).count():
+            return nodes
         start = Window.partitionBy("path").orderBy(hash32(f"{seed}-{depth}", "label"), "label")
-        side = stage(open_nodes.withColumn("r", F.row_number().over(start)).select("label", "path", "n", F.when(F.col("r") == 1, 0).when(F.col("r") == 2, 1).alias("side")), "side")
-        for _ in range(rounds):
-            middle = unit.join(side.where("side is not null").select("label", "path", "side"), "label").groupBy("path", "side", "feature").agg(F.sum("value").alias("c"))
+        # a filter on the rank: Spark keeps the first few of each task before the shuffle
+        sides = stage(active.withColumn("r", F.row_number().over(start)).where(F.col("r") <= arity).select("path", "label", (F.col("r") - 1).alias("side")), "seeds")
+        resting, before = None, None
+        for turn in range(rounds):
+            middle = unit.join(sides, "label").groupBy("path", "side", "feature").agg(F.sum("value").alias("c"))
             length = middle.groupBy("path", "side").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l"))
             middle = middle.join(length, ["path", "side"]).select("path", "side", "feature", (F.col("c") / F.col("l")).alias("c"))
-            scored = unit.join(side.select("label", "path", "n"), "label").join(middle, ["path", "feature"]).groupBy("label", "path", "n").agg(F.round(F.sum(F.when(F.col("side") == 0, F.col("value") * F.col("c")).otherwise(-F.col("value") * F.col("c"))), 9).alias("gap"))
-            scored = side.select("label", "path", "n").join(scored, ["label", "path", "n"], "left").withColumn("gap", F.coalesce("gap", F.lit(0.0)))
-            place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("gap"), "label"))
-            side = stage(scored.select("label", "path", "n", F.when(place <= F.expr("n div 2"), 0).otherwise(1).alias("side")), "side")
-        moved = side.select("label", F.concat("path", F.col("side").cast("string")).alias("path"))
-        rest = nodes.join(side.select("label"), "label", "left_anti")
-        nodes = stage(rest.unionByName(moved), "nodes")
-    return nodes
+            dots = unit.join(active, "label").join(middle, ["path", "feature"]).groupBy("path", "label", "side").agg(F.sum(F.col("value") * F.col("c")).alias("v"))
+            sims = dots.groupBy("path", "label").agg(F.map_from_entries(F.collect_list(F.struct("side", "v"))).alias("by"))
+            none = F.create_map().cast("map<int,double>")
+            vector = F.transform(F.sequence(F.lit(0), F.lit(arity - 1)), lambda i: F.coalesce(F.try_element_at(F.coalesce("by", none), i), F.lit(0.0)))
+            gaps = stage(active.join(sims, ["path", "label"], "left").select("path", "label", "n", vector.alias("sims")), "sims")
+            dealt = stage(_dealt(gaps, arity, f"{seed}-{depth}"), "sides")
+            means = stage(dealt.groupBy("path").agg(F.avg("own").alias("now")), "means")
+            still = means if before is None else means.join(before.withColumnRenamed("now", "was"), "path").where(F.col("now") > F.col("was") + eps)
+            rest = dealt if turn == rounds - 1 else dealt.join(still.select("path"), "path", "left_anti")
+            rest = rest.select("path", "label", "side")
+            resting = rest if resting is None else resting.unionByName(rest)
+            if turn == rounds - 1:
+                break
+            sides = stage(dealt.join(still.select("path"), "path", "left_semi").select("path", "label", "side"), "going")
+            active, before = active.join(sides.select("path").distinct(), "path", "left_semi"), means
+            if not sides.limit(1).count():
+                break
+        digit = F.element_at(F.array(*[F.lit(c) for c in "0123456789abcdefghijklmnopqrstuvwxyz"[:arity]]), F.col("side") + 1)
+        moved = resting.select("label", F.concat("path", digit).alias("path"))
+        nodes, depth = stage(nodes.join(sizes.where(F.col("n") <= most_leaves), "path", "left_semi").select("label", "path").unionByName(moved), "nodes"), depth + 1
 
 
 def cluster_tree(clusters: DataFrame) -> DataFrame:
@@ -166,18 +294,34 @@ def hard_negatives(predictions: DataFrame, doc_labels: DataFrame, tree: DataFram
     return nodes.join(node_positives(doc_labels, tree, paths), ["doc_id", "node"], "left_anti")
 
 
-def train_tree(features: DataFrame, doc_labels: DataFrame, tree: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(weights(label = node, feature, weight), constants(node, p)) of a probabilistic label tree's node models.
+def train_tree(features: DataFrame, doc_labels: DataFrame, tree: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(weights(model = node, feature, weight), constants(node, p)) of a probabilistic label tree's node models.
 
-    A node is fitted as one label of a one-vs-rest batch whose examples are all documents; documents that do not reach the
-    node are negatives as well, so the node gives its joint probability and a path needs no product.
+    A node is fitted, as a logistic model of its conditional probability, on the documents that reach it: those with a
+    label below its parent (at the root: all). Nodes whose examples agree have a constant and no model. The work is that
+    of the (document, node) rows of the training set, whatever the number of nodes.
     """
-    from bramble.operators.linear import train_in_batches
-
     paths = closure(tree)
-    positive = stage(node_positives(doc_labels, tree, paths), "positives")
-    docs = features.select("doc_id").distinct()
-    constant = constant_nodes(training_set(docs, doc_labels, tree, paths))
-    nodes = positive.select(F.col("node").cast("string").alias("label")).distinct()
-    weights = train_in_batches(features, positive.select("doc_id", F.col("node").cast("string").alias("label")), nodes, loss="logistic", rounds=rounds)
-    return weights, constant
+    docs = features.select("doc_id").distinct().unionByName(doc_labels.select("doc_id").distinct()).distinct()
+    examples = stage(training_set(docs, doc_labels, tree, paths), "examples")
+    constant = stage(constant_nodes(examples), "constants")
+    asked = examples.join(constant, "node", "left_anti").select("doc_id", F.col("node").alias("model"), "y")
+    return train_examples(features, asked, order=path_order(paths), **options), constant
+
+
+def model_scores(features: DataFrame, weights: DataFrame, constants: DataFrame) -> Scorer:
+    """A scorer from the node models of train_tree: the sigmoid of the document's score, or the node's constant."""
+
+    def scored(asked: DataFrame) -> DataFrame:
+        fixed = asked.join(constants, "node")
+        rest = asked.join(constants, "node", "left_anti").select("doc_id", F.col("node").cast("string").alias("model"), "node")
+        names = rest.select("model", "node").distinct()
+        p = score_examples(features, weights, rest.select("doc_id", "model")).join(names, "model").select("doc_id", "node", sigmoid(F.col("score")).alias("p"))
+        return fixed.select("doc_id", "node", "p").unionByName(p)
+
+    return scored
+
+
+def predict(features: DataFrame, tree: DataFrame, weights: DataFrame, constants: DataFrame, k: int, normalise: bool = False) -> DataFrame:
+    """(doc_id, rank, label, score): the k labels of the largest path probability of each document."""
+    return best_first(features.select("doc_id").distinct(), tree, model_scores(features, weights, constants), k, normalise)

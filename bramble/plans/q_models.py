@@ -135,21 +135,69 @@ def l10b(s, d):
     tree = _tree(s, d)
     # node scores depend on nothing but a document's key here, so the search runs once a key
     keys = v.order_keys(s, d).select(F.col("key").alias("doc_id")).distinct()
-    scores = stage(keys.join(_node_scores(s, d, tree, LT.closure(tree))), "nodes")
-    found = LT.beam_search(keys, tree, scores, beam=27, k=3).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("found"))
+    scores = stage(keys.crossJoin(F.broadcast(_node_scores(s, d, tree, LT.closure(tree)))), "nodes")
+    found = LT.best_first(keys, tree, LT.table_scores(scores), 3).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("best"), F.count("*").alias("found"))
     return v.order_keys(s, d).join(found.withColumnRenamed("doc_id", "key"), "key").select("doc_id", "best", "found")
 
 
+KEY_NODES = POSITIVE + """, kn AS (SELECT key, node, count(*) AS k FROM pos JOIN order_keys USING (doc_id) GROUP BY key, node), kd AS (SELECT key, count(DISTINCT doc_id) AS n FROM order_labels JOIN order_keys USING (doc_id) GROUP BY key),
+    cp AS (SELECT kn.key, kn.node, round(kn.k / coalesce(a.k, kd.n), 9) AS p FROM kn JOIN tree t ON t.node = kn.node JOIN kd ON kd.key = kn.key LEFT JOIN kn a ON a.key = kn.key AND a.node = t.parent),
+    prod AS (SELECT cp.key, t.label, round(exp(sum(ln(cp.p))), 9) AS score FROM cp JOIN up u ON u.ancestor = cp.node JOIN tree t ON t.node = u.node WHERE t.label IS NOT NULL GROUP BY cp.key, t.label HAVING bool_or(u.node = cp.node)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, label) AS rank FROM prod)"""
+
+
+@query("l10_best_first", with_views(f"WITH {KEY_NODES} SELECT doc_id, rank, label, round(score, 6) AS score FROM order_keys JOIN best USING (key) WHERE rank <= 3", "order_keys", "order_labels", recursive=True))
+def l10c(s, d):
+    """Nodes have the share of documents of the document's key that go on from the parent to them."""
+    tree, rows, keys = _tree(s, d), v.order_labels(s, d), v.order_keys(s, d)
+    below = LT.node_positives(rows, tree, LT.closure(tree)).join(keys, "doc_id").groupBy("key", "node").agg(F.count("*").alias("k"))
+    below = stage(below.join(tree.select("node", "parent"), "node"), "below")
+    whole = rows.join(keys, "doc_id").groupBy("key").agg(F.count_distinct("doc_id").alias("n"))
+    above = below.select("key", F.col("node").alias("parent"), F.col("k").alias("reached"))
+    share = stage(below.join(whole, "key").join(above, ["key", "parent"], "left").select("key", "node", F.round(F.col("k") / F.coalesce("reached", "n"), 9).alias("p")), "shares")
+    scorer = lambda asked: asked.join(keys, "doc_id").join(share, ["key", "node"]).select("doc_id", "node", "p")
+    return LT.best_first(keys.select("doc_id"), tree, scorer, 3).withColumn("score", F.round("score", 6))
+
+
 @query("t15_balanced_label_tree")
 def t15(s, d):
-    return LT.balanced_clusters(X.label_centroids(v.order_labels(s, d), v.order_features(s, d)), most_leaves=4)
+    return LT.balanced_clusters(X.label_centroids(v.order_labels(s, d), v.order_features(s, d)), arity=3, most_leaves=4)
+
+
+@query("t15_leaf_sizes", """WITH RECURSIVE n AS (SELECT count(DISTINCT p_brand) AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
+    t AS (SELECT 'r' AS path, n FROM n UNION ALL SELECT path || i, n // 3 + (CASE WHEN n % 3 > i THEN 1 ELSE 0 END) FROM t, (SELECT unnest([0, 1, 2]) AS i) WHERE n > 4) SELECT path, n FROM t WHERE n <= 4""")
+def t15b(s, d):
+    """Whatever the clusters hold, their sizes differ by one at most among siblings."""
+    rows = LT.balanced_clusters(X.label_centroids(v.order_labels(s, d), v.order_features(s, d)), arity=3, most_leaves=4)
+    return rows.groupBy("path").agg(F.count("*").alias("n"))
+
+
+def _node_features(s, d):
+    return v.order_features(s, d).select("doc_id", "feature", (F.col("value") / 50).cast("double").alias("value"))
+
+
+def _tree_predictions(s, d, **options):
+    tree, f = _tree(s, d), stage(_node_features(s, d), "features")
+    weights, constants = LT.train_tree(f, v.order_labels(s, d), tree, **options)
+    return LT.predict(f, tree, stage(weights, "weights"), constants, 5).withColumn("score", F.round("score", 6))
 
 
 @query("t18_label_tree_models")
 def t18(s, d):
-    tree = _tree(s, d)
-    weights, _ = LT.train_tree(v.order_features(s, d).withColumn("value", F.col("value") / 50), v.order_labels(s, d), tree, rounds=6)
-    return weights.select(F.col("label").alias("node"), "feature", F.round("weight", 6).alias("weight"))
+    return _tree_predictions(s, d, rounds=6)
+
+
+@query("t18_first_round", with_views(f"""WITH {POSITIVE}, tr AS (SELECT doc_id, node, 1 AS y FROM pos UNION ALL SELECT p.doc_id, t.node, 0 FROM pos p JOIN tree t ON t.parent = p.node WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.doc_id = p.doc_id AND q.node = t.node)),
+    facts AS (SELECT node, count(*) AS n, min(y) AS lo, max(y) AS hi FROM tr GROUP BY node), x AS (SELECT doc_id, feature, value / 50.0 AS v FROM order_features UNION ALL SELECT DISTINCT doc_id, '', 1.0 FROM order_features),
+    g AS (SELECT node, feature, sum(CASE WHEN y = 1 THEN -0.5 ELSE 0.5 END * v::DOUBLE) / any_value(n) AS g FROM tr JOIN facts USING (node) JOIN x USING (doc_id) WHERE lo < hi GROUP BY node, feature),
+    w AS (SELECT node, feature, -0.5 * g / sqrt(g * g + 1e-12) AS w FROM g), docs AS (SELECT DISTINCT doc_id FROM order_features),
+    z AS (SELECT doc_id, node, sum(v::DOUBLE * w) AS z FROM x JOIN w USING (feature) GROUP BY doc_id, node),
+    p AS (SELECT doc_id, node, 1 / (1 + exp(-z)) AS p FROM z UNION ALL SELECT doc_id, node, lo FROM docs, facts WHERE lo = hi),
+    s AS (SELECT p.doc_id, t.label, round(exp(sum(ln(greatest(p.p, 1e-300)))), 9) AS score FROM p JOIN up u ON u.ancestor = p.node JOIN tree t ON t.node = u.node WHERE t.label IS NOT NULL GROUP BY p.doc_id, t.label)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rank, label, round(score, 4) AS score FROM s QUALIFY rank <= 5""", "order_labels", "order_features", recursive=True))
+def t18b(s, d):
+    """After one round the node models have a closed form, so the whole way from training to top-k can be told in SQL."""
+    return _tree_predictions(s, d, rounds=1).withColumn("score", F.round("score", 4))
 
 
 @query("t32_hard_negatives", with_views(f"""WITH {POSITIVE}, wrong AS (SELECT t.doc_id, t.label FROM top5 t WHERE NOT EXISTS (SELECT 1 FROM order_labels o WHERE o.doc_id = t.doc_id AND o.label = t.label) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 2)
@@ -263,7 +311,7 @@ def t10(s, d):
 def t11(s, d):
     f = v.order_features(s, d).withColumn("value", F.col("value") / 50)
     rows = v.order_labels(s, d)
-    return linear.train_in_batches(f, rows, rows, batch=1000, rounds=5).select("label", "feature", F.round("weight", 6).alias("weight"))
+    return linear.train_in_batches(f, rows, rows, batch=1000, rounds=5, own_features=True).select("label", "feature", F.round("weight", 6).alias("weight"))
 
 
 @query("t08_node_classifiers")
@@ -285,7 +333,7 @@ def t08(s, d):
 def t19(s, d):
     f = v.order_features(s, d).withColumn("value", F.col("value") / 50)
     rows = v.order_labels(s, d)
-    w = linear.train_in_batches(f, rows, rows, batch=1000, rounds=5, loss="logistic")
+    w = linear.train_in_batches(f, rows, rows, batch=1000, rounds=5, loss="logistic", own_features=True)
     from bramble.functions.scores import sigmoid
 
     p = linear.score(f, w).select("doc_id", "label", F.round(sigmoid(F.col("score")), 6).alias("score"))

@@ -120,7 +120,7 @@ def test_complete_tree_and_problems(spark):
     assert up.where("ancestor = 0").count() == 13
     cycle = spark.createDataFrame([("root", "a", None), ("b", "c", "x"), ("c", "b", None)], "parent string, child string, label string")
     found = {tuple(r) for r in labeltree.problems(cycle, spark.createDataFrame([("x",), ("y",)], "label string"), "root").collect()}
-    assert found == {("unreachable", "b"), ("unreachable", "c"), ("missing_label", "y")}
+    assert found == {("cycle", "b"), ("cycle", "c"), ("unreachable", "b"), ("unreachable", "c"), ("missing_label", "y")}
 
 
 def test_balanced_clusters(spark):
@@ -129,6 +129,135 @@ def test_balanced_clusters(spark):
     assert sum(sizes) == 20 and max(sizes) <= 4
 
 
+@pytest.mark.parametrize("arity", [2, 3, 5])
+def test_balanced_clusters_are_balanced(spark, arity):
+    # equal vectors on purpose: only hashes tell most of them apart
+    rows = spark.createDataFrame([(f"l{i}", f"f{i % 2}", 1.0) for i in range(67)], "label string, feature string, value double")
+    paths = {r["label"]: r["path"] for r in labeltree.balanced_clusters(rows, arity=arity, most_leaves=4, rounds=3).collect()}
+    assert len(paths) == 67
+    inner = {p[:i] for p in paths.values() for i in range(1, len(p))}
+    for node in inner:
+        sizes = [sum(p.startswith(node + c) for p in paths.values()) for c in "0123456789"[:arity]]
+        assert max(sizes) - min(sizes) <= 1 and min(sizes) > 0
+    assert all(sum(q == p for q in paths.values()) <= max(4, arity - 1) for p in paths.values())
+    tree = labeltree.cluster_tree(spark.createDataFrame(list(paths.items()), "label string, path string"))
+    edges = tree.where("parent is not null").select("parent", F.col("node").alias("child"), "label")
+    assert labeltree.problems(edges, rows, "r").count() == 0
+
+
+def test_deep_trees(spark):
+    n = 1000
+    chain = [("root" if i == 0 else f"n{i - 1}", f"n{i}", "x" if i == n - 1 else None) for i in range(n)]
+    ring = [(f"c{(i + 1) % 5}", f"c{i}", None) for i in range(5)] + [("c2", "tail", None), ("lone", "leaf", "y")]
+    edges = spark.createDataFrame(chain + ring, "parent string, child string, label string")
+    labels_df = spark.createDataFrame([("x",), ("y",)], "label string")
+    assert labeltree.problems(spark.createDataFrame(chain, edges.schema), labels_df.where("label = 'x'"), "root").count() == 0
+    found = {tuple(r) for r in labeltree.problems(edges, labels_df, "root").collect()}
+    assert found == {("cycle", f"c{i}") for i in range(5)} | {("unreachable", f"c{i}") for i in range(5)} | {("unreachable", "tail"), ("unreachable", "leaf")}
+    # a second parent that leads to the root saves a child and all below it
+    two = spark.createDataFrame([("a", "b", None), ("b", "a", None), ("root", "b", None), ("b", "d", "x")], edges.schema)
+    assert {tuple(r) for r in labeltree.problems(two, labels_df.where("label = 'x'"), "root").collect()} == {("duplicate_child", "b")}
+    tree = spark.createDataFrame([("root", None, None)] + [(c, p, l) for p, c, l in chain[:100]], "node string, parent string, label string")
+    assert labeltree.closure(tree).count() == sum(range(1, 102))
+    with pytest.raises(ValueError, match="cycle"):
+        labeltree.closure(spark.createDataFrame([("a", "b", None), ("b", "a", None)], "node string, parent string, label string"))
+
+
+@pytest.mark.parametrize("normalise", [False, True])
+def test_best_first_is_exact(spark, normalise):
+    rng = random.Random(11)
+    tree = [(0, None, None)]
+    for i in range(1, 60):
+        parent = rng.choice([n for n, _, _ in tree if n < 20])
+        tree.append((i, parent, None))
+    inner = {p for _, p, _ in tree}
+    tree = [(n, p, None if n in inner else f"l{n}") for n, p, _ in tree]
+    p = {(d, n): rng.choice([0.0, 0.5, 1.0, rng.random() ** 3]) for d in range(12) for n, _, _ in tree}
+    kids = {}
+    for n, parent, _ in tree:
+        kids.setdefault(parent, []).append(n)
+    share = dict(p)
+    if normalise:
+        for (d, n), x in p.items():
+            parent = tree[n][1]
+            total = sum(p[d, m] for m in kids[parent])
+            share[d, n] = x if parent is None or total == 0 else x / total
+    want = {}
+    for d in range(12):
+        scores = []
+        for n, _, label in tree:
+            if label is not None:
+                x, at = 1.0, n
+                while at is not None:
+                    x, at = x * share[d, at], tree[at][1]
+                scores.append((-round(x, 9), label))
+        want |= {(d, r): (label, -x) for r, (x, label) in enumerate(sorted(scores)[:4], 1)}
+    frame = spark.createDataFrame(tree, "node long, parent long, label string")
+    scorer = labeltree.table_scores(spark.createDataFrame([(d, n, x) for (d, n), x in p.items()], "doc_id long, node long, p double"))
+    got = {(r["doc_id"], r["rank"]): (r["label"], r["score"]) for r in labeltree.best_first(spark.range(12).withColumnRenamed("id", "doc_id"), frame, scorer, 4, normalise).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
+def test_node_models_see_the_documents_that_reach_them(spark):
+    rng = random.Random(12)
+    tree = spark.createDataFrame([("r", None, None), ("a", "r", None), ("b", "r", None), ("a1", "a", "x"), ("a2", "a", "y"), ("b1", "b", "z")], "node string, parent string, label string")
+    own = {i: set(rng.sample(["x", "y", "z"], rng.randint(0, 2))) for i in range(60)}
+    docs = {i: {f"f{rng.randrange(9)}": rng.random() for _ in range(3)} | {f"own{l}": 1.0 for l in ls if rng.random() < 0.8} for i, ls in own.items()}
+    f = spark.createDataFrame([(i, n, x) for i, row in docs.items() for n, x in row.items()], "doc_id long, feature string, value double")
+    l = spark.createDataFrame([(i, x) for i, ls in own.items() for x in ls], "doc_id long, label string")
+    below = {"r": {"x", "y", "z"}, "a": {"x", "y"}, "b": {"z"}, "a1": {"x"}, "a2": {"y"}, "b1": {"z"}}
+    up = {"a": "r", "b": "r", "a1": "a", "a2": "a", "b1": "b"}
+    weights, constants = labeltree.train_tree(f, l, tree, rounds=3, batch=2)
+    got, fixed = {(r["model"], r["feature"]): r["weight"] for r in weights.collect()}, {r["node"]: r["p"] for r in constants.collect()}
+    want, p = {}, {}
+    for node, labels_below in below.items():
+        seen = [i for i in own if node == "r" or own[i] & below[up[node]]]
+        y = {i: bool(own[i] & labels_below) for i in seen}
+        if len(set(y.values())) == 1:
+            assert fixed[node] == float(y[seen[0]])
+            p |= {(i, node): fixed[node] for i in own}
+            continue
+        w, q = {}, {}
+        for _ in range(3):
+            g = {}
+            for i in seen:
+                row, sign = {**docs[i], linear.BIAS: 1.0}, 1.0 if y[i] else -1.0
+                slope = -sign / (1 + math.exp(sign * sum(x * w.get(n, 0.0) for n, x in row.items())))
+                for n, x in row.items():
+                    g[n] = g.get(n, 0.0) + slope * x
+            for n, x in g.items():
+                x = x / len(seen) + (0.0 if n == linear.BIAS else 1e-6 * w.get(n, 0.0))
+                q[n] = q.get(n, 0.0) + x * x
+                w[n] = w.get(n, 0.0) - 0.5 * x / math.sqrt(q[n] + 1e-12)
+        want |= {(node, n): x for n, x in w.items() if x}
+        p |= {(i, node): 1 / (1 + math.exp(-sum(x * w.get(n, 0.0) for n, x in {**docs[i], linear.BIAS: 1.0}.items()))) for i in own}
+    assert got == pytest.approx(want) and set(fixed) == {"b1"}
+    scores = {(r["doc_id"], r["label"]): r["score"] for r in labeltree.predict(f, tree, weights, constants, 3).collect()}
+    for i in own:
+        for leaf, label in (("a1", "x"), ("a2", "y"), ("b1", "z")):
+            assert scores[i, label] == pytest.approx(p[i, "r"] * p[i, up[leaf]] * p[i, leaf], abs=2e-9)
+
+
+def test_side_models_fit_better_than_means(spark):
+    truth, f = planted(spark)
+    f = features.l2_normalise(f)
+    sides = doctree.split(truth.select("doc_id").distinct().select(F.lit(0).alias("tree"), F.lit("r").alias("node"), "doc_id"), truth, most_rounds=5)
+    loss = {name: doctree.side_loss(sides, f, m).first()["loss"] for name, m in (("mean", doctree.mean_models(sides, f)), ("logistic", doctree.side_models(sides, f)))}
+    assert loss["logistic"] < loss["mean"]
+
+
+def test_own_features_keep_weights_sparse(spark):
+    truth, f = planted(spark)
+    w = linear.train_in_batches(f, truth, truth, batch=3, rounds=8, own_features=True, epsilon=0.0)
+    seen = truth.join(f, "doc_id").select("label", "feature").distinct()
+    assert w.where(F.col("feature") != linear.BIAS).join(seen, ["label", "feature"], "left_anti").count() == 0
+    assert precision_at_1(topk.top_k(linear.score(f, w), 1), truth) > 0.6
+    # documents without features, and features without documents to learn from
+    one = linear.train_examples(f.where("doc_id < 0"), spark.createDataFrame([(1, "m", 1), (2, "m", 0), (3, "m", 1)], "doc_id long, model string, y int"), rounds=2)
+    assert [r["feature"] for r in one.collect()] == [linear.BIAS]
+    assert linear.train_examples(f, spark.createDataFrame([], "doc_id long, model string, y int"), rounds=1).count() == 0
+
+
 def test_split_objective_never_falls(spark):
     rows = spark.createDataFrame([(d, f"l{(d * k) % 11}") for d in range(120) for k in (1, 3)], "doc_id long, label string").distinct()
     nodes = rows.select("doc_id").distinct().select(F.lit(0).alias("tree"), F.lit("r").alias("node"), "doc_id")
