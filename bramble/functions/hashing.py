@@ -53,6 +53,6 @@ def ngram_bucket(grams: Column, buckets: int) -> Column:
 
 
 def signed_feature(gram: Column, size: int) -> Column:
-    """(index, sign) of a hashed n-gram: one bit of xxhash64 gives the sign, the rest the index."""
-    h = F.xxhash64(gram)
-    return F.struct(F.pmod(F.shiftrightunsigned(h, 1), F.lit(size)).alias("index"), F.when(h.bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0).alias("sign"))
+    """(index, sign) of a hashed n-gram: the lowest bit of 32 bits of its md5 gives the sign, the rest the index."""
+    h = F.conv(F.substring(F.md5(gram.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.struct((F.shiftright(h, 1) % size).alias("index"), F.when(h % 2 == 1, 1.0).otherwise(-1.0).alias("sign"))

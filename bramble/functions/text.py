@@ -75,6 +75,21 @@ def markup_to_text(markup: Column) -> Column:
     return F.trim(F.regexp_replace(out, "[^a-z]+", " "))
 
 
+def is_redirect(markup: Column) -> Column:
+    """Whether a page only points at another one."""
+    return F.coalesce(F.lower(markup).contains("#redirect"), F.lit(False))
+
+
+def markup_to_lines(markup: Column) -> Column:
+    """The variant that keeps digits and other scripts: an array of lines, tags, comments, references and template calls
+    dropped, links reduced to their anchor, lower case, white space runs made one space, lines of one token left out."""
+    out = F.regexp_replace(markup, r"(?s)<!--.*?-->|<(script|style)[^>]*>.*?</\1>", " ")
+    out = F.regexp_replace(out, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
+    out = F.lower(F.regexp_replace(out, r"\{\{[^}]*\}\}|<[^>]*>|&[#\w]+;", " "))
+    lines = F.transform(F.split(out, r"\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
+    return F.filter(lines, lambda x: x.contains(" "))
+
+
 def first_words(text: Column, n: int, empty: str = "filling empty") -> Column:
     """The first n tokens; a text without tokens becomes `empty`."""
     found = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")

@@ -109,14 +109,20 @@ def window_counts(docs: DataFrame, tokens: Column, width: int = 20) -> tuple[Dat
     texts = docs.select(tokens.alias("w")).where(F.size("w") > 0).select("w", F.greatest(F.size("w") - width, F.lit(0)).alias("last"))
     first = lambda place: F.greatest(F.lit(0), place - (width - 1))
     starts = lambda low, high: F.greatest(F.lit(0), F.least(high, F.col("last")) - F.least(low, F.col("last") + 1) + 1).cast("long")
-    placed = texts.select(F.monotonically_increasing_id().alias("text"), "w", "last").select("text", "last", F.posexplode("w").alias("i", "word"))
-    before = F.coalesce(F.lag("i").over(Window.partitionBy("text", "word").orderBy("i")), F.lit(-1))
-    words = placed.select("word", starts(F.greatest(first(F.col("i")), before + 1), F.col("i")).alias("k")).groupBy("word").agg(F.sum("k").alias("n"))
-    left = texts.select("w", "last", F.posexplode("w").alias("i", "a"))
-    both = left.select("last", "i", "a", F.posexplode(F.slice("w", F.col("i") + 2, F.lit(width - 1))).alias("d", "b")).where(F.col("a") != F.col("b"))
-    one = both.groupBy("a", "b").agg(F.sum(starts(first(F.col("i") + 1 + F.col("d")), F.col("i"))).alias("n"))
-    either = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    return words, either.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # a text's places in the order of (word, place), so that the place before of the same word is the neighbour
+    placed = texts.select("last", F.array_sort(F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("i")))).alias("p"))
+
+    def windows_of(e: Column, j: Column) -> Column:
+        before = F.get("p", j - 1)
+        seen = F.when((j > 0) & (before["word"] == e["word"]), before["i"]).otherwise(-1)
+        return F.struct(e["word"].alias("word"), starts(F.greatest(first(e["i"]), seen + 1), e["i"]).alias("k"))
+
+    words = placed.select(F.explode(F.transform("p", windows_of)).alias("e")).groupBy("e.word").agg(F.sum("e.k").alias("n"))
+    left = texts.select("w", "last", F.posexplode("w").alias("i", "x"))
+    both = left.select("last", "i", "x", F.posexplode(F.slice("w", F.col("i") + 2, F.lit(width - 1))).alias("d", "y")).where(F.col("x") != F.col("y"))
+    one = both.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.sum(starts(first(F.col("i") + 1 + F.col("d")), F.col("i"))).alias("n"))
+    either = F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("e")
+    return words, one.select(either, "n").select("e.a", "e.b", "n")
 
 
 def pmi(words: DataFrame, pairs: DataFrame, n_windows: DataFrame) -> DataFrame:
@@ -138,6 +144,24 @@ def text_graph(docs: DataFrame, tokens: Column, width: int = 20) -> DataFrame:
     return ww.unionByName(dw.select(F.lit("doc").alias("src_type"), F.col("doc_id").cast("string").alias("src"), F.lit("word").alias("dst_type"), F.col("feature").alias("dst"), F.col("value").alias("weight")))
 
 
+def graph_nodes(docs: DataFrame, tokens: Column, is_test: Column) -> DataFrame:
+    """(node_type, name, node): dense numbers from 0 for train documents by id, then words by name, then test documents."""
+    from bramble.operators.labels import _numbered
+
+    part = F.when(is_test, 2).otherwise(0)
+    own = docs.select(part.alias("part"), F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"))
+    words = docs.select(F.explode(tokens).alias("name")).distinct().select(F.lit(1).alias("part"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("id"), "name")
+    numbered = _numbered(own.unionByName(words), ["part", "id", "name"], "node")
+    return numbered.select(F.when(F.col("part") == 1, "word").otherwise("doc").alias("node_type"), "name", "node")
+
+
+def numbered_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, weight): edges of text_graph between node numbers."""
+    side = lambda end: nodes.select(F.col("node_type").alias(f"{end}_type"), F.col("name").alias(end), F.col("node").alias(f"{end}_node"))
+    rows = edges.join(side("src"), ["src_type", "src"]).join(side("dst"), ["dst_type", "dst"])
+    return rows.select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"), "weight")
+
+
 def sparse_dot(features: DataFrame, weights: DataFrame, bias: DataFrame | None = None) -> DataFrame:
     """(doc_id, label, score): sum over shared features of value * weight, plus a label's bias."""
     s = features.join(weights, "feature").groupBy("doc_id", "label").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))

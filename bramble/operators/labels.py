@@ -108,15 +108,27 @@ def expand_groups(doc_groups: DataFrame, members: DataFrame) -> DataFrame:
     return doc_groups.join(members, "group").select("doc_id", "label").distinct()
 
 
+#: Labels of the pool that pads candidate lists, beyond the size of a list.
+POOL = 4096
+
+
 def fixed_candidates(candidates: DataFrame, all_labels: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """(doc_id, label, own): n labels per document: its candidates, thinned by seeded hash, padded from all labels by hash."""
+    """(doc_id, label, own): n labels per document: its candidates, thinned by seeded hash to n, then padded.
+
+    Padding comes from one pool of n + POOL labels at most, in a rotation that begins at a place of the document's hash:
+    only n places of it are read for a document, n + n of them holding enough labels that are not its own. Documents of
+    fewer than n labels in all get what there is.
+    """
     from bramble.functions.hashing import hash32
 
-    docs = candidates.select("doc_id").distinct()
-    own = candidates.select("doc_id", "label", F.lit(True).alias("own"))
-    # n labels that are none of a document's own are enough padding, and n + (its own) hashed labels always hold them
-    most = candidates.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 0
-    pool = all_labels.select("label").distinct().orderBy(hash32(seed, "label"), "label").limit(n + most)
-    pads = docs.crossJoin(F.broadcast(pool)).join(own.select("doc_id", "label"), ["doc_id", "label"], "left_anti").withColumn("own", F.lit(False))
-    ranked = own.unionByName(pads).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("own"), hash32(seed, "doc_id", "label"), "label")))
-    return ranked.where(F.col("r") <= n).select("doc_id", "label", "own")
+    own = candidates.select("doc_id", "label").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(hash32(seed, "doc_id", "label"), "label"))).where(F.col("_r") <= n)
+    packed = own.groupBy("doc_id").agg(F.collect_list("label").alias("mine"))
+    pool = all_labels.select("label").distinct().orderBy(hash32(seed, "label"), "label").limit(n + POOL).agg(F.collect_list("label").alias("pool"))
+    size = F.size("pool")
+    begin = F.when(size > 0, (hash32(seed, "doc_id") % size).cast("int")).otherwise(0)
+    turned = F.concat(F.slice("pool", begin + 1, size), F.slice("pool", F.lit(1), begin))
+    # one row of bounded size goes to all documents
+    lists = packed.crossJoin(F.broadcast(pool)).select("doc_id", "mine", F.slice(turned, F.lit(1), F.lit(2 * n)).alias("near"))
+    pads = F.slice(F.filter("near", lambda x: ~F.array_contains("mine", x)), F.lit(1), F.lit(n) - F.size("mine"))
+    rows = F.concat(F.transform("mine", lambda x: F.struct(x.alias("label"), F.lit(True).alias("own"))), F.transform(pads, lambda x: F.struct(x.alias("label"), F.lit(False).alias("own"))))
+    return lists.select("doc_id", F.explode(rows).alias("e")).select("doc_id", "e.label", "e.own")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bramble.functions import text as T
 from bramble.operators.metrics import micro
 from bramble.operators.topk import top_k
+from bramble.plans.shared import stage
 
 
 def train(doc_keys: DataFrame, doc_labels: DataFrame) -> DataFrame:
@@ -38,17 +39,40 @@ def key_vectors(keys: DataFrame, least: int = 2, most: int = 3) -> DataFrame:
     return rows.select("key", "gram", (F.col("w") / length).alias("weight"))
 
 
-def nearest_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(key, nearest, similarity): the known key of the largest cosine with each asked key, the first by name among equals.
+def candidate_keys(a: DataFrame, k: DataFrame, champions: int = 8) -> DataFrame:
+    """(key, nearest): pairs among which is the most similar known key of each asked key, from unit vectors a(key, gram,
+    weight) and k(nearest, gram, w).
 
-    Only keys that share an n-gram meet; frequent n-grams are summed before the shuffle.
+    The known keys of the largest weights in each gram are compared first; the best similarity among them is a bound. Of
+    an asked key's grams, those held by most known keys are then set aside as long as all of them together, at their
+    largest weights, stay below the bound: a key that shares no other gram cannot be the best. So a gram that every key
+    holds makes no pairs, whatever the number of keys.
     """
+    lists = top_k(k, champions, by="gram", score="w", tie="nearest").select("nearest", "gram")
+    first = stage(a.select("key", "gram").join(lists, "gram").select("key", "nearest").distinct(), "first")
+    bound = similarities(first, a, k).groupBy("key").agg(F.max("similarity").alias("bound"))
+    held = k.groupBy("gram").agg(F.max("w").alias("most"), F.count("*").alias("df"))
+    # a key has few grams: the window stays within it
+    usual = Window.partitionBy("key").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = a.join(held, "gram").withColumn("reach", F.sum(F.col("weight") * F.col("most")).over(usual))
+    asked = reach.join(bound, "key").where(F.col("reach") >= F.col("bound") - 2e-9).select("key", "gram")
+    return first.unionByName(asked.join(k.select("nearest", "gram"), "gram").select("key", "nearest")).distinct()
+
+
+def similarities(pairs: DataFrame, a: DataFrame, k: DataFrame) -> DataFrame:
+    """(key, nearest, similarity) of pairs(key, nearest)."""
+    rows = pairs.join(a, "key").join(k, ["nearest", "gram"])
+    return rows.groupBy("key", "nearest").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("similarity"))
+
+
+def nearest_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, nearest, similarity): the known key of the largest cosine with each asked key, the first by name among equals;
+    a key that shares no n-gram with any has no row."""
     both = asked.select("key").unionByName(known.select("key")).distinct()
-    v = key_vectors(both)
+    v = stage(key_vectors(both), "vectors")
     a = v.join(asked.select("key").distinct(), "key", "left_semi")
     k = v.join(known.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("nearest"), "gram", F.col("weight").alias("w"))
-    sims = a.join(k, "gram").groupBy("key", "nearest").agg(F.round(F.sum(F.col("weight") * F.col("w")), 9).alias("similarity"))
-    best = top_k(sims, 1, by="key", score="similarity", tie="nearest")
+    best = top_k(similarities(candidate_keys(a, k), a, k), 1, by="key", score="similarity", tie="nearest")
     return best.select("key", "nearest", "similarity")
 
 

@@ -31,8 +31,16 @@ def fixed_size(docs: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def folds(docs: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """(doc_id, fold): a document's fold is a hash of its id, so sizes differ by chance only and no order is needed."""
-    return docs.select("doc_id", (hash32(seed, "doc_id") % k).cast("int").alias("fold"))
+    """(doc_id, fold): the documents in the order of a hash, in k runs whose sizes differ by one at most, the longer runs
+    first; places come from a range sort, not from a one-task window."""
+    from bramble.operators.labels import _numbered
+
+    rows = _numbered(docs.select("doc_id", hash32(seed, "doc_id").alias("_h")), ["_h", "doc_id"], "_place")
+    n = rows.count()
+    size, longer = n // k, n % k
+    early = F.expr(f"_place div {size + 1}")
+    late = F.lit(longer) + F.expr(f"(_place - {longer * (size + 1)}) div {max(size, 1)}")
+    return rows.select("doc_id", F.when(F.col("_place") < longer * (size + 1), early).otherwise(late).cast("int").alias("fold"))
 
 
 def per_tree_sample(docs: DataFrame, trees: int, fraction: float, seed: int = 42) -> DataFrame:

@@ -50,6 +50,26 @@ def mean_ensemble(members: list[DataFrame], k: int) -> DataFrame:
     return top_k(mean, k)
 
 
+def shared_ensemble(own: DataFrame, shared: DataFrame, k: int, members: int | None = None, logits: bool = False) -> DataFrame:
+    """(doc_id, label, score, rank): as sum_ensemble (mean_ensemble, where members is given) of own(doc_id, label, score) and
+    a member whose scores(label, score) are the same for every document.
+
+    The shared list is ranked once: beside its own labels, a document can only need as many of the shared ones, best
+    first, as k and its own labels together. Documents are those of own.
+    """
+    from bramble.operators.labels import _numbered
+
+    value = sigmoid(F.col("score")) if logits else F.col("score")
+    mine = own.select("doc_id", "label", value.alias("a"))
+    ranked = _numbered(shared.select("label", value.alias("b")), [F.desc("b"), "label"], "place")
+    need = mine.groupBy("doc_id").agg(F.count("*").alias("m"))
+    asked = need.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + (k - 1))).alias("place")).join(ranked, "place").select("doc_id", "label", "b")
+    others = asked.join(mine, ["doc_id", "label"], "left_anti").select("doc_id", "label", F.col("b").alias("score"))
+    ours = mine.join(ranked.select("label", "b"), "label", "left").select("doc_id", "label", (F.col("a") + F.coalesce("b", F.lit(0.0))).alias("score"))
+    total = F.col("score") if members is None else F.col("score") / members
+    return top_k(ours.unionByName(others).select("doc_id", "label", F.round(total, 9).alias("score")), k)
+
+
 def over(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.where(F.col("score") >= threshold)
 

@@ -11,6 +11,7 @@ from bramble.operators import features as X
 from bramble.operators import vectors as V
 from bramble.plans import views as v
 from bramble.plans.registry import query
+from bramble.plans.shared import stage
 from bramble.plans.views import with_views
 
 WORDS = r"list_filter(regexp_split_to_array(replace(lower(text), ',', ''), '\s+'), lambda x: x <> '')"
@@ -83,6 +84,19 @@ def _markup_sql() -> str:
     return f"trim(regexp_replace({x}, '[^a-z]+', ' ', 'g'))"
 
 
+def _lines_sql() -> str:
+    x = r"regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
+    x = rf"regexp_replace({x}, '\[\[(?:[^|\]]*\|)?([^\]]*)\]\]', '\1', 'g')"
+    x = rf"lower(regexp_replace({x}, '\{{\{{[^}}]*\}}\}}|<[^>]*>|&[#\w]+;', ' ', 'g'))"
+    return rf"list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r\f\x0B]+', ' ', 'g'))), lambda l: contains(l, ' '))"
+
+
+@query("p14_markup_to_lines", f"SELECT page_id, len({_lines_sql()}) AS lines, md5(array_to_string({_lines_sql()}, chr(10))) AS text FROM pages WHERE NOT contains(lower(html), '#redirect')")
+def p14b(s, d):
+    pages = v.table(s, d, "pages").where(~T.is_redirect(F.col("html")))
+    return pages.select("page_id", T.markup_to_lines(F.col("html")).alias("x")).select("page_id", F.size("x").cast("long").alias("lines"), F.md5(F.array_join("x", "\n").cast("binary")).alias("text"))
+
+
 @query("p14_markup_to_text", f"SELECT page_id, md5({_markup_sql()}) AS text, length({_markup_sql()}) AS n FROM pages")
 def p14(s, d):
     return v.table(s, d, "pages").select("page_id", T.markup_to_text(F.col("html")).alias("x")).select("page_id", *_digest("text", "x"))
@@ -177,7 +191,8 @@ def w08(s, d):
     return X.context_pairs(v.tokens(s, d), 3).groupBy("doc_id").agg(F.count("*").alias("pairs"))
 
 
-@query("f01_hashed_ngrams")
+@query("f01_hashed_ngrams", with_views("""WITH u AS (SELECT doc_id, token AS gram FROM tokens UNION SELECT doc_id, token || ' ' || lead(token) OVER (PARTITION BY doc_id ORDER BY pos) FROM tokens),
+    h AS (SELECT doc_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT AS h FROM u WHERE gram IS NOT NULL) SELECT doc_id, (h >> 1) % 1048576 AS index, sum(CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS value FROM h GROUP BY ALL""", "tokens"))
 def f01(s, d):
     w = v.documents(s, d).select("doc_id", T.words(F.col("text")).alias("w"))
     grams = w.select("doc_id", F.explode(F.array_distinct(F.concat("w", T.word_ngrams(F.col("w"), 2)))).alias("gram"))
@@ -193,7 +208,9 @@ def f07(s, d):
     return v.tokens(s, d).select("token").distinct().select("token", H.fnv1a(F.col("token")).alias("h"))
 
 
-@query("f08_ngram_buckets")
+@query("f08_ngram_buckets", with_views(f"""WITH f AS MATERIALIZED (SELECT w AS token, {FNV} AS h FROM (SELECT DISTINCT token AS w FROM tokens)),
+    p AS (SELECT DISTINCT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tokens)
+    SELECT a || ' ' || b AS gram, ((x.h * 116049371 + y.h) % 10000000)::BIGINT AS bucket FROM p JOIN f x ON x.token = a JOIN f y ON y.token = b""", "tokens"))
 def f08(s, d):
     w = v.documents(s, d).select("doc_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 1)
     pairs = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, F.lit(2)))).alias("g")).select("g").distinct()
@@ -324,11 +341,23 @@ def a19(s, d):
     return X.text_graph(docs, w).groupBy("src_type", "dst_type").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 2).alias("weight"))
 
 
-@query("t29_graph_edges", TURNS + " SELECT a AS src, count(*) AS edges, round(max(weight), 6) AS most FROM pmi WHERE weight > 0 GROUP BY a")
+NODES = TURNS + """, tf AS (SELECT doc_id, f AS feature, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS f FROM turns) GROUP BY ALL), df AS (SELECT feature, count(*) AS df FROM tf GROUP BY feature),
+    named AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 2 ELSE 0 END AS part, doc_id AS id, NULL AS word FROM turns UNION ALL SELECT 1, NULL, feature FROM df),
+    nodes AS (SELECT part, id, word, row_number() OVER (ORDER BY part, id, word) - 1 AS node FROM named)"""
+
+
+@query("a19_graph_nodes", NODES + " SELECT CASE WHEN part = 1 THEN 'word' ELSE 'doc' END AS node_type, coalesce(word, id::VARCHAR) AS name, node FROM nodes")
+def a19b(s, d):
+    docs, w = _turns(s, d)
+    return X.graph_nodes(docs, w, F.col("doc_id") % 4 == 0)
+
+
+@query("t29_graph_edges", NODES + """ SELECT a.node AS src, b.node AS dst, round(weight, 6) AS weight FROM pmi JOIN nodes a ON a.word = pmi.a JOIN nodes b ON b.word = pmi.b WHERE weight > 0
+    UNION ALL SELECT a.node, b.node, round(tf * ln((SELECT count(*) FROM turns) / df), 6) FROM tf JOIN df USING (feature) JOIN nodes a ON a.id = doc_id JOIN nodes b ON b.word = feature""")
 def t29(s, d):
     docs, w = _turns(s, d)
-    g = X.text_graph(docs, w).where("src_type = 'word'")
-    return g.groupBy("src").agg(F.count("*").alias("edges"), F.round(F.max("weight"), 6).alias("most"))
+    nodes = stage(X.graph_nodes(docs, w, F.col("doc_id") % 4 == 0), "nodes")
+    return X.numbered_edges(X.text_graph(docs, w), nodes).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 # --- scores and dense vectors ---------------------------------------------------------------------------------------

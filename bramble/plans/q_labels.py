@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bramble.operators import features as X
@@ -98,11 +99,10 @@ def _scored_keys(s, d):
     return v.key_scores(s, d).withColumnRenamed("key", "doc_id")
 
 
-def _popular_keys(s, d):
-    """(doc_id = key, label, score): the share of each label, the same for every key."""
+def _popular(s, d):
+    """(label, score): the share of each label, the same for every document."""
     counts = L.counts(v.order_labels(s, d))
-    share = counts.crossJoin(counts.agg(F.sum("n").alias("total"))).select("label", F.round(F.col("n") / F.col("total"), 9).alias("score"))
-    return v.order_keys(s, d).select(F.col("key").alias("doc_id")).distinct().join(share)
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("label", F.round(F.col("n") / F.col("total"), 9).alias("score"))
 
 
 def _of_keys(s, d, ranked):
@@ -178,9 +178,11 @@ def a28(s, d):
     FROM h, (SELECT unnest([1, 3, 5]) AS k) GROUP BY model, doc_id, k) GROUP BY model, k""", "scores", "label_counts"))
 def a29(s, d):
     # scores depend on a document's key alone: members are ranked and summed once a key
-    by_key, popular = stage(_scored_keys(s, d), "by-key"), stage(_popular_keys(s, d), "popular")
+    by_key, popular = stage(_scored_keys(s, d), "by-key"), stage(_popular(s, d), "popular")
+    head = popular.orderBy(F.desc("score"), "label").limit(5).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "label")))
+    same = by_key.select("doc_id").distinct().crossJoin(F.broadcast(head)).select("doc_id", "label", "score", "rank")
     truth = stage(v.order_labels(s, d), "truth")
-    tops = [topk.top_k(by_key, 5).withColumn("model", F.lit("by key")), topk.top_k(popular, 5).withColumn("model", F.lit("popular")), topk.sum_ensemble([by_key, popular], 5).withColumn("model", F.lit("sum"))]
+    tops = [topk.top_k(by_key, 5).withColumn("model", F.lit("by key")), same.withColumn("model", F.lit("popular")), topk.shared_ensemble(by_key, popular, 5).withColumn("model", F.lit("sum"))]
     rows = tops[0]
     for t in tops[1:]:
         rows = rows.unionByName(t)
@@ -334,7 +336,8 @@ def w12(s, d):
 
 @query("l01_merge_batches", with_views("SELECT doc_id, rank, label, score FROM top5", "top5"))
 def l01(s, d):
-    return topk.merge_numbered_batches(v.batched_scores(s, d), 5).select("doc_id", "rank", "label", "score")
+    # scores depend on a document's key alone: batches are merged once a key
+    return _of_keys(s, d, topk.merge_numbered_batches(v.batched_key_scores(s, d), 5)).select("doc_id", "rank", "label", "score")
 
 
 @query("l02_truncated_predictions", with_views("SELECT doc_id, string_agg(label, ',' ORDER BY rank) AS labels FROM top5 WHERE rank <= 3 GROUP BY doc_id", "top5"))
@@ -535,7 +538,7 @@ def j07(s, d):
     return t.join(L.vocabulary_index(n).select("token", "token_id"), "token").select("doc_id", "pos", "token_id")
 
 
-@query("j08_feature_remap", with_views("WITH ids AS (SELECT feature, row_number() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM order_features JOIN test_docs USING (doc_id) WHERE NOT is_test)) SELECT doc_id, id, value FROM order_features JOIN test_docs USING (doc_id) JOIN ids USING (feature) WHERE is_test", "order_features", "test_docs"))
+@query("j08_feature_remap", with_views("WITH ids AS (SELECT feature, row_number() OVER (ORDER BY feature) AS id FROM (SELECT DISTINCT feature FROM order_features JOIN test_docs USING (doc_id) WHERE NOT is_test)) SELECT doc_id, id, value FROM order_features JOIN test_docs USING (doc_id) JOIN ids USING (feature) WHERE is_test", "order_features", "test_docs", once=True))
 def j08(s, d):
     from bramble.functions.hashing import hash32
 
@@ -638,12 +641,12 @@ POP = "pop AS (SELECT doc_id, label, round(n / (SELECT sum(n) FROM label_counts)
 @query("t20_mean_ensemble", with_views(f"WITH {POP}, m AS (SELECT doc_id, label, round(sum(score) / 2, 9) AS score FROM (SELECT doc_id, label, score FROM top5 UNION ALL SELECT doc_id, label, score FROM pop) GROUP BY ALL) SELECT doc_id, label, score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 5", "top5", "label_counts"))
 def t20(s, d):
     best = topk.top_k(_scored_keys(s, d), 5).drop("rank")
-    return _of_keys(s, d, topk.mean_ensemble([best, _popular_keys(s, d)], 5)).select("doc_id", "label", "score")
+    return _of_keys(s, d, topk.shared_ensemble(best, _popular(s, d), 5, members=2)).select("doc_id", "label", "score")
 
 
 @query("t22_sum_ensemble", with_views(f"WITH {POP}, m AS (SELECT doc_id, label, round(sum(1 / (1 + exp(-score))), 9) AS score FROM (SELECT doc_id, label, score FROM scores UNION ALL SELECT doc_id, label, score FROM pop) GROUP BY ALL) SELECT doc_id, label, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 5", "scores", "label_counts"))
 def t22(s, d):
-    return _of_keys(s, d, topk.sum_ensemble([_scored_keys(s, d), _popular_keys(s, d)], 5, logits=True)).select("doc_id", "label", F.round("score", 6).alias("score"))
+    return _of_keys(s, d, topk.shared_ensemble(_scored_keys(s, d), _popular(s, d), 5, logits=True)).select("doc_id", "label", F.round("score", 6).alias("score"))
 
 
 @query("t28_asked_probabilities", with_views("SELECT s.doc_id, s.label, s.score FROM scores s JOIN order_labels o ON o.doc_id = s.doc_id AND o.label = s.label", "scores", "order_labels"))

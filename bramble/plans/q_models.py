@@ -39,7 +39,7 @@ def t02b(s, d):
     return split.last_share(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")))
 
 
-@query("t03_folds", f"SELECT o_orderkey AS doc_id, ({H.format(x=chr(39) + '42|' + chr(39) + ' || o_orderkey')} % 5)::INTEGER AS fold FROM orders")
+@query("t03_folds", f"SELECT o_orderkey AS doc_id, (ntile(5) OVER (ORDER BY {H.format(x=chr(39) + '42|' + chr(39) + ' || o_orderkey')}, o_orderkey) - 1)::INTEGER AS fold FROM orders")
 def t03(s, d):
     return split.folds(v.table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id")), 5)
 
@@ -176,15 +176,15 @@ def _node_features(s, d):
     return v.order_features(s, d).select("doc_id", "feature", (F.col("value") / 50).cast("double").alias("value"))
 
 
-def _tree_predictions(s, d, **options):
+def _tree_predictions(s, d, digits, **options):
     tree, f = _tree(s, d), stage(_node_features(s, d), "features")
     weights, constants = LT.train_tree(f, v.order_labels(s, d), tree, **options)
-    return LT.predict(f, tree, stage(weights, "weights"), constants, 5).withColumn("score", F.round("score", 6))
+    return LT.predict(f, tree, stage(weights, "weights"), constants, 5).withColumn("score", F.round("score", digits))
 
 
 @query("t18_label_tree_models")
 def t18(s, d):
-    return _tree_predictions(s, d, rounds=6)
+    return _tree_predictions(s, d, 6, rounds=6)
 
 
 @query("t18_first_round", with_views(f"""WITH {POSITIVE}, tr AS (SELECT doc_id, node, 1 AS y FROM pos UNION ALL SELECT p.doc_id, t.node, 0 FROM pos p JOIN tree t ON t.parent = p.node WHERE NOT EXISTS (SELECT 1 FROM pos q WHERE q.doc_id = p.doc_id AND q.node = t.node)),
@@ -197,7 +197,7 @@ def t18(s, d):
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS rank, label, round(score, 4) AS score FROM s QUALIFY rank <= 5""", "order_labels", "order_features", recursive=True))
 def t18b(s, d):
     """After one round the node models have a closed form, so the whole way from training to top-k can be told in SQL."""
-    return _tree_predictions(s, d, rounds=1).withColumn("score", F.round("score", 4))
+    return _tree_predictions(s, d, 4, rounds=1)
 
 
 @query("t32_hard_negatives", with_views(f"""WITH {POSITIVE}, wrong AS (SELECT t.doc_id, t.label FROM top5 t WHERE NOT EXISTS (SELECT 1 FROM order_labels o WHERE o.doc_id = t.doc_id AND o.label = t.label) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 2)
@@ -297,7 +297,7 @@ UNIT = "u AS (SELECT doc_id, feature, value / sqrt(sum(value * value) OVER (PART
 
 
 @query("t10_tail_scores", with_views(f"""WITH {UNIT}, rad AS (SELECT o.label, max(1 + uu - 2 * xu) AS radius FROM order_labels o JOIN xu ON xu.doc_id = o.doc_id AND xu.label = o.label JOIN uu ON uu.label = o.label GROUP BY o.label)
-    SELECT t.doc_id, t.label, round(0.8 * t.score + 0.2 / (1 + exp(1 + uu - 2 * coalesce(xu, 0) - radius)), 5) AS score FROM top5 t JOIN (SELECT DISTINCT doc_id FROM order_features) USING (doc_id) JOIN uu USING (label) JOIN rad USING (label) LEFT JOIN xu ON xu.doc_id = t.doc_id AND xu.label = t.label""", "top5", "order_labels", "order_features"))
+    SELECT t.doc_id, t.label, round(0.8 * t.score + 0.2 / (1 + exp(1 + uu - 2 * coalesce(xu, 0) - radius)), 5) AS score FROM top5 t JOIN (SELECT DISTINCT doc_id FROM order_features) USING (doc_id) JOIN uu USING (label) JOIN rad USING (label) LEFT JOIN xu ON xu.doc_id = t.doc_id AND xu.label = t.label""", "top5", "order_labels", "order_features", once=True))
 def t10(s, d):
     f = X.l2_normalise(v.order_features(s, d))
     means, radii = X.label_spheres(v.order_labels(s, d), f)
@@ -380,6 +380,17 @@ def t27b(s, d):
     return V.approximate_dots(pairs, e.withColumnRenamed("id", "query"), codes, books).select("query", "id", F.round("dot", 4).alias("dot"))
 
 
+@query("t27_codes", """WITH b AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS code, embedding::DOUBLE[] AS v FROM embeddings QUALIFY code < 16), p AS (SELECT unnest(range(0, 4)) AS part),
+    g AS (SELECT e.vec_id AS id, part, code, round(list_sum([(e.embedding[i]::DOUBLE - v[i]) * (e.embedding[i]::DOUBLE - v[i]) FOR i IN range(part * 16 + 1, part * 16 + 17)]), 9) AS gap FROM embeddings e, p, b)
+    SELECT id, part, code FROM g QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY gap, code) = 1""")
+def t27c(s, d):
+    """Codes under given books: the slices of the first 16 vectors."""
+    e = v.vectors(s, d).select("id", "vector")
+    first = e.orderBy("id").limit(16).agg(F.array_sort(F.collect_list(F.struct("id", F.transform("vector", lambda x: x.cast("double")).alias("v")))).alias("f"))
+    books = first.select(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda p: F.transform("f", lambda r: F.slice(r["v"], p * 16 + 1, 16))).alias("books"))
+    return V.encode(e, books).select("id", F.posexplode("codes").alias("part", "code"))
+
+
 @query("j12_analogies", """WITH q AS (SELECT vec_id AS query, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c FROM embeddings WHERE vec_id % 50 = 0 AND vec_id + 2 IN (SELECT vec_id FROM embeddings)), u AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
     t AS (SELECT query, a, b, c, [x.v[i] * -1 + y.v[i] + z.v[i] FOR i IN range(1, 65)] AS v FROM q JOIN u x ON x.id = a JOIN u y ON y.id = b JOIN u z ON z.id = c)
     SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS rank, id, similarity FROM (SELECT query, u.id, round(list_cosine_similarity(t.v, u.v), 6) AS similarity FROM t JOIN u ON u.id NOT IN (a, b, c)) QUALIFY rank <= 3""")

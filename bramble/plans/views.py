@@ -36,8 +36,9 @@ SQL = {
 _NEEDS = {"label_counts": ["order_labels"], "key_counts": ["order_keys", "order_labels"], "scores": ["key_counts"], "top5": ["scores"], "hits": ["top5", "order_labels"], "test_docs": ["order_labels"]}
 
 
-def with_views(body: str, *names: str, recursive: bool = False) -> str:
-    """SQL that defines the named views, and those they need, before the body (more common tables may lead the body)."""
+def with_views(body: str, *names: str, recursive: bool = False, once: bool = False) -> str:
+    """SQL that defines the named views, and those they need, before the body (more common tables may lead the body).
+    once: views are computed once each."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -48,7 +49,7 @@ def with_views(body: str, *names: str, recursive: bool = False) -> str:
 
     for n in names:
         add(n)
-    ctes = ", ".join(f"{n} AS ({SQL[n]})" for n in order)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' * once}({SQL[n]})" for n in order)
     head = "WITH RECURSIVE " if recursive else "WITH "
     body = body.strip()
     if not ctes:
@@ -114,13 +115,19 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_keys(spark, sf_dir).join(key_scores(spark, sf_dir), "key").select("doc_id", "label", "score")
 
 
-def batched_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, score, batch): scores with labels in batches of ten by label order."""
+def batched_key_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id = key, label, score, batch): key_scores with labels in batches of ten by label order."""
     from bramble.operators.labels import index_labels
 
     share = key_scores(spark, sf_dir)
     ids = index_labels(share, "sorted").select("label", F.expr("cast(label_id div 10 as int)").alias("batch"))
-    return order_keys(spark, sf_dir).join(share.join(ids, "label"), "key").select("doc_id", "label", "score", "batch")
+    return share.join(ids, "label").select(F.col("key").alias("doc_id"), "label", "score", "batch")
+
+
+def batched_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, score, batch): scores with labels in batches of ten by label order."""
+    rows = batched_key_scores(spark, sf_dir).withColumnRenamed("doc_id", "key")
+    return order_keys(spark, sf_dir).join(rows, "key").select("doc_id", "label", "score", "batch")
 
 
 def top5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,70 @@ def test_matcher_fallback(spark):
     assert got == {(9, "a"), (8, "c")}
 
 
+def test_nearest_keys_skip_what_all_share(spark):
+    """Every key holds the n-grams of one long word: they alone must make no pairs, and results equal all pairs."""
+    rng = random.Random(13)
+    name = lambda: "commonpart" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    known_names = sorted({name() for _ in range(300)})
+    asked_names = sorted({k[:-1] + "z" for k in known_names[:40]} | {"commonpart", "zzz"})
+    asked, known = (spark.createDataFrame([(k,) for k in x], "key string") for x in (asked_names, known_names))
+    vec = {}
+    for r in matcher.key_vectors(asked.unionByName(known).distinct()).collect():
+        vec.setdefault(r["key"], {})[r["gram"]] = r["weight"]
+    want = {}
+    for q in asked_names:
+        sims = [(-round(sum(w * vec[k][g] for g, w in vec[q].items() if g in vec[k]), 9), k) for k in known_names if vec[q].keys() & vec[k].keys()]
+        if sims:
+            want[q] = min(sims)[1]
+    assert {r["key"]: r["nearest"] for r in matcher.nearest_keys(asked, known).collect()} == want
+    v = matcher.key_vectors(asked.unionByName(known).distinct())
+    a, k = v.join(asked, "key", "left_semi"), v.join(known, "key", "left_semi").select(F.col("key").alias("nearest"), "gram", F.col("weight").alias("w"))
+    named = asked.where("key <> 'commonpart'")
+    pairs = matcher.candidate_keys(a.join(named, "key", "left_semi"), k).count()
+    assert pairs < 0.5 * (len(asked_names) - 1) * len(known_names)
+
+
+def test_fixed_candidates(spark):
+    rng = random.Random(14)
+    universe = spark.createDataFrame([(f"l{i}",) for i in range(30)], "label string")
+    own = {d: {f"l{rng.randrange(30)}" for _ in range(rng.choice([1, 3, 20]))} for d in range(40)}
+    rows = spark.createDataFrame([(d, l) for d, ls in own.items() for l in ls], "doc_id long, label string")
+    out = labels.fixed_candidates(rows, universe, 8)
+    got, pads = {}, set()
+    for r in out.collect():
+        got.setdefault(r["doc_id"], []).append((r["label"], r["own"]))
+    for d, ls in own.items():
+        assert len(got[d]) == 8 == len({l for l, _ in got[d]}) and sum(o for _, o in got[d]) == min(8, len(ls)) and all((l in ls) == o for l, o in got[d])
+        pads.add(tuple(sorted(l for l, o in got[d] if not o)))
+    assert len(pads) > 10  # documents are padded from different places
+    few = labels.fixed_candidates(spark.createDataFrame([(1, "a")], "doc_id long, label string"), spark.createDataFrame([("a",), ("b",)], "label string"), 8).collect()
+    assert {(r["label"], r["own"]) for r in few} == {("a", True), ("b", False)}
+
+
+@pytest.mark.parametrize("logits", [False, True])
+def test_shared_ensemble_equals_the_whole_one(spark, logits):
+    rng = random.Random(15)
+    own = spark.createDataFrame([(d, f"l{l}", round(rng.random(), 2)) for d in range(15) for l in rng.sample(range(40), rng.randint(1, 12))], "doc_id long, label string, score double")
+    shared = spark.createDataFrame([(f"l{l}", round(rng.random(), 1)) for l in range(5, 45)], "label string, score double")
+    everywhere = own.select("doc_id").distinct().crossJoin(shared)
+    want = {tuple(r) for r in topk.sum_ensemble([own, everywhere], 6, logits=logits).select("doc_id", "rank", "label", "score").collect()}
+    assert {tuple(r) for r in topk.shared_ensemble(own, shared, 6, logits=logits).select("doc_id", "rank", "label", "score").collect()} == want
+
+
+def test_folds_are_equal(spark):
+    for n in (0, 3, 23, 100):
+        sizes = [r["count"] for r in split.folds(spark.range(n).withColumnRenamed("id", "doc_id"), 5).groupBy("fold").count().collect()]
+        assert sum(sizes) == n and (not sizes or max(sizes) - min(sizes) <= 1)
+
+
+def test_markup_lines(spark):
+    page = "#REDIRECT [[x]]"
+    text = "<p>One   Two\n[[Target|the anchor]] 42 Été\nsingle\n{{tpl|x}} a &amp; b<!-- no\n no -->"
+    df = spark.createDataFrame([(page,), (text,), (None,)], "m string")
+    assert [r[0] for r in df.select(T.is_redirect(F.col("m"))).collect()] == [True, False, False]
+    assert df.select(T.markup_to_lines(F.col("m"))).collect()[1][0] == ["one two", "the anchor 42 été", "a b"]
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "id string, vector array<double>")
     got = vectors.nearest(spark.createDataFrame([("q", [2.0, 0.0])], "query string, vector array<double>"), v, 2).orderBy("rank").collect()
