@@ -209,30 +209,3 @@ def approximate_dots(pairs: DataFrame, queries: DataFrame, codes: DataFrame, boo
     q = queries.crossJoin(F.broadcast(books)).select("query", table.alias("products"), "norm_book")
     total = F.aggregate(F.transform("codes", lambda c, i: F.get(F.get(F.col("products"), i), c)), F.lit(0.0), lambda a, x: a + x)
     return pairs.join(codes, "id").join(q, "query").select("query", "id", (total * _coded_length(F.col("norm"), F.col("norm_book"))).alias("dot"))
-
-
-def word_vectors(docs: DataFrame, tokens: Column, dim: int = 16, least: int = 2, seed: int = 42) -> DataFrame:
-    """(token, vector) by skip-gram on whole documents."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    model = Word2Vec(vectorSize=dim, minCount=least, seed=seed, inputCol="tokens", outputCol="v", maxIter=1).fit(docs.select(tokens.alias("tokens")))
-    return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vector"))
-
-
-def gram_vectors(word_vecs: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
-    """(gram, vector): the mean of the vectors of the words(token, vector) that hold a character n-gram."""
-    from bramble.functions.text import char_ngrams
-
-    grams = word_vecs.select("vector", F.explode(F.array_distinct(char_ngrams(F.col("token"), least, most))).alias("gram"))
-    return mean_vectors(grams, "gram")
-
-
-def unseen_word_vectors(words: DataFrame, word_vecs: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
-    """(word, vector) for words(word) without a vector of their own, from their character n-grams.
-
-    N-grams take the mean of the words that hold them and are not trained along with the words. A word none of whose
-    n-grams is known has no row.
-    """
-    new = words.select("word").distinct().join(word_vecs.select(F.col("token").alias("word")), "word", "left_anti")
-    return subword_vectors(new, gram_vectors(word_vecs, least, most), least, most)

@@ -12,6 +12,7 @@ from bramble.operators import labels as L
 from bramble.operators import labeltree as LT
 from bramble.operators import linear, matcher, metrics, split, topk
 from bramble.operators import vectors as V
+from bramble.operators import wordvectors as W
 from bramble.plans import views as v
 from bramble.plans.registry import query
 from bramble.plans.shared import new_path, stage
@@ -343,19 +344,26 @@ def t19(s, d):
 # --- vectors --------------------------------------------------------------------------------------------------------
 
 
+def _trained_words(s, d, **options):
+    from bramble.functions.text import words
+
+    return W.train(v.documents(s, d), words(F.col("text")), dim=8, least_count=20, rounds=2, **options)
+
+
 @query("t25_word_vectors")
 def t25(s, d):
-    from bramble.functions.text import words
+    return _trained_words(s, d).known().select("token", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
+
 
-    return V.word_vectors(v.documents(s, d), words(F.col("text")), dim=8, least=20).select("token", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
+@query("t25_cbow_vectors")
+def t25c(s, d):
+    return _trained_words(s, d, cbow=True).known().select("token", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
 
 
 @query("t25_unseen_words")
 def t25b(s, d):
-    from bramble.functions.text import words
-
-    known = stage(V.word_vectors(v.documents(s, d), words(F.col("text")), dim=8, least=20), "words")
-    return V.unseen_word_vectors(v.tokens(s, d).select(F.col("token").alias("word")), known).select("word", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
+    found = _trained_words(s, d).unseen(v.tokens(s, d).select(F.col("token").alias("word")))
+    return found.select("word", F.round(norm(F.col("vector")), 6).alias("length"), "vector")
 
 
 @query("t26_negative_table", with_views("SELECT token, round((cum - sqrt(n)) / total, 6) AS low, round(cum / total, 6) AS high FROM (SELECT token, n, sum(sqrt(n)) OVER (ORDER BY n DESC, token) AS cum, sum(sqrt(n)) OVER () AS total FROM (SELECT token, count(*) AS n FROM tokens GROUP BY token))", "tokens"))

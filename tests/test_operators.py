@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from bramble.functions import hashing as H
 from bramble.functions import text as T
-from bramble.operators import doctree, features, labels, labeltree, linear, matcher, metrics, split, topk, vectors, weights
+from bramble.operators import doctree, features, labels, labeltree, linear, matcher, metrics, split, topk, vectors, weights, wordvectors
 
 
 def one(spark, column, **values):
@@ -506,9 +508,37 @@ def test_quantize_with_a_centroid_for_each_vector_is_exact(spark):
     assert codes.count() == 0 and vectors.reconstruct(codes, books).count() == 0
 
 
-def test_unseen_words_take_their_ngrams(spark):
-    known = spark.createDataFrame([("abc", [1.0, 0.0]), ("abd", [0.0, 1.0])], "token string, vector array<double>")
-    words = spark.createDataFrame([("abx",), ("abc",), ("zzz",), ("abx",)], "word string")
-    got = {r["word"]: list(r["vector"]) for r in vectors.unseen_word_vectors(words, known, 2, 3).collect()}
-    # "<a" and "ab" and "<ab" are held by both words; no other n-gram of <abx> is known
-    assert got == {"abx": [0.5, 0.5]}
+@pytest.mark.parametrize("cbow", [False, True])
+def test_word_vectors(spark, monkeypatch, cbow):
+    """Two topics whose words never meet: words of a topic end up closer to each other than to those of the other one."""
+    monkeypatch.setattr(wordvectors, "BLOCK_TOKENS", 4_000)
+    rng = random.Random(16)
+    topics = [["river", "water", "boats", "shore"], ["stock", "money", "bonds", "trade"]]
+    texts = [(i, " ".join(rng.choice(topics[i % 2]) for _ in range(25)) + " the the") for i in range(400)] + [(900, None), (901, ""), (902, "rareword")]
+    model = wordvectors.train(spark.createDataFrame(texts, "doc_id long, text string"), F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""), dim=8, cbow=cbow, rounds=6, rate=0.2)
+    units = {(r["kind"], r["name"]): np.asarray(r["vector"]) for r in model.units.collect()}
+    known = {r["token"]: np.asarray(r["vector"]) for r in model.known().collect()}
+    assert set(known) == {*topics[0], *topics[1], "the"}
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    near = [cos(known[a], known[b]) for t in topics for a in t for b in t if a < b]
+    far = [cos(known[a], known[b]) for a in topics[0] for b in topics[1]]
+    assert min(near) > max(far)
+    grams = lambda w: {g for n in range(3, 7) for i in range(len(w) + 3 - n) if (g := f"<{w}>"[i : i + n])}
+    for w, x in known.items():
+        assert np.allclose(x, np.mean([units["word", w], *[units["gram", g] for g in grams(w)]], axis=0))
+    unseen = {r["word"]: np.asarray(r["vector"]) for r in model.unseen(spark.createDataFrame([("waters",), ("river",), ("zzzzz",), ("waters",)], "word string")).collect()}
+    assert set(unseen) == {"waters"} and np.allclose(unseen["waters"], np.mean([units["gram", g] for g in grams("waters") if ("gram", g) in units], axis=0))
+    assert cos(unseen["waters"], known["river"]) > cos(unseen["waters"], known["money"])
+
+
+def test_word_windows():
+    docs = pd.DataFrame({"words": [[5, 6, 7, 8], [9]], "reach": [[1, 2, 1, 3], [2]]})
+    inputs, sizes, targets = wordvectors._windows(docs, False)
+    assert sorted(zip(inputs.tolist(), targets.tolist(), strict=True)) == [(5, 6), (6, 5), (6, 7), (6, 8), (7, 6), (7, 8), (8, 5), (8, 6), (8, 7)] and set(sizes) == {1}
+    inputs, sizes, targets = wordvectors._windows(docs, True)
+    assert targets.tolist() == [5, 6, 7, 8] and sizes.tolist() == [1, 3, 2, 3] and sorted(inputs[1:4].tolist()) == [5, 7, 8]
+
+
+def test_word_vectors_of_nothing(spark):
+    model = wordvectors.train(spark.createDataFrame([], "doc_id long, text string"), F.split("text", " "), rounds=1)
+    assert model.known().count() == 0 and model.unseen(spark.createDataFrame([("abc",)], "word string")).count() == 0
