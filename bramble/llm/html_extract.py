@@ -1,10 +1,15 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host are merged: an element is named by its path of tags and classes. For each path the entropy over the host's
-pages of its presentation (the sequence of its child elements) and of its content is computed, relative to the entropy of all
-pages differing. Branches of low composite importance are the site's template and are removed from each page; what remains
-is read in page order. Hosts with few pages lean on the tree of all hosts together. What HTML itself marks as no
-content (scripts, forms, navigation, ...) is always removed.
+The DOMs of a host are merged: an element is named by its path of tags and classes and, for classes that a build tool makes
+anew for every page, by its path of tags alone. For each path the entropy over the host's pages of its presentation (the
+sequence of its child elements) and of its content is computed, relative to the entropy of all pages differing; hosts with
+few pages lean on the tree of all hosts together. Branches of low composite importance are the site's template and are
+removed from each page. The tree also learns, per path, how often its text is links, and how often it stands in a row of
+like elements behind the main branch of the page, as readers' comments and teasers do: such branches go as well.
+
+What HTML itself marks goes in any case: scripts, forms, navigation, hidden elements, articles inside an article; where a
+page has an article, all that stands beside it (but an h1 before it). Names of classes are a hint for what varies from page to
+page and has no shape of its own, such as an advert.
 """
 
 from __future__ import annotations
@@ -42,55 +47,95 @@ NAMED = set("ad ads advert adverts advertisement banner cookie cookies consent n
 ARTICLE = ("article", "main")
 # What a block is: content, no content by the name of an element around it, no content by its kind.
 CONTENT, BY_NAME, BY_KIND = 0, 1, 2
-NOWHERE = ("", "", False, ())
+#: no content because the page has an article elsewhere
+BESIDE = 3
+#: Pages of a host on which a path with classes must stand to be judged by itself; the share of them that decides on links
+#: and rows of like elements, the least pages for that, and the share of a block that links make up.
+OWN_PAGES, MOST, FEW, LINKS = 3, 0.6, 3, 0.6
+#: Elements that readers' comments and teasers stand in, in a row.
+ROWS = {"div", "li", "section", "article", "dd", "tr", "blockquote"}
+#: Kinds of what the tree counts: presentation, content, links, place in a row behind the main branch.
+STYLE, TEXT, LINKED, LATE = 0, 1, 2, 3
+#: Verdicts of all hosts together are broadcast up to so many bytes; beyond, pages are joined with them.
+BROADCAST_BYTES = 32_000_000
 #: Characters of an element's path; deeper elements begin a new root of the tree, named by a hash of the path so far.
 LONGEST_PATH = 2_000
 
 _start = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _stop = re.compile("[>\"']")
-_attr = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_attr = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _digits = re.compile(r"\d+")
 _in_article = re.compile(r"/(article|main)\b")
+_classes = re.compile(r"[.#][^/]*")
 
 
-def _name(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(tag, classes and id for the style tree, digits as 0; whether the element is no content by its kind; by its name).
+def _name(tag: str, attrs: str) -> tuple[str, bool, int]:
+    """(tag, classes and id for the style tree, digits as 0; whether the element is no content by its kind; by its name: 2 if
+    a whole class or id says so, 1 if a word in one does, which is a hint only).
 
-    A name is a whole class or id, not a word in one; html, body, main and article are content whatever their names.
+    Attributes are read one after another under their full names. html, body, main and article are content whatever theirs.
     """
-    found, words, out = "", [], tag in NO_CONTENT
-    if attrs and "=" in attrs:
-        for m in _attr.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() in ("class", "id"):
-                words += value.split()
-                found += ("." if m[1].lower() == "class" else "#") + _digits.sub("0", ".".join(value.split()))
-            elif m[1].lower() == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
-                out = True
-    return tag + found, out, tag not in ("html", "body", *ARTICLE) and any(w in NAMED for w in words)
+    found, words, out, seen = "", [], tag in NO_CONTENT, set()
+    for m in _attr.finditer(attrs) if attrs and not attrs.isspace() else ():
+        key = m[1].lower()
+        if key not in ("class", "id", "role", "hidden") or key in seen:
+            continue
+        seen.add(key)
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id"):
+            words += value.split()
+            found += ("." if key == "class" else "#") + _digits.sub("0", ".".join(value.split()).replace("/", "_"))
+        elif key == "hidden" or value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog"):
+            out = True
+    by_name = 0
+    if tag not in ("html", "body", *ARTICLE):
+        by_name = 2 if any(w in NAMED for w in words) else int(any(p in NAMED for w in words for p in re.split("[-_]", w)))
+    return tag + found, out, by_name
+
+
+def bare(path: str) -> str:
+    """A path of tags alone."""
+    return "~" + _classes.sub("", path)
+
+
+class Element:
+    """What is known of an open element. named: numbers of the named elements around; article: the outermost article."""
+
+    __slots__ = ("tag", "path", "out", "named", "number", "parent", "article")
+
+    def __init__(self, tag="", path="", out=False, named=(), number=0, parent=0, article=0):
+        self.tag, self.path, self.out, self.named, self.number, self.parent, self.article = tag, path, out, named, number, parent, article
+
+
+NOWHERE = Element()
 
 
 class Page:
     """The blocks (path, text, what it is) of a page in order, and the child elements of each path that are content.
 
-    An element that holds an article or main is content whatever its name; this is known once the page is read.
+    An element that holds every article or main of the page is content whatever its name; so is one that only a hint
+    speaks against, where the page has no article and most of its text stands in it. Both are known once the page is read.
     """
 
     def __init__(self, html: str):
-        self.found: list[tuple[str, str, bool, tuple[int, ...]]] = []  # path, text, by kind, numbers of the named elements around
-        self.held: list[tuple[str, str, bool, tuple[int, ...]]] = []  # path, child, as above
-        self.stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, as above
-        self.named, self.cleared = 0, set()
+        self.found: list[tuple[Element, str, float]] = []  # where a block stands, its text, the share of links
+        self.held: list[tuple[Element, str, Element]] = []  # element, name of a child, the child
+        self.stack: list[Element] = []
+        self.numbers = self.named = 0
+        self.hints: set[int] = set()
+        self.scopes: list[tuple[int, ...]] = []  # the named elements around each article or main
+        self.articles: dict[int, str] = {}  # bare paths of articles that are in no other
         self.pieces: list[str] = []
+        self.linked, self.in_link = 0, False
         self.open: Counter = Counter()  # how often each tag is in the stack
         self.muted: list[tuple[int, list[str]]] = []  # place in the stack and pieces of the block around a mute element
         at, last = 0, {c: html.rfind(c) for c in ">\"'"}
         while at < len(html):
             begin = html.find("<", at)
             if begin < 0:
-                self.pieces.append(html[at:])
+                self._text(html[at:])
                 break
-            self.pieces.append(html[at:begin])
+            self._text(html[at:begin])
             m = _start.match(html, begin + 1)
             if m is None:
                 at = self._skip(html, begin, last)
@@ -109,11 +154,80 @@ class Page:
                 self._open(tag, html[m.end() : end])
         self._cut(0)
         self._flush()
-        self.blocks = [(path, text, self._what(out, named)) for path, text, out, named in self.found]
+        cleared = set.intersection(*map(set, self.scopes)) if self.scopes else self._hints_that_hold_most()
+        # the first article that says something, and those at the same place of other branches
+        first = next((self.articles[e.article] for e, *_ in self.found if e.article and not e.out and cleared.issuperset(e.named)), None)
+        begun = False
+
+        def what(e: Element) -> int:
+            if e.out:
+                return BY_KIND
+            if not cleared.issuperset(e.named):
+                return BY_NAME
+            if first is None or (e.article and self.articles[e.article] == first) or (e.tag == "h1" and not begun):
+                return CONTENT
+            return BESIDE
+
+        self.blocks, self.links = [], []
+        for e, text, linked in self.found:
+            kind = what(e)
+            begun = begun or bool(e.article and kind == CONTENT)
+            self.blocks.append((e.path, text, kind))
+            if kind == CONTENT:
+                self.links.append((e.path, linked >= LINKS))
         self.children: dict[str, list[str]] = {}
-        for path, name, out, named in self.held:
-            if not self._what(out, named):
-                self.children.setdefault(path, []).append(name)
+        for e, name, child in self.held:
+            if what(child) == CONTENT:
+                self.children.setdefault(e.path, []).append(name)
+        self.late = [False] * len(self.found) if first is not None else self._late(what)
+
+    def _hints_that_hold_most(self) -> set[int]:
+        sizes: Counter = Counter()
+        total = 0
+        for e, text, _ in self.found:
+            if not e.out and self.hints.issuperset(e.named):
+                total += len(text)
+                sizes.update(dict.fromkeys(e.named, len(text)))
+        return {n for n, size in sizes.items() if 2 * size > total}
+
+    def _late(self, what) -> list[bool]:
+        """Of each block, whether it stands in a row of like elements behind the main branch: the container whose own blocks
+        have the most text."""
+        none = [False] * len(self.found)
+        sizes, ends = Counter(), {}
+        for i, (e, text, _) in enumerate(self.found):
+            holder = e.number if e.tag in ROWS or e.tag in ("body", "html", "main", "") else e.parent
+            if what(e) == CONTENT:
+                sizes[holder] += len(text)
+                ends[holder] = i
+        main = max(sizes, key=lambda n: (sizes[n], -n), default=0)
+        if not main:
+            return none
+        children = {child.number: child for _, _, child in self.held}
+        inside = {main: True, 0: False}
+
+        def walk(number: int, known: dict[int, bool], own=lambda n: False) -> list[int]:
+            """Numbers from an element up that were not known, which they are afterwards: true from where own is."""
+            chain = []
+            while number not in known:
+                chain.append(number)
+                number = children[number].parent
+            state = known[number]
+            for n in reversed(chain):
+                state = state or own(n)
+                known[n] = state
+            return chain
+
+        rows: dict[tuple[int, str], list[int]] = {}
+        for i in range(ends[main] + 1, len(self.found)):
+            for n in walk(self.found[i][0].number, inside):
+                if not inside[n] and children[n].tag in ROWS:
+                    rows.setdefault((children[n].parent, _classes.sub("", children[n].path.rsplit("/", 1)[-1])), []).append(n)
+        like = {n for some in rows.values() if len(some) > 1 for n in some}
+        late = {0: False}
+        for e, *_ in self.found:
+            walk(e.number, late, like.__contains__)
+        return [late[e.number] for e, *_ in self.found]
 
     def _skip(self, html: str, begin: int, last: dict[str, int]) -> int:
         """Past a comment, a declaration or a lone `<`, which is text."""
@@ -122,9 +236,14 @@ class Page:
             return len(html) if end < 0 else end + 3
         if html.startswith(("<!", "<?", "</"), begin) and begin < last[">"]:
             return html.find(">", begin) + 1
-        self.pieces.append("<")
+        self._text("<")
         return begin + 1
 
+    def _text(self, text: str) -> None:
+        self.pieces.append(text)
+        if self.in_link:
+            self.linked += len(text)
+
     @staticmethod
     def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
         """The place of the `>` that ends a tag; one inside a quoted value does not. -1 if there is none."""
@@ -151,78 +270,103 @@ class Page:
         self._drop(at)
 
     def _drop(self, at: int) -> None:
-        for tag, *_ in self.stack[at:]:
-            self.open[tag] -= 1
+        for e in self.stack[at:]:
+            self.open[e.tag] -= 1
         del self.stack[at:]
 
-    def _what(self, out: bool, named: tuple[int, ...]) -> int:
-        return BY_KIND if out else CONTENT if self.cleared.issuperset(named) else BY_NAME
-
     def _flush(self) -> None:
         if self.pieces:
             text = " ".join(unescape("".join(self.pieces)).split())
-            self.pieces = []
             if text:
-                _, path, out, named = self.stack[-1] if self.stack else NOWHERE
-                self.found.append((path, text, out, named))
+                self.found.append((self.stack[-1] if self.stack else NOWHERE, text, self.linked / len(text)))
+            self.pieces, self.linked = [], 0
 
     def _open(self, tag: str, attrs: str) -> None:
         if tag == "br":
             self.pieces.append("\n")
             return
         name, out, by_name = _name(tag, attrs)
-        if (tag in INLINE or (tag not in BREAKS and self.stack and self.stack[-1][0] == "p")) and not (out or by_name):
+        if tag == "a":
+            self.in_link = True
+        if (tag in INLINE or (tag not in BREAKS and self.stack and self.stack[-1].tag == "p")) and not (out or by_name == 2):
             return
         mute = tag in MUTE
         if not mute:
             self._flush()
         closes = any(self.open[t] for t in CLOSES.get(tag, ())) or (tag in ENDS_P and self.open["p"])
         for i in range(len(self.stack) - 1, -1, -1) if closes else ():
-            open_tag = self.stack[i][0]
+            open_tag = self.stack[i].tag
             if open_tag in CLOSES.get(tag, ()) or (open_tag == "p" and tag in ENDS_P):
                 self._cut(i)
                 break
             if open_tag in SCOPES.get(tag, ()) or open_tag in ("table", "td", "th", "button", "object"):
                 break
-        _, path, around, named = self.stack[-1] if self.stack else NOWHERE
-        if tag in ARTICLE:
-            self.cleared.update(named)
-        if tag == "header" and not any(self.open[t] for t in ARTICLE):
+        around = self.stack[-1] if self.stack else NOWHERE
+        named, path, article = around.named, around.path, around.article
+        if (tag == "header" and not any(self.open[t] for t in ARTICLE)) or (tag == "article" and article):
             out = True
         if by_name:
             self.named += 1
             named = (*named, self.named)
-        self.held.append((path, name, around or out, named))
+            if by_name == 1:
+                self.hints.add(self.named)
+        out = out or around.out
+        if tag in ARTICLE and not out:
+            self.scopes.append(named)
+        self.numbers += 1
+        if len(path) > LONGEST_PATH:
+            inside = "/article" if _in_article.search(path) else ""
+            path = f"{inside}/{hashlib.blake2b(path.encode(), digest_size=8).hexdigest()}"
+        new = Element(tag, f"{path}/{name}", out, named, self.numbers, around.number, article)
+        if tag == "article" and not article:
+            new.article = self.numbers
+            self.articles[self.numbers] = bare(new.path)
+        self.held.append((around, name, new))
         if mute:
             self.muted.append((len(self.stack), self.pieces))
             self.pieces = []
         if tag not in VOID:
-            if len(path) > LONGEST_PATH:
-                inside = "/article" if _in_article.search(path) else ""
-                path = f"{inside}/{hashlib.blake2b(path.encode(), digest_size=8).hexdigest()}"
-            self.stack.append((tag, f"{path}/{name}", around or out, named))
+            self.stack.append(new)
             self.open[tag] += 1
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self.pieces.append("\n")
             return
+        if tag == "a":
+            self.in_link = False
         for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
-            if self.stack[i][0] == tag:
+            if self.stack[i].tag == tag:
                 self._cut(i)
                 return
         if tag == "p":
             self._flush()
 
     def features(self) -> list[tuple[str, int, str]]:
-        """(path, kind, feature): kind 0 the sequence of child elements, 1 the texts that stand at the path. What is no
-        content shows none: it goes in any case and must not make the elements that hold it important."""
+        """(path, kind, feature) under the path with classes and the one without. What is no content shows none: it goes in
+        any case and must not make the elements that hold it important."""
         texts: dict[str, list[str]] = {}
-        for path, text, out in self.blocks:
+        behind: dict[str, bool] = {}
+        for (path, text, out), late in zip(self.blocks, self.late, strict=True):
             if not out:
                 texts.setdefault(path, []).append(text)
-        styles = [(path, 0, " ".join(x for i, x in enumerate(names) if i == 0 or names[i - 1] != x)) for path, names in self.children.items()]
-        return styles + [(path, 1, "\n".join(t)) for path, t in texts.items()]
+                behind[path] = behind.get(path, True) and late
+        links: dict[str, list[bool]] = {}
+        for path, linked in self.links:
+            links.setdefault(path, []).append(linked)
+        out = []
+        for fold in (lambda p: p, bare):
+            styles, words, linked, late = {}, {}, {}, {}
+            for path, names in self.children.items():
+                styles.setdefault(fold(path), []).extend(names if fold is not bare else [_classes.sub("", n) for n in names])
+            for path, t in texts.items():
+                words.setdefault(fold(path), []).extend(t)
+                linked.setdefault(fold(path), []).extend(links[path])
+                late[fold(path)] = late.get(fold(path), True) and behind[path]
+            out += [(path, STYLE, " ".join(x for i, x in enumerate(names) if i == 0 or names[i - 1] != x)) for path, names in styles.items()]
+            out += [(path, TEXT, "\n".join(t)) for path, t in words.items()]
+            out += [(path, LINKED, str(2 * sum(x) > len(x))) for path, x in linked.items()] + [(path, LATE, str(x)) for path, x in late.items()]
+        return out
 
 
 def host_of(url: str | None) -> str:
@@ -239,7 +383,8 @@ def _feature_rows(pages: DataFrame) -> DataFrame:
             for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 host = host_of(url)
                 for path, kind, feature in Page(html or "").features():
-                    key = (host, path, kind, int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little", signed=True))
+                    told = feature == "True" if kind in (LINKED, LATE) else int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little", signed=True)
+                    key = (host, path, kind, int(told))
                     seen[key] = seen.get(key, 0) + 1
                 if len(seen) > 100_000:
                     yield out(seen)
@@ -255,46 +400,83 @@ def _feature_rows(pages: DataFrame) -> DataFrame:
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, kind, pages, importance): relative entropy of each element's presentation and content, blended with that
-    over all hosts by PRIOR_PAGES."""
-    rows = stage(_feature_rows(pages), "html-features")
+    over all hosts by PRIOR_PAGES; for links and rows, the share of pages that show them. Paths with classes that stand on
+    fewer than OWN_PAGES pages of a host are left to their path without: so a host's tree grows with its templates."""
+    rows = _feature_rows(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    sizes = rows.groupBy("host", "path", "kind").agg(F.sum("pages").alias("all")).where(F.col("path").startswith("~") | (F.col("all") >= OWN_PAGES))
+    rows = stage(rows, "html-features")
+    known = sizes.select("host", "path", "kind")
+    shapes = F.col("kind").isin(STYLE, TEXT)
 
     def entropy(grouped: DataFrame, keys: list[str]) -> DataFrame:
         sums = grouped.groupBy(*keys).agg(F.sum("pages").alias("pages"), F.sum(F.col("pages") * F.log("pages")).alias("plogp"))
         relative = (F.log("pages") - F.col("plogp") / F.col("pages")) / F.log("pages")
         return sums.select(*keys, "pages", F.when(F.col("pages") > 1, relative).otherwise(1.0).alias("importance"))
 
-    per_host = entropy(rows.groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages")), ["host", "path", "kind"])
-    overall = entropy(rows.groupBy("path", "kind", "feature").agg(F.sum("pages").alias("pages")), ["path", "kind"])
+    own = rows.join(known, ["host", "path", "kind"])
+    per_host = entropy(own.where(shapes), ["host", "path", "kind"])
+    overall = entropy(rows.where(shapes).groupBy("path", "kind", "feature").agg(F.sum("pages").alias("pages")), ["path", "kind"])
     overall = overall.select("path", "kind", F.col("importance").alias("prior"), F.least("pages", F.lit(PRIOR_PAGES)).alias("weight"))
     blend = (F.col("pages") * F.col("importance") + F.col("weight") * F.col("prior")) / (F.col("pages") + F.col("weight"))
-    return per_host.join(overall, ["path", "kind"]).select("host", "path", "kind", "pages", blend.alias("importance"))
+    varied = per_host.join(overall, ["path", "kind"]).select("host", "path", "kind", "pages", blend.alias("importance"))
+    told = own.where(~shapes).groupBy("host", "path", "kind").agg(F.sum("pages").alias("pages"), (F.sum(F.when(F.col("feature") == 1, F.col("pages")).otherwise(0)) / F.sum("pages")).alias("importance"))
+    return varied.unionByName(told)
+
+
+def composite_importance(content: dict[str, float], style: dict[str, float]) -> dict[str, float]:
+    """Of each path of one tree, from the importance of texts and of presentation: an element is as important as its own
+    variety in presentation, weighed down the more children it has, and the best of what it holds."""
+    below: dict[str, list[str]] = {}
+    for p in {*content, *style}:
+        if "/" in p:
+            below.setdefault(p.rsplit("/", 1)[0], []).append(p)
+    out: dict[str, float] = {}
+    for p in sorted({*content, *style, *below}, key=lambda p: -p.count("/")):
+        parts = [out[c] for c in below.get(p, ())] + ([content[p]] if p in content else [])
+        most, g = max(parts, default=0.0), GAMMA ** len(parts)
+        out[p] = max(most, (1 - g) * style.get(p, 0.0) + g * most) if parts else style.get(p, 0.0)
+    return out
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, paths): of each host, the paths of low composite importance, that is, whole branches. Text that stands
-    directly in an element whose composite importance is high stays, even if it repeats.
+    """(host, paths, others): of each host, the paths without classes that are template, and the paths with classes whose
+    verdict is not that of their path without. Text that stands directly in an element whose composite importance is high
+    stays, even if it repeats.
 
-    The group of a host holds one row per path and kind, whatever the number of its pages.
+    The group of a host holds a few rows for each path of its templates, whatever the number of its pages.
     """
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        content = {p: (i, n) for p, k, i, n in zip(pdf.path, pdf.kind, pdf.importance, pdf.pages, strict=True) if k == 1}
-        style = {p: i for p, k, i in zip(pdf.path, pdf.kind, pdf.importance, strict=True) if k == 0}
-        below: dict[str, list[str]] = {}
-        for p in {*content, *style}:
-            if p:
-                below.setdefault(p.rsplit("/", 1)[0], []).append(p)
-        composite: dict[str, float] = {}
-        for p in sorted({*content, *style, *below}, key=lambda p: -p.count("/")):
-            parts = [composite[c] for c in below.get(p, ())] + ([content[p][0]] if p in content else [])
-            most, g = max(parts, default=0.0), GAMMA ** len(parts)
-            # an element is as important as its own variety in presentation and the best of what it holds
-            composite[p] = max(most, (1 - g) * style.get(p, 0.0) + g * most) if parts else style.get(p, 0.0)
-        # no element is less important than what it holds: where one is low, all below it is low as well
-        low = [p for p in content if composite[p] < (LOW_IN_ARTICLE if _in_article.search(p) else LOW)]
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "paths": [sorted(low)]})
-
-    return tree.groupBy("host").applyInPandas(judge, "host string, paths array<string>")
+        by = {k: {} for k in (STYLE, TEXT, LINKED, LATE)}
+        for p, k, i, n in zip(pdf.path, pdf.kind, pdf.importance, pdf.pages, strict=True):
+            by[k][p] = (i, n)
+        composite = composite_importance({p: i for p, (i, _) in by[TEXT].items()}, {p: i for p, (i, _) in by[STYLE].items()})
+
+        def low(p: str) -> bool:
+            inside = _in_article.search(p) is not None
+            if composite[p] < (LOW_IN_ARTICLE if inside else LOW):
+                return True
+            return not inside and any(n >= FEW and i >= MOST for i, n in (by[k].get(p, (0.0, 0)) for k in (LINKED, LATE)))
+
+        verdict = {p: low(p) for p in by[TEXT]}
+        paths = sorted(p for p, x in verdict.items() if x and p.startswith("~"))
+        others = sorted(p for p, x in verdict.items() if not p.startswith("~") and x != verdict.get(bare(p), False))
+        return pd.DataFrame({"host": [pdf.host.iloc[0]], "paths": [paths], "others": [others]})
+
+    return tree.groupBy("host").applyInPandas(judge, "host string, paths array<string>, others array<string>")
+
+
+def _main_text(html: str | None, paths: frozenset[str], others: frozenset[str]) -> str:
+    found = Page(html or "").blocks
+    for kind in (CONTENT, BESIDE, BY_NAME):
+        blocks = [(p, t) for p, t, what in found if what == kind]
+        if blocks:
+            low = {p: (bare(p) in paths) != (p in others) for p in {p for p, _ in blocks}}
+            return "\n".join([t for p, t in blocks if not low[p]] or [t for _, t in blocks])
+    return ""
+
+
+NOTHING = (frozenset(), frozenset())
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -303,25 +485,39 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Blocks stand in page order, parted by one newline; white space inside a block is one space; references are decoded. A
     null or empty page gives an empty text; a null url counts as the host with the empty name; repeated rows are kept; an
     empty table gives no rows. Very long and deep pages take time and memory in proportion to their length. Columns of pages
-    are selected by name; others, whatever their names, are ignored. If the tree would leave nothing of a page, all its content blocks stay; if it has none,
-    those that only a name marks as no content go by the tree in the same way. Pages of a host that holds most rows are dealt over SALTS copies of its row of the tree.
+    are selected by name; others, whatever their names, are ignored. If the tree would leave nothing of a page, all its
+    content blocks stay; if it has none, those beside its article, or else those that only a name marks as no content, go by
+    the tree in the same way. The verdicts on all hosts are broadcast if their size is at most BROADCAST_BYTES; else pages are
+    joined with them, those of a host that holds most rows being dealt over SALTS copies.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    tree = stage(low_branches(style_tree(rows.select("url", "html"))), "html-tree").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tree = stage(low_branches(style_tree(rows.select("url", "html"))), "html-tree")
+    texts = F.aggregate(F.concat("paths", "others"), F.lit(0).cast("long"), lambda n, p: n + F.length(p) + 16)
+    size = tree.agg(F.sum(texts + F.length("host") + 64)).first()[0] or 0
+    kind = rows.schema["page_id"].dataType.simpleString()
+    out = f"page_id {kind}, url string, text string, n_chars long"
+
+    def batch_of(batch, texts):
+        n = pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
+
+    if size <= BROADCAST_BYTES:
+        hosts = pages.sparkSession.sparkContext.broadcast({r["host"]: (frozenset(r["paths"]), frozenset(r["others"])) for r in tree.collect()})
+
+        def read_here(batches):
+            for batch in batches:
+                urls, htmls = batch.column("url").to_pylist(), batch.column("html").to_pylist()
+                yield batch_of(batch, [_main_text(h, *hosts.value.get(host_of(u), NOTHING)) for u, h in zip(urls, htmls, strict=True)])
+
+        return rows.mapInArrow(read_here, out)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     keyed = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = keyed.join(tree, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    salted = tree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "paths", "others")
 
     def read(batches):
         for batch in batches:
-            texts = []
-            for html, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
-                low = set(paths or ())
-                found = Page(html or "").blocks
-                blocks = [(p, t) for p, t, what in found if what == CONTENT] or [(p, t) for p, t, what in found if what == BY_NAME]
-                texts.append("\n".join([t for p, t in blocks if p not in low] or [t for _, t in blocks]))
-            n = pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), n], ["page_id", "url", "text", "n_chars"])
+            columns = (batch.column(c).to_pylist() for c in ("html", "paths", "others"))
+            yield batch_of(batch, [_main_text(h, frozenset(p or ()), frozenset(o or ())) for h, p, o in zip(*columns, strict=True)])
 
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.mapInArrow(read, out)

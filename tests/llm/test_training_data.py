@@ -418,6 +418,79 @@ def test_html_names(spark):
     assert all(mixed[i] == f"words {i}" for i in range(9))
 
 
+COMMENTS = [
+    # an article with readers' articles beside it in main, as blog engines make them
+    "<main><article><h1>T {i}</h1><p>Body text {i} of the story</article><section id='comments'><ol><li class='comment'><article class='comment-body'><p>Reader {i} says hi</article><li class='comment'><article class='comment-body'><p>Other {i}</article></ol></section></main>",
+    "<main><article><h1>T {i}</h1><p>Body text {i} of the story<section><article><p>Reader {i} says hi</article></section></article></main>",
+    "<main><article><h1>T {i}</h1><p>Body text {i} of the story</article><div class='comment-list'><p>Reader {i} says hi</div></main>",
+    "<main><h1>T {i}</h1><article><p>Body text {i} of the story</article><div class='css-{r}'><p>Reader {i} says hi</div><div hidden>secret {i}</div></main>",
+    # no article: only the tree can tell
+    "<div id='top'><div class='post'><h1>T {i}</h1><p>Body text {i} of the story</div><div class='c1'><div class='c2'><p>Reader {i} a</div><div class='c2'><p>Reader {i} b</div></div></div>",
+    "<div class='css-{r}'><div class='css-x{r}'><h1>T {i}</h1><p>Body text {i} of the story</div><div class='css-y{r}'><div class='css-z{r}'><p>Reader {i} a</div><div class='css-z{r}'><p>Reader {i} b</div></div></div>",
+    "<div class='wrap'><div class='left'><p><a href='/a'>See {i} also</a></p><p><a href='/b'>And {i} this</a></p></div><div class='right'><h1>T {i}</h1><p>Body text {i} of the story <a href='/c'>here</a> and much more of it</div></div>",
+    "<div class='wrap'><section class='q{r}'><p>We use cookies on this site</section><div class='right'><h1>T {i}</h1><p>Body text {i} of the story</div><div class='k'>All rights reserved</div></div>",
+]
+
+
+@pytest.mark.parametrize("template", COMMENTS)
+def test_html_templates_without_any_names(spark, template, monkeypatch):
+    """Readers' comments, sidebars, notices and classes made anew for every page, told by structure and tree alone."""
+    monkeypatch.setattr(html_extract, "NAMED", set())
+    rng = random.Random(5)
+    got = texts_of(spark, [f"<body><nav>go {i}</nav>{template}</body>".replace("{i}", str(i)).replace("{r}", "".join(rng.choice("abcdefghijk") for _ in range(7))) for i in range(40)])
+    more = " here and much more of it" if "much more" in template else ""
+    assert all(got[i] == f"T {i}\nBody text {i} of the story{more}" for i in range(40)), got[3]
+
+
+def test_html_attributes():
+    told = lambda html: [t for _, t, what in html_extract.Page(html).blocks if what == html_extract.CONTENT]
+    assert told("<article><div data-id='related'><p>Kept 7?</div><div title='see id=ad here'><p>Kept 8?</div><div data-class=sidebar><p>Kept 9</div></article>") == ["Kept 7?", "Kept 8?", "Kept 9"]
+    assert told("<body><p hidden>no</p><p data-hidden>yes</p><p HIDDEN=''>no</p><p title=hidden>too</p>") == ["yes", "too"]
+    assert told("<body><div id=ad><p>no</div><div ID = 'Sidebar'><p>no</div><div class='x' class='ad'><p>first counts</div>") == ["first counts"]
+    assert told("<body><div class='widget'><article><p>in</article></div>") == ["in"]
+    assert told("<main><article><p>in</article><div class='widget'><article><p>out</article></div></main>") == ["in"]
+
+
+def plain_entropy(features):
+    n = len(features)
+    return 1.0 if n < 2 else -sum(c / n * np.log(c / n) for c in (features.count(f) for f in set(features))) / np.log(n)
+
+
+def test_style_tree_equals_plain_loop(spark):
+    """Entropies and composite importance of a host, and of all hosts as the prior, by plain loops over the pages."""
+    rng = random.Random(6)
+    pages = []
+    for n in range(30):
+        body = "".join(f"<div class='a'><p>{rng.choice(['one', 'two', f'own {n}'])}</p>{'<h2>x</h2>' * rng.randint(0, 2)}</div>" for _ in range(rng.randint(1, 3)))
+        pages.append((f"http://h{n % 2}.org/{n}", f"<body>{body}<div class='b'>same</div></body>"))
+    seen = {}
+    for url, html in pages:
+        for path, kind, feature in html_extract.Page(html).features():
+            seen.setdefault((html_extract.host_of(url), path, kind), []).append(feature)
+    want = {}
+    for (host, path, kind), own in seen.items():
+        if kind in (html_extract.STYLE, html_extract.TEXT):
+            everywhere = [f for (_, p, k), x in seen.items() if p == path and k == kind for f in x]
+            weight = min(len(everywhere), html_extract.PRIOR_PAGES)
+            want[host, path, kind] = (len(own) * plain_entropy(own) + weight * plain_entropy(everywhere)) / (len(own) + weight)
+        else:
+            want[host, path, kind] = own.count("True") / len(own)
+    tree = html_extract.style_tree(spark.createDataFrame(pages, "url string, html string"))
+    got = {(r["host"], r["path"], r["kind"]): r["importance"] for r in tree.collect()}
+    assert got.keys() == {k for k in want if k[1].startswith("~") or len(seen[k]) >= html_extract.OWN_PAGES} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    # by hand: an element with two children of importance 0.2 and 0.6 and presentation 0.5
+    c = html_extract.composite_importance({"~/a/b": 0.2, "~/a/c": 0.6}, {"~/a": 0.5})
+    assert c["~/a"] == pytest.approx(max(0.6, (1 - 0.81) * 0.5 + 0.81 * 0.6)) and c["~"] == pytest.approx(0.6 * 0.9) or c["~"] == pytest.approx(0.6)
+
+
+def test_html_join_equals_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/{i}", PAGE.replace("{i}", str(i)), "x", 1) for i in range(30)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, salt int").select("*", F.lit("p").alias("paths"), F.lit("o").alias("others"), F.lit("t").alias("text"))
+    here = sorted((tuple(r) for r in html_extract.extract_text(df).collect()), key=repr)
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert sorted((tuple(r) for r in html_extract.extract_text(df).collect()), key=repr) == here and len(here) == 31
+
+
 def test_html_blocks():
     blocks = lambda html: [t for _, t, what in html_extract.Page(html).blocks if what == html_extract.CONTENT]
     assert blocks("<p>x<script>if (a</p>b) </script>y</p>z") == ["xy", "z"]
@@ -431,9 +504,9 @@ def test_html_of_great_length_and_depth():
     import time
 
     began = time.process_time()
-    for html in ("<div>" * 30_000 + "deep", "<a " * 300_000, "<a '" * 200_000, "<p title=\"" * 200_000, "<" * 300_000, "<!-- " * 100_000):
+    for html in ("<div>" * 30_000 + "deep", "<div>a" * 10_000, "<div><p>some text</p></div>" * 20_000, "<a " * 300_000, "<a '" * 200_000, "<p title=\"" * 200_000, "<" * 300_000, "<!-- " * 100_000):
         page = html_extract.Page(html)
-        assert sum(len(p) for p, *_ in page.held) < 150_000_000
+        assert sum(len(e.path) for e, *_ in page.held) < 150_000_000
     assert html_extract.Page("<main>" + "<div class='abcdefgh'>" * 1_000 + "deep").blocks[0][0].startswith("/article/") and time.process_time() - began < 60
 
 
