@@ -402,9 +402,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, kind, pages, importance): relative entropy of each element's presentation and content, blended with that
     over all hosts by PRIOR_PAGES; for links and rows, the share of pages that show them. Paths with classes that stand on
     fewer than OWN_PAGES pages of a host are left to their path without: so a host's tree grows with its templates."""
-    rows = _feature_rows(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages"))
+    rows = stage(_feature_rows(pages).groupBy("host", "path", "kind", "feature").agg(F.sum("pages").alias("pages")), "html-features")
     sizes = rows.groupBy("host", "path", "kind").agg(F.sum("pages").alias("all")).where(F.col("path").startswith("~") | (F.col("all") >= OWN_PAGES))
-    rows = stage(rows, "html-features")
     known = sizes.select("host", "path", "kind")
     shapes = F.col("kind").isin(STYLE, TEXT)
 

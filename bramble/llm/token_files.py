@@ -175,6 +175,25 @@ def read_digests(spark: SparkSession, folder: str, keys: DataFrame, id_col: str
     return _read(spark, folder, keys, id_col, "ids_crc32 long", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
 
+#: Ids of one read at most (a longer document is read by itself), and ids between two documents that a read may pass over.
+RUN_IDS, GAP_IDS = 1 << 20, 1 << 14
+
+
+def _runs(shards: np.ndarray, firsts: np.ndarray, counts: np.ndarray):
+    """(shard, first id, end, [(first, n)]) of documents in the order of their places: what stands close together is read at once."""
+    shard, low, high, lines = None, 0, 0, []
+    for s, first, n in zip(shards.tolist(), firsts.tolist(), counts.tolist(), strict=True):
+        if lines and (s != shard or first - high > GAP_IDS or first < low or max(high, first + n) - low > RUN_IDS):
+            yield shard, low, high, lines
+            lines = []
+        if not lines:
+            shard, low, high = s, first, first
+        high = max(high, first + n)
+        lines.append((first, n))
+    if lines:
+        yield shard, low, high, lines
+
+
 def _read(spark: SparkSession, folder: str, keys: DataFrame, id_col: str, field: str, of) -> DataFrame:
     name = field.split()[0]
 
@@ -183,14 +202,15 @@ def _read(spark: SparkSession, folder: str, keys: DataFrame, id_col: str, field:
         now, source, size = None, None, 0
         for pdf in frames:
             out = []
-            for shard, first, n in zip(pdf["shard"], pdf["first"], pdf["n"], strict=True):
+            for shard, low, high, lines in _runs(pdf["shard"].to_numpy(), pdf["first"].to_numpy(), pdf["n"].to_numpy()):
                 if shard != now:
                     source = files.open_input_file(f"{root}/shard-{shard:06d}.bin")
                     head = source.read(HEADER)
                     if head[:8] != MAGIC:
                         raise ValueError(f"shard {shard} has no header")
                     now, size = shard, struct.unpack("<I", head[8:12])[0]
-                out.append(of(np.frombuffer(source.read_at(int(n) * size, HEADER + int(first) * size), f"<u{size}")))
+                ids = np.frombuffer(source.read_at((high - low) * size, HEADER + low * size), f"<u{size}")
+                out += [of(ids[first - low : first - low + n]) for first, n in lines]
             yield pdf[["doc_id", "shard", "first", "n"]].assign(**{name: out})
 
     found = look_up(spark, folder, keys, id_col)

@@ -127,6 +127,11 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+def test_runs_of_reads():
+    runs = list(token_files._runs(np.array([0, 0, 0, 0, 1]), np.array([0, 5, 5, 40_000, 3]), np.array([5, 2, 2, 1 << 21, 0])))
+    assert runs == [(0, 0, 7, [(0, 5), (5, 2), (5, 2)]), (0, 40_000, 40_000 + (1 << 21), [(40_000, 1 << 21)]), (1, 3, 3, [(3, 0)])]
+
+
 def test_token_files_round_trip(spark, docs, none, rows):
     order = sorted(ids_of(rows, 2), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want, at = [], 0
