@@ -16,7 +16,7 @@ from bramble.operators.features import l2_normalise
 from bramble.operators.labels import _numbered
 from bramble.operators.linear import score_examples, train_examples
 from bramble.operators.topk import top_k
-from bramble.plans.shared import stage
+from bramble.plans.shared import drop, restage, stage
 
 #: Gives (doc_id, node, p) for asked (doc_id, node).
 Scorer = Callable[[DataFrame], DataFrame]
@@ -49,7 +49,7 @@ def closure(tree: DataFrame) -> DataFrame:
             return reach
         if more.where("node = ancestor").limit(1).count():
             raise ValueError("the tree has a cycle")
-        reach, width = stage(reach.unionByName(more), "closure"), width * 2
+        reach, width = restage(reach.unionByName(more), "closure", reach, more), width * 2
 
 
 def path_order(paths: DataFrame) -> DataFrame:
@@ -67,6 +67,7 @@ def _led(e: DataFrame, root: str, nodes: DataFrame) -> DataFrame:
     while steps < n:
         far = stage(jump.select("node", F.col("end").alias("mid")).join(jump.select(F.col("node").alias("mid"), "end"), "mid").select("node", "end"), "jump")
         changed = far.join(jump.withColumnRenamed("end", "old"), "node").where("end <> old").limit(1).count()
+        drop(jump)
         jump, steps = far, steps * 2
         if not changed:
             break
