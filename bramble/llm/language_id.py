@@ -17,18 +17,13 @@ from pyspark.sql import functions as F
 from bramble.llm.common import held_out
 from bramble.llm.word_ids import slices, small_batches
 
-#: Characters of labelled text per language, characters of one labelled text that a language takes at most (from anywhere
-#: in it), and bytes of all automata together at most: the bounds of the sample that is learnt from.
-SAMPLE_CHARS, PIECE_CHARS, TABLE_BYTES = 40_000, 4_000, 96_000_000
-#: Letters that a language tells apart at most (its most frequent ones); another letter is a phrase of its own.
-ALPHABET = 250
-#: Classes of characters: 0 is anything but a letter, 1 a letter outside the language's alphabet, the last one padding.
-OTHER = 1
-#: Numbers of letters, over all languages: as the classes, but padding is PAD.
-PAD = 65_535
-#: Texts are parsed whole, in lanes of so many characters; a phrase is cut where a lane ends, in all languages alike.
+#: Characters of labelled text per language, and characters of one labelled text that a language takes at most (from anywhere
+#: in it): the bounds of the sample that is learnt from.
+SAMPLE_CHARS, PIECE_CHARS = 40_000, 4_000
+#: Numbers of letters: 0 is anything but a letter, 1 a letter that no sample holds.
+OTHER, MOST_LETTERS = 1, 65_000
+#: Texts are parsed in lanes of so many characters side by side; what a cut changes is parsed again from the true state.
 BLOCK = 512
-FLAG = 1 << 30
 
 _letters: list[np.ndarray] = []
 
@@ -74,35 +69,110 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(moves: list[dict[int, int]], classes: int) -> np.ndarray:
-    """Next state for state and class; FLAG is set where the character begins a phrase: at the start state, and where the
-    match cannot grow, from which on the next state follows the start state. A character that the sample lacks is a phrase
-    of its own. The last class is padding and changes nothing."""
-    table = np.full((len(moves), classes), -1, dtype=np.int32)
-    for state, out in enumerate(moves):
-        for c, to in out.items():
-            table[state, c] = to
-    fresh = np.where(table[0] >= 0, table[0], 0)
-    dead = table < 0
-    dead[0] = True
-    table[dead] = (np.broadcast_to(fresh, table.shape) | FLAG)[dead]
-    table[:, -1] = np.arange(len(moves))
-    return table
-
-
-def phrases(table: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-    """Phrases of each lane (a row of classes) against one language."""
-    flat, classes = table.ravel(), table.shape[1]
-    state, count = np.zeros(len(lanes), dtype=np.int64), np.zeros(len(lanes), dtype=np.int64)
-    for column in np.ascontiguousarray(lanes.T):
-        step = flat[state * classes + column]
-        count += step >> 30
-        state = (step & (FLAG - 1)).astype(np.int64)
-    return count
-
-
-def _train(train: DataFrame, n_langs: int, sample_chars: int) -> tuple[dict[int, int], list[tuple[str, float, np.ndarray, np.ndarray]]]:
-    """Letter numbers and (language, bits of a phrase, class of each letter number, parse table) of each language."""
+class Automaton:
+    """The transitions of a suffix automaton in one array: that of a state and a letter stands at base[state] + letter, if
+    check says so. What is stored grows with the sample alone, whatever the number of letters. fresh: from the start state."""
+
+    def __init__(self, symbols: list[int], letters: int):
+        moves = suffix_automaton(symbols)
+        self.fresh = np.zeros(letters, dtype=np.int32)
+        for c, to in moves[0].items():
+            self.fresh[c] = to
+        used = bytearray(2 * letters + 4 * sum(map(len, moves)))
+        self.base = np.zeros(len(moves), dtype=np.int32)
+        spots, low = [], 0
+        # states of many letters first: those of one fit into any gap
+        for state in sorted(range(1, len(moves)), key=lambda q: -len(moves[q])):
+            out = list(moves[state].items())
+            if not out:
+                continue
+            low = used.find(0, low)
+            at, first = max(low, out[0][0]), out[0][0]
+            while True:
+                at = used.find(0, at)
+                if at < 0 or at + letters >= len(used):
+                    used.extend(bytes(len(used)))
+                    at = max(low, first)
+                    continue
+                base = at - first
+                if all(base + c >= 0 and not used[base + c] for c, _ in out):
+                    break
+                at += 1
+            self.base[state] = base
+            for c, to in out:
+                used[base + c] = 1
+                spots.append((base + c, state, to))
+        size = max([x for x, *_ in spots], default=0) + letters + 1
+        self.check, self.target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        for spot, state, to in spots:
+            self.check[spot], self.target[spot] = state, to
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, whether a phrase goes on). Where the match cannot grow, and at the start, a phrase begins; a letter
+        that the sample lacks is a phrase of its own."""
+        spot = self.base.take(state) + letter
+        on = self.check.take(spot) == state
+        return np.where(on, self.target.take(spot), self.fresh.take(letter)), on
+
+
+def lanes(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters by place and lane, length of each lane, the lane before it in its text or -1, its text); longest lanes first."""
+    per = -(-sizes // BLOCK)
+    text = np.repeat(np.arange(len(sizes)), per)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+    start = np.repeat(np.cumsum(sizes) - sizes, per) + number * BLOCK
+    length = np.minimum(np.repeat(sizes, per) - number * BLOCK, BLOCK)
+    order = np.argsort(-length, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    before = np.where(number > 0, rank[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order] if len(order) else np.zeros(0, np.int64)
+    by_place = np.zeros((BLOCK, len(order)), dtype=np.uint16)
+    lane = np.repeat(np.arange(len(order)), length)
+    at = np.arange(len(symbols)) - start[lane]
+    by_place[at, rank[lane]] = symbols
+    return by_place, length[order], before, text[order]
+
+
+def phrases(auto: Automaton, by_place: np.ndarray, length: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Phrases of each lane, its text being parsed as one string.
+
+    All lanes are parsed from the start state side by side. Then the lanes inside a text are parsed again from the state in
+    which the lane before ended, as far as they differ from the first parse, which is until both stand in the same state;
+    should a lane differ to its end, the next one is parsed again as well.
+    """
+    n, most = len(length), int(length.max(initial=0))
+    active = np.searchsorted(-length, -np.arange(1, most + 1), side="right")
+    states, counts = np.zeros((most + 1, n), dtype=np.int32), np.zeros((most + 1, n), dtype=np.int32)
+    for t in range(most):
+        k = active[t]
+        to, on = auto.step(states[t, :k], by_place[t, :k])
+        states[t + 1, :k] = to
+        counts[t + 1, :k] = counts[t, :k] + ~on
+    everyone = np.arange(n)
+    total, end = counts[length, everyone], states[length, everyone]
+    entered = np.zeros(n, dtype=np.int32)
+    while True:
+        come = np.where(before >= 0, end[before], 0)
+        lane = np.flatnonzero(come != entered)
+        if not len(lane):
+            return total
+        entered[lane] = come[lane]
+        state, count, t = come[lane], np.zeros(len(lane), dtype=np.int32), 0
+        while len(lane):
+            same = state == states[t, lane]
+            out = same | (length[lane] == t)
+            done = lane[out]
+            total[done] = count[out] + np.where(same[out], counts[length[done], done] - counts[t, done], 0)
+            end[done] = np.where(same[out], states[length[done], done], state[out])
+            lane, state, count = lane[~out], state[~out], count[~out]
+            if len(lane):
+                state, on = auto.step(state, by_place[t, lane])
+                count += ~on
+            t += 1
+
+
+def _train(train: DataFrame, sample_chars: int) -> tuple[dict[int, int], list[tuple[str, float, Automaton]]]:
+    """Letter numbers and (language, bits of a phrase, automaton) of each language."""
     totals = train.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))
     keep = F.least(F.lit(1.0), 3.0 * sample_chars / F.col("chars"))
     picked = train.join(F.broadcast(totals.withColumnRenamed("lang", "l")), F.col("lang") == F.col("l"))
@@ -112,31 +182,20 @@ def _train(train: DataFrame, n_langs: int, sample_chars: int) -> tuple[dict[int,
         so_far = kept.setdefault(lang, [])
         if sum(map(len, so_far)) < sample_chars:
             so_far.append(text.lower())
-    own = {}
-    for lang, texts in kept.items():
-        seen = pd.Series(list("".join(texts)), dtype=object).value_counts()
-        own[lang] = sorted([c for c in seen.index if c.isalpha()][:ALPHABET])
-    numbers = {ord(c): i for i, c in enumerate(sorted(set().union(*own.values())) if own else (), OTHER + 1)}
-    if len(numbers) > PAD - 2:
-        raise ValueError("more letters than numbers")
+    seen = pd.Series(list("".join(t for texts in kept.values() for t in texts)), dtype=object).value_counts()
+    # as many letters as there are numbers, which is more than any writing has: beyond, the rarest are told apart no more
+    known = sorted([c for c in seen.index if c.isalpha()][:MOST_LETTERS])
+    numbers = {ord(c): i for i, c in enumerate(known, OTHER + 1)}
     out = []
     for lang in sorted(kept):
-        classes = len(own[lang]) + 3
-        of = np.full(PAD + 1, OTHER, dtype=np.uint8)
-        of[[numbers[ord(c)] for c in own[lang]]] = np.arange(2, classes - 1)
-        of[0], of[PAD] = 0, classes - 1
-        lanes, _ = _lanes(kept[lang], numbers)
-        most = int(min(sample_chars, TABLE_BYTES / max(1, n_langs) / (1.6 * classes * 4)))
-        symbols = of[lanes[lanes != PAD]].tolist()[:most]
+        symbols = _symbols(kept[lang], numbers)[0][:sample_chars].tolist()
         if symbols:
-            # letters outside of the alphabet differ from each other: no phrase may hold one
-            moves = [{c: to for c, to in out.items() if c != OTHER} for out in suffix_automaton(symbols)]
-            out.append((lang, float(np.log2(len(symbols) + 1)), of, parse_table(moves, classes)))
+            out.append((lang, float(np.log2(len(symbols) + 1)), Automaton(symbols, len(numbers) + 2)))
     return numbers, out
 
 
-def _lanes(texts: list[str], numbers: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(lanes of BLOCK letter numbers, text of each lane). Runs of other characters than letters count as one."""
+def _symbols(texts: list[str], numbers: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(letter numbers of all texts, how many of each). Runs of other characters than letters count as one."""
     points, sizes = _code_points(texts)
     number = np.zeros(0x110000, dtype=np.uint16)
     number[_is_letter()] = OTHER
@@ -146,23 +205,15 @@ def _lanes(texts: list[str], numbers: dict[int, int]) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(c), dtype=bool)
     if len(c):
         keep[1:] = (c[1:] != 0) | (c[:-1] != 0) | (text[1:] != text[:-1])
-    c, text = c[keep], text[keep]
-    n = np.bincount(text, minlength=len(texts))
-    per = -(-n // BLOCK)
-    lane_text = np.repeat(np.arange(len(texts)), per)
-    first_lane = np.cumsum(per) - per
-    place = np.arange(len(c)) - np.repeat(np.cumsum(n) - n, n)
-    lanes = np.full((len(lane_text), BLOCK), PAD, dtype=np.uint16)
-    lanes[first_lane[text] + place // BLOCK, place % BLOCK] = c
-    return lanes, lane_text
+    return c[keep], np.bincount(text[keep], minlength=len(texts))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs.
 
     Languages are learnt from text and non-null lang of rows that are not held out: from a hashed sample of rows, and from
-    PIECE_CHARS characters of each at a hashed place, until a language has sample_chars characters (less where many
-    languages would exceed TABLE_BYTES of tables in a worker). All texts are parsed whole, however long. A text
+    PIECE_CHARS characters of each at a hashed place, until a language has sample_chars characters. All texts are parsed
+    whole, as one string each, however long. A text
     that is null or has no letter, or any text when nothing could be learnt, gets `und` with score 0. Ties go to the first
     language by code point. The score is the winner's share when each language weighs 2 to the power of minus its bits per
     character, over 32 characters at most. A null id is passed on and counts as not held out for the flag; repeated rows
@@ -173,23 +224,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("held_out"))
     train = rows.where("not held_out and lang is not null and text is not null").select("lang", F.xxhash64("doc_id").alias("at"), F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id, 1), greatest(1, length(text) - {PIECE_CHARS} + 1)), {PIECE_CHARS})").alias("text"))
-    n_langs = train.select("lang").distinct().count()
-    numbers, learnt = _train(train, n_langs, sample_chars)
+    numbers, learnt = _train(train, sample_chars)
     model = spark.sparkContext.broadcast((numbers, learnt))
 
     def predict(batches):
         numbers, learnt = model.value
-        bits = np.asarray([b for _, b, *_ in learnt])
+        bits = np.asarray([b for _, b, _ in learnt])
         names = np.asarray([n for n, *_ in learnt], dtype=object)
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 texts = pc.fill_null(pc.utf8_lower(part.column("text").cast(pa.large_string())), "").to_pylist()
-                lanes, lane_text = _lanes(texts, numbers)
-                chars = np.bincount(lane_text, weights=(lanes != PAD).sum(axis=1), minlength=len(texts))
-                has_letter = np.bincount(lane_text, weights=((lanes != PAD) & (lanes != 0)).any(axis=1), minlength=len(texts)) > 0
+                symbols, chars = _symbols(texts, numbers)
+                by_place, length, before, lane_text = lanes(symbols, chars)
+                text = np.repeat(np.arange(len(texts)), chars)
+                has_letter = np.bincount(text, weights=symbols != 0, minlength=len(texts)) > 0
                 pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
                 if learnt and has_letter.any():
-                    cost = np.stack([np.bincount(lane_text, weights=phrases(t, of[lanes]), minlength=len(texts)) for _, _, of, t in learnt]) * bits[:, None] / np.maximum(chars, 1)
+                    cost = np.stack([np.bincount(lane_text, weights=phrases(auto, by_place, length, before), minlength=len(texts)) for *_, auto in learnt]) * bits[:, None] / np.maximum(chars, 1)
                     best = cost.argmin(axis=0)
                     share = 2.0 ** (-(cost - cost.min(axis=0)) * np.minimum(chars, 32))
                     pred = np.where(has_letter, names[best], "und")

@@ -237,23 +237,56 @@ def test_mixed_documents_of_equal_ids(spark):
     assert sorted(map(repr, mixed[0])) == sorted(map(repr, mixed[1]))
 
 
+def parsed(auto, texts):
+    symbols = np.asarray([c for t in texts for c in t], dtype=np.uint16)
+    by_place, length, before, text = language_id.lanes(symbols, np.asarray([len(t) for t in texts], dtype=np.int64))
+    return np.bincount(text, weights=language_id.phrases(auto, by_place, length, before), minlength=len(texts)).tolist()
+
+
+def longest_matches(sample, s):
+    """Phrases of s by brute force: each the longest piece that occurs in the sample."""
+    n, at = 0, 0
+    while at < len(s):
+        k = 1
+        while at + k <= len(s) and s[at : at + k] in sample:
+            k += 1
+        at, n = at + max(1, k - 1), n + 1
+    return n
+
+
 def test_suffix_automaton_parse():
-    text, table = "abracadabra", None
-    moves = language_id.suffix_automaton([ord(c) - 95 for c in text])
-    table = language_id.parse_table(moves, 64)
-
-    def brute(s):
-        n, at = 0, 0
-        while at < len(s):
-            k = 1
-            while at + k <= len(s) and s[at : at + k] in text:
-                k += 1
-            at, n = at + max(1, k - 1), n + 1
-        return n
-
-    for s in ("abra", "cadabrac", "zzz", "abracadabraabra", "r"):
-        lane = np.asarray([[min(ord(c) - 95, 60) for c in s] + [63] * 4], dtype=np.uint8)
-        assert language_id.phrases(table, lane)[0] == brute(s)
+    auto = language_id.Automaton([ord(c) - 95 for c in "abracadabra"], 64)
+    texts = ["abra", "cadabrac", "zzz", "abracadabraabra", "r", ""]
+    assert parsed(auto, [[min(ord(c) - 95, 60) for c in s] for s in texts]) == [longest_matches("abracadabra", s) for s in texts]
+
+
+@pytest.mark.parametrize("block", [3, 16, 512])
+def test_texts_are_parsed_as_one_string(block, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    rng = random.Random(9)
+    for letters in (2, 5, 400):
+        sample = "".join(chr(0x4E00 + rng.randrange(letters)) for _ in range(600))
+        auto = language_id.Automaton([ord(c) - 0x4E00 + 2 for c in sample], letters + 3)
+        texts = ["".join(chr(0x4E00 + rng.randrange(letters + 1)) for _ in range(rng.choice([0, 1, block, block + 1, 700]))) for _ in range(20)]
+        # pieces of the sample itself: phrases that run over many lanes
+        texts += [sample[100:500] + sample[:300], sample * 2]
+        assert parsed(auto, [[min(ord(c) - 0x4E00 + 2, letters + 2) for c in t] for t in texts]) == [longest_matches(sample, t) for t in texts]
+
+
+def test_one_long_text_and_many_languages():
+    rng = random.Random(10)
+    sample = "".join(rng.choice("abcdefgh ") for _ in range(3_000))
+    auto = language_id.Automaton([ord(c) - 30 for c in sample], 100)
+    text = "".join(sample[(at := rng.randrange(2_900)) : at + rng.randint(1, 40)] for _ in range(5_000))[:100_000]
+    state, count = np.zeros(1, dtype=np.int32), 0
+    for c in text:
+        state, on = auto.step(state, np.asarray([ord(c) - 30]))
+        count += int(not on[0])
+    assert parsed(auto, [[ord(c) - 30 for c in text]]) == [count]
+    assert count == longest_matches(sample, text)
+    # what an automaton stores follows its sample, not the number of letters
+    wide = language_id.Automaton([rng.randrange(2, 20_000) for _ in range(3_000)], 20_002)
+    assert len(wide.check) < 20 * 3_000 + 3 * 20_002
 
 
 def test_language_id(spark, none, docs):
