@@ -80,25 +80,25 @@ class Automaton:
             self.fresh[c] = to
         used = bytearray(2 * letters + 4 * sum(map(len, moves)))
         self.base = np.zeros(len(moves), dtype=np.int32)
-        spots, low = [], 0
-        # states of many letters first: those of one fit into any gap
+        spots, low, hint = [], 0, 0
+        # states of many letters first, each looked for from where the last one found its place: those of one fit into any gap
         for state in sorted(range(1, len(moves)), key=lambda q: -len(moves[q])):
             out = list(moves[state].items())
             if not out:
                 continue
-            low = used.find(0, low)
-            at, first = max(low, out[0][0]), out[0][0]
+            low, first = used.find(0, low), out[0][0]
+            at = max(low if len(out) == 1 else hint, first)
             while True:
                 at = used.find(0, at)
                 if at < 0 or at + letters >= len(used):
                     used.extend(bytes(len(used)))
-                    at = max(low, first)
+                    at = max(hint, first)
                     continue
                 base = at - first
                 if all(base + c >= 0 and not used[base + c] for c, _ in out):
                     break
                 at += 1
-            self.base[state] = base
+            self.base[state], hint = base, at if len(out) > 1 else hint
             for c, to in out:
                 used[base + c] = 1
                 spots.append((base + c, state, to))
