@@ -586,6 +586,38 @@ def test_near_duplicate_vectors(spark):
     assert embedding_join.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_blocks_meet_in_grid_order(spark):
+    """Many small blocks, so that several directions are keys; mixed lengths, repeated ids, clashing columns."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, (base[i % 40] + rng.normal(size=6) * 0.1).tolist(), i % 2) for i in range(400)] + [(1000 + i, base[i % 3, :4].tolist(), 0) for i in range(6)] + [(5, base[5].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", *[F.lit(1).alias(c) for c in ("v", "rep", "block", "copies", "n", "at", "cell")])
+    ok = [(i, np.asarray(v), l) for i, v, l in rows]
+    links = [(a, b) for k, (a, x, l) in enumerate(ok) for b, y, m in ok[k + 1 :] if l == m and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.98]
+    comp = brute_components([i for i, *_ in rows], links)
+    assert len(links) > 300
+    for block in (1, 4):
+        got = {}
+        for r in embedding_join.near_duplicates(df, block=block).collect():
+            got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+        assert {i: c[0][1] for i, c in got.items()} == comp and len(got[5]) == 2
+        assert sum(n for c in got.values() for n, _ in c) == 2 * len(links)
+
+
+def test_close_blocks_equal_all_pairs(spark):
+    rng = random.Random(12)
+    boxes = []
+    for n in range(150):
+        low = [rng.uniform(-1, 1) for _ in range(5)]
+        boxes.append(("x", n, *low, *[c + rng.choice([0, 0.05, 0.3]) for c in low]))
+    names = [f"lo{i} double" for i in range(5)] + [f"hi{i} double" for i in range(5)]
+    df = spark.createDataFrame(boxes + [("y", 900, *[0.0] * 10)], ", ".join(["label string", "block long", *names]))
+    gap = lambda a, b, i: max(a[2 + i] - b[7 + i], b[2 + i] - a[7 + i], 0.0)
+    want = {(a[1], b[1]) for a in boxes for b in boxes if a[1] <= b[1] and sum(gap(a, b, i) ** 2 for i in range(5)) <= 0.04} | {(900, 900)}
+    got = [tuple(r) for r in embedding_join._close_blocks(df, 5, 0.2).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def shingle_set(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w)} if 0 < len(w) < k else {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
