@@ -118,11 +118,12 @@ def plain_bits(text, code, tables, weights):
     """One text alone, decision by decision."""
     data, sizes = LM.stream(pa.array([text], pa.string()))
     hashes, cost, moved = LM.contexts(data, sizes), 0.0, np.zeros(LM.CONTEXTS)
+    symbols = code.symbols(data)
     for lo in range(0, len(data), LM.REFINE):
         grad, many = np.zeros(LM.CONTEXTS), 0
         for i in range(lo, min(lo + LM.REFINE, len(data))):
-            for j in range(code.length[data[i]]):
-                at = code.start[data[i]] + j
+            for j in range(code.length[symbols[i]]):
+                at = code.start[symbols[i]] + j
                 state = [int(tables[k][LM.slots(hashes[k][i : i + 1], np.array([1]), code.node[at : at + 1], 10)][0]) for k in range(LM.CONTEXTS)]
                 x = LM.ODDS[state].astype(float)
                 z = float((weights[(state[-1] >> 6) * 4 + (state[-2] >> 6)] + moved) @ x)
@@ -145,6 +146,39 @@ def test_bits_equal_plain_loop():
     assert np.allclose(got, [plain_bits(t, code, tables, weights) for t in texts], rtol=1e-4)
 
 
+def test_bits_with_a_tree_after_each_byte():
+    data, sizes = LM.stream(pa.array([t for _, t in LM_ROWS]))
+    seen = Counter()
+    for end, n in zip(np.cumsum(sizes), sizes, strict=True):
+        seen.update(zip([LM.END, *data[end - n : end - 1].tolist()], data[end - n : end].tolist(), strict=True))
+    counts = np.bincount(LM.pairs(data), minlength=1 << 16)
+    assert {(int(i) >> 8, int(i) & 255): int(counts[i]) for i in np.flatnonzero(counts)} == seen
+    code = LM.Code(counts)
+    assert np.allclose((2.0 ** -code.length.reshape(256, 256)).sum(axis=1), 1)
+    one = LM.Code(counts.reshape(256, 256).sum(axis=0))
+    assert code.length[LM.pairs(data)].sum() < one.length[data].sum()
+    rng = np.random.default_rng(3)
+    tables = [LM.BRIEF[LM.states(rng.integers(0, 40, 2 << 10))] for _ in range(LM.CONTEXTS)]
+    weights = rng.random((LM.GATES, LM.CONTEXTS)).astype(np.float32)
+    texts = [LM_ROWS[i][1] for i in (0, 3, 60, 119, 120, 121, 127)] + [LM_ROWS[-1][1][:700]]
+    got = LM.bits_of(*LM.stream(pa.array(texts)), code, tables, weights)
+    assert np.allclose(got, [plain_bits(t, code, tables, weights) for t in texts], rtol=1e-4)
+
+
+def test_slots_are_counted_once_for_each_decision(spark):
+    """The states of a small model equal those of counting decision by decision, whatever the cutting into slices."""
+    texts = [t for _, t in LM_ROWS if t is not None and len(t) < 9000]
+    data, sizes = LM.stream(pa.array(texts))
+    code = LM.Code(np.bincount(LM.pairs(data), minlength=1 << 16))
+    want = np.zeros((LM.CONTEXTS, 2 << 8), dtype=np.int64)
+    for k, h in enumerate(LM.contexts(data, sizes)):
+        for x, symbol in zip(h, LM.pairs(data), strict=True):
+            for at in range(code.start[symbol], code.start[symbol] + code.length[symbol]):
+                want[k, 2 * int(LM.slots(np.array([x]), np.array([1]), code.node[at : at + 1], 8)[0]) + int(code.bit[at])] += 1
+    got = LM._tables(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), code, 8)
+    assert all((g == LM.states(w)).all() for g, w in zip(got, want, strict=True))
+
+
 def test_lm_scoring(spark):
     docs = spark.createDataFrame(LM_ROWS, "doc_id long, text string").repartition(4).select("*", F.lit(1).alias("row"), F.lit("x").alias("word"), F.lit(2).alias("n"), F.lit(3).alias("held_out"))
     got = LM.score(docs, bits=12).collect()
