@@ -454,6 +454,25 @@ def test_linear_models_equal_plain_loops(spark, loss):
     assert got == pytest.approx({k: x for k, x in w.items() if abs(x) > 0.01})
 
 
+def test_cells_are_bounded_whatever_the_documents(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, width = 4_000, 100
+    docs = pd.DataFrame({"f": [rng.choice(40, 4, replace=False) for _ in range(n)], "x": [rng.random(4) for _ in range(n)], "slots": [rng.choice(width, 2, replace=False) for _ in range(n)], "ys": [np.ones(2)] * n, "rest": (np.arange(n) % 5 > 0).astype(int)})
+    state = pd.DataFrame({"fid": np.repeat(np.arange(-1, 40), width), "slot": np.tile(np.arange(width, dtype=np.int32), 41), "w": rng.standard_normal(41 * width)})
+    whole = linear._cell_gradients(docs, state, width, "logistic", False)
+    monkeypatch.setattr(linear, "CELL_NUMBERS", 5_000)
+    tracemalloc.start()
+    parts = linear._cell_gradients(docs, state, width, "logistic", False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a, b = (g.sort_values(["fid", "slot"]).reset_index(drop=True) for g in (whole, parts))
+    assert np.array_equal(a[["fid", "slot"]].to_numpy(), b[["fid", "slot"]].to_numpy()) and np.allclose(a.g, b.g)
+    # documents times models would be 400,000 numbers an array
+    assert peak < 3_000_000
+
+
 def test_window_counts_equal_windows(spark):
     from pyspark.sql import functions as F
 
