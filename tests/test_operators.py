@@ -493,6 +493,21 @@ def test_window_counts_equal_windows(spark):
     assert {tuple(r) for r in got[0].collect()} == {(k, n) for k, n in words.items()} and {tuple(r) for r in got[1].collect()} == {(*k, n) for k, n in pairs.items()}
 
 
+def test_word_pairs_are_joined_once(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "b c d")], "doc_id long, text string")
+    words = F.split("text", " ")
+    n, pairs = features.window_counts(docs, words, 2)
+    total = spark.createDataFrame([(5,)], "total long")
+    graph = features.text_graph(docs, words, 2)
+    for df in (features.pmi(n, pairs, total), graph.where("src_type = 'word'")):
+        lines = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x or "Generate explode(array(" in x]
+        # the other order is made above all joins
+        assert "Generate" in lines[0] and "Join" in lines[1], lines
+    nodes = features.graph_nodes(docs, words, F.lit(False))
+    whole = features.numbered_edges(graph, nodes).collect()
+    assert sorted(features.numbered_edges(features.text_graph(docs, words, 2, once=True), nodes, once=True).collect()) == sorted(whole)
+
+
 def test_shared_filtered_ranks(spark):
     rng = random.Random(6)
     score = {f"l{i}": rng.randrange(6) for i in range(20)}
