@@ -565,6 +565,31 @@ def test_word_vectors(spark, monkeypatch, cbow):
     assert cos(unseen["waters"], known["river"]) > cos(unseen["waters"], known["money"])
 
 
+def test_word_vector_blocks_have_tasks_of_their_own(spark, monkeypatch):
+    plans, whole = [], wordvectors.stage
+
+    def watched(df, label):
+        if label == "made":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, label)
+
+    monkeypatch.setattr(wordvectors, "stage", watched)
+    monkeypatch.setattr(wordvectors, "BLOCK_TOKENS", 20)
+    docs = spark.createDataFrame([(i, "red green blue red green") for i in range(20)], "doc_id long, text string")
+    wordvectors.train(docs, T.words(F.col("text")), dim=2, rounds=1)
+    # a number of tasks that is stated: bytes do not tell how long a block takes
+    assert len(plans) == 1 and "hashpartitioning(block" in plans[0] and "REPARTITION_BY_NUM" in plans[0]
+
+
+def test_rows_are_added_one_after_another():
+    rng = np.random.default_rng(3)
+    a, rows, more = rng.random((7, 3)), rng.integers(0, 7, 50), rng.random((50, 3))
+    b = a.copy()
+    np.add.at(a, rows, more)
+    wordvectors._add(b, rows, more)
+    assert (a == b).all()
+
+
 def test_word_windows():
     docs = pd.DataFrame({"words": [[5, 6, 7, 8], [9]], "reach": [[1, 2, 1, 3], [2]]})
     inputs, sizes, targets = wordvectors._windows(docs, False)
