@@ -561,24 +561,25 @@ def j09(s, d):
 WEIGHTS = "w AS (SELECT label, feature, round(avg(value) / 50 - 0.5, 6) AS weight FROM order_labels JOIN order_features USING (doc_id) GROUP BY ALL)"
 
 
-def whole_scores(features, w):
+def whole_scores(features, w, k=None):
     """Scores summed in whole millionths, so that no engine's order of adding shows."""
-    return X.sparse_dot(features.withColumn("value", F.col("value").cast("long")), w.withColumn("weight", F.round(F.col("weight") * 1_000_000).cast("long")))
+    return X.block_dot(features.withColumn("value", F.col("value").cast("long")), w.withColumn("weight", F.round(F.col("weight") * 1_000_000).cast("long")), k)
 
 
-def feature_weights(s, d):
-    return v.order_labels(s, d).join(v.order_features(s, d), "doc_id").groupBy("label", "feature").agg(F.round(F.avg("value") / 50 - 0.5, 6).alias("weight"))
+def feature_weights(s, d, features=None):
+    return v.order_labels(s, d).join(features if features is not None else v.order_features(s, d), "doc_id").groupBy("label", "feature").agg(F.round(F.avg("value") / 50 - 0.5, 6).alias("weight"))
 
 
 @query("j10_sparse_dot", with_views(f"WITH {WEIGHTS} SELECT doc_id, label, sum(CAST(value AS BIGINT) * CAST(round(weight * 1000000) AS BIGINT))::BIGINT AS score FROM order_features JOIN w USING (feature) GROUP BY doc_id, label", "order_labels", "order_features"))
 def j10(s, d):
-    return whole_scores(v.order_features(s, d), feature_weights(s, d))
+    f = stage(v.order_features(s, d), "features")
+    return whole_scores(f, stage(feature_weights(s, d, f), "weights"))
 
 
 @query("t12_score_all_labels", with_views(f"WITH {WEIGHTS}, sc AS (SELECT doc_id, label, sum(CAST(value AS BIGINT) * CAST(round(weight * 1000000) AS BIGINT))::BIGINT AS score FROM order_features JOIN w USING (feature) GROUP BY doc_id, label) SELECT doc_id, label, score FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) <= 5", "order_labels", "order_features"))
 def t12(s, d):
-    scored = whole_scores(v.order_features(s, d), feature_weights(s, d))
-    return topk.top_k(scored, 5).select("doc_id", "label", "score")
+    f = stage(v.order_features(s, d), "features")
+    return topk.top_k(whole_scores(f, stage(feature_weights(s, d, f), "weights"), 5), 5).select("doc_id", "label", "score")
 
 
 @query("j14_expand_groups", with_views("SELECT DISTINCT o.doc_id, m.label FROM order_labels o JOIN (SELECT DISTINCT label, CAST(substr(label, 7) AS INTEGER) % 5 AS g FROM order_labels) m ON CAST(substr(o.label, 7) AS INTEGER) % 5 = m.g", "order_labels"))
