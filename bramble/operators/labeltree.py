@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from bramble.functions.hashing import hash32
 from bramble.functions.scores import sigmoid
 from bramble.operators.features import l2_normalise
 from bramble.operators.labels import _numbered
-from bramble.operators.linear import score_examples, train_examples
+from bramble.operators.linear import _BIAS as BIAS_NUMBER
+from bramble.operators.linear import _blocks, _feature_numbers, _numbers, score_examples, train_packed
 from bramble.operators.topk import top_k
 from bramble.plans.shared import drop, restage, stage
 
@@ -126,6 +129,19 @@ def training_set(docs: DataFrame, doc_labels: DataFrame, tree: DataFrame, paths:
     return positive.select("doc_id", "node", F.lit(1).alias("y")).unionByName(negative.select("doc_id", "node", F.lit(0).alias("y"))).unionByName(bare.select("doc_id", "node", F.lit(0).alias("y")))
 
 
+def packed_training_set(docs: DataFrame, doc_labels: DataFrame, tree: DataFrame, paths: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(doc_id, e): training_set with one row a document; e holds 2 * number + y of each of its nodes by numbers(node,
+    number). A label brings its path and the children along it, so documents are shuffled by their labels only."""
+    numbered = lambda name: numbers.withColumnRenamed("node", name)
+    children = tree.where("parent is not null").select(F.col("parent").alias("ancestor"), "node").join(numbers, "node").groupBy("ancestor").agg(F.collect_list("number").alias("below"))
+    above = tree.where("label is not null").select("label", "node").join(paths, "node").join(numbered("ancestor"), "ancestor").join(children, "ancestor", "left")
+    routes = stage(above.groupBy("label").agg(F.collect_list("number").alias("own"), F.flatten(F.collect_list("below")).alias("below")), "routes")
+    own = doc_labels.select("doc_id", "label").repartition("doc_id").join(routes, "label").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"), F.flatten(F.collect_list("below")).alias("below"))
+    told = own.select("doc_id", F.concat(F.transform("own", lambda i: i * 2 + 1), F.transform(F.array_except("below", "own"), lambda i: i * 2)).alias("e"))
+    root = tree.where("parent is null").select("node").limit(1).join(numbers, "node").select(F.array(F.col("number") * 2).alias("e"))
+    return told.unionByName(docs.select("doc_id").join(doc_labels, "doc_id", "left_anti").crossJoin(F.broadcast(root)))
+
+
 def constant_nodes(training: DataFrame) -> DataFrame:
     """(node, p): nodes whose examples all agree need no model."""
     return training.groupBy("node").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = hi").select("node", F.col("lo").cast("double").alias("p"))
@@ -295,19 +311,23 @@ def hard_negatives(predictions: DataFrame, doc_labels: DataFrame, tree: DataFram
     return nodes.join(node_positives(doc_labels, tree, paths), ["doc_id", "node"], "left_anti")
 
 
-def train_tree(features: DataFrame, doc_labels: DataFrame, tree: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def train_tree(features: DataFrame, doc_labels: DataFrame, tree: DataFrame, batch: int = 64, **options) -> tuple[DataFrame, DataFrame]:
     """(weights(model = node, feature, weight), constants(node, p)) of a probabilistic label tree's node models.
 
     A node is fitted, as a logistic model of its conditional probability, on the documents that reach it: those with a
     label below its parent (at the root: all). Nodes whose examples agree have a constant and no model. The work is that
-    of the (document, node) rows of the training set, whatever the number of nodes.
+    of the examples of the training set, whatever the number of nodes; a document's examples stand in one row.
     """
     paths = closure(tree)
+    places = path_order(paths).select(F.col("model").cast("string").alias("model"), F.col("place").alias("rank"))
+    models, batches = _numbers(places, batch, ["rank", "model"])
+    numbers = tree.select("node", F.col("node").cast("string").alias("model")).distinct().join(models, "model").select("node", (F.col("batch") * batch + F.col("slot")).alias("number"))
     docs = features.select("doc_id").distinct().unionByName(doc_labels.select("doc_id").distinct()).distinct()
-    examples = stage(training_set(docs, doc_labels, tree, paths), "examples")
-    constant = stage(constant_nodes(examples), "constants")
-    asked = examples.join(constant, "node", "left_anti").select("doc_id", F.col("node").alias("model"), "y")
-    return train_examples(features, asked, order=path_order(paths), **options), constant
+    examples = stage(packed_training_set(docs, doc_labels, tree, paths, stage(numbers, "numbers")), "examples")
+    y = examples.select(F.explode("e").alias("e")).groupBy(F.shiftright("e", 1).alias("number")).agg(F.min(F.col("e") % 2).alias("lo"), F.max(F.col("e") % 2).alias("hi"))
+    constant = stage(y.where("lo = hi").join(numbers, "number").select("node", F.col("lo").cast("double").alias("p")), "constants")
+    weights = train_packed(features, examples, models, batches, batch, **options)
+    return weights.join(constant.select(F.col("node").cast("string").alias("model")), "model", "left_anti"), constant
 
 
 def model_scores(features: DataFrame, weights: DataFrame, constants: DataFrame) -> Scorer:
@@ -323,6 +343,88 @@ def model_scores(features: DataFrame, weights: DataFrame, constants: DataFrame)
     return scored
 
 
+#: Weights and nodes of a tree that a task takes whole; probabilities and products that it holds in one array.
+TREE_WEIGHTS, TREE_NODES, CELL_NUMBERS = 1_000_000, 4_096, 1_000_000
+
+
+def _probabilities(docs: pd.DataFrame, nodes: pd.DataFrame) -> np.ndarray:
+    """Probability of each of nodes(fixed, f, w) for each of docs(f, x): a constant, or the sigmoid of the score."""
+    n = docs.f.map(len).to_numpy()
+    f, x = np.concatenate(docs.f.to_numpy()), np.concatenate(docs.x.to_numpy())
+    known, spot = np.unique(f, return_inverse=True)
+    many = nodes.f.map(len).to_numpy()
+    fid, w, node = np.concatenate(nodes.f.to_numpy()), np.concatenate(nodes.w.to_numpy()), np.repeat(np.arange(len(nodes)), many)
+    z = np.zeros((len(docs), len(nodes)))
+    z += np.bincount(node[fid == BIAS_NUMBER], weights=w[fid == BIAS_NUMBER], minlength=len(nodes))
+    at = np.minimum(np.searchsorted(known, fid), len(known) - 1)
+    met = known[at] == fid
+    at, w, node = at[met], w[met], node[met]
+    step = max(1, CELL_NUMBERS // len(f))
+    for low in range(0, len(nodes), step):
+        here = (node >= low) & (node < low + step)
+        weight = np.zeros((len(known), min(step, len(nodes) - low)))
+        weight[at[here], node[here] - low] = w[here]
+        z[:, low : low + step] += np.add.reduceat(x[:, None] * weight[spot], np.cumsum(n) - n, axis=0)
+    fixed = nodes.fixed.to_numpy(dtype=float)
+    with np.errstate(over="ignore"):
+        return np.where(np.isnan(fixed), 1 / (1 + np.exp(-z)), fixed)
+
+
+def _best_of_block(docs: pd.DataFrame, nodes: pd.DataFrame, k: int, normalise: bool) -> pd.DataFrame:
+    """(doc_id, rank, label, score) of docs(doc_id, f, x): all paths of the tree nodes(node, parent, label, fixed, f, w)
+    multiplied, some documents at a time."""
+    place, label = {node: i for i, node in enumerate(nodes.node)}, nodes.label.tolist()
+    kids, tops = {}, []
+    for i, up in enumerate(nodes.parent):
+        tops += [i] if up is None else []
+        kids.setdefault(place.get(up), []).append(i)
+    parent, order = {}, tops[:1]
+    for i in order:  # grows: a labelled node is an end
+        below = kids.get(i, []) if label[i] is None else []
+        parent |= dict.fromkeys(below, i)
+        order += below
+    leaves = sorted((i for i in order if label[i] is not None), key=lambda i: label[i])
+    out, names = [], np.array([label[i] for i in leaves], dtype=object)
+    sizes, begin = np.cumsum(docs.f.map(len).to_numpy() + len(nodes)), 0
+    while begin < len(docs) and leaves:
+        end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + CELL_NUMBERS, side="right")))
+        some = docs.iloc[begin:end]
+        p = _probabilities(some, nodes)
+        if normalise:
+            for up in order:
+                below = [i for i in kids.get(up, []) if parent.get(i) == up]
+                total = p[:, below].sum(axis=1, keepdims=True)
+                p[:, below] = np.divide(p[:, below], total, out=p[:, below], where=total != 0)
+        for i in order[1:]:
+            p[:, i] *= p[:, parent[i]]
+        score = np.round(p[:, leaves], 9)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ties go to the first by name
+        out.append(pd.DataFrame({"doc_id": some.doc_id.to_numpy().repeat(best.shape[1]), "rank": np.tile(np.arange(1, best.shape[1] + 1), len(some)), "label": names[best.ravel()], "score": np.take_along_axis(score, best, axis=1).ravel()}))
+        begin = end
+    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "rank": [], "label": [], "score": []})
+
+
+def _predict_in_blocks(features: DataFrame, tree: DataFrame, weights: DataFrame, constants: DataFrame, k: int, normalise: bool) -> DataFrame:
+    """predict of a tree that a task takes whole: blocks of packed documents meet all of its nodes."""
+    names = _feature_numbers(features)
+    docs = _blocks(features, names, 1)
+    blocks = (docs.agg(F.max("block")).first()[0] or 0) + 1
+    own = weights.join(names, "feature").groupBy(F.col("model").alias("node")).agg(F.collect_list(F.struct("fid", "weight")).alias("p"))
+    fixed = constants.select(F.col("node").cast("string").alias("node"), F.col("p").alias("fixed"))
+    shape = tree.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent"), "label")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    nodes = shape.join(fixed, "node", "left").join(own, "node", "left").select("node", "parent", "label", "fixed", F.coalesce("p.fid", none("bigint")).alias("f"), F.coalesce("p.weight", none("double")).alias("w"))
+    sent = stage(nodes, "nodes").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = f"doc_id {features.schema['doc_id'].dataType.simpleString()}, rank int, label string, score double"
+    return docs.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(lambda d, n: _best_of_block(d, n, k, normalise), schema)
+
+
 def predict(features: DataFrame, tree: DataFrame, weights: DataFrame, constants: DataFrame, k: int, normalise: bool = False) -> DataFrame:
-    """(doc_id, rank, label, score): the k labels of the largest path probability of each document."""
+    """(doc_id, rank, label, score): the k labels of the largest path probability of each document.
+
+    A tree of few nodes and weights meets blocks of documents whole; a larger one is searched best first, level by level.
+    """
+    size = tree.agg(F.count("*").alias("nodes"), F.count_distinct("node").alias("names")).first()
+    if size["nodes"] == size["names"] <= TREE_NODES and weights.count() <= TREE_WEIGHTS:
+        return _predict_in_blocks(features, tree, weights, constants, k, normalise)
     return best_first(features.select("doc_id").distinct(), tree, model_scores(features, weights, constants), k, normalise)

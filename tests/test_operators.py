@@ -693,3 +693,33 @@ def test_block_dot(spark, monkeypatch):
         best = topk.top_k(features.block_dot(f, w, 3), 3)
         assert sorted(map(tuple, best.collect())) == sorted(map(tuple, topk.top_k(features.sparse_dot(f, w), 3).collect()))
     assert features.block_dot(f.limit(0), w).count() == features.block_dot(f, w.limit(0)).count() == 0
+
+
+def test_small_trees_meet_blocks_of_documents(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(0, None, None), *[(i, (i - 1) // 3, None if i < 5 else f"l{i}") for i in range(1, 16)]]
+    tree = spark.createDataFrame(rows, "node long, parent long, label string")
+    own = {i: rng.sample([f"l{n}" for n in range(5, 15)], rng.randint(0, 3)) for i in range(40)}
+    docs = {i: {f"f{n}": rng.random() for n in rng.sample(range(9), 3)} for i in own}
+    f = spark.createDataFrame([(i, n, x) for i, row in docs.items() for n, x in row.items()], "doc_id long, feature string, value double")
+    l = spark.createDataFrame([(i, x) for i, ls in own.items() for x in ls], "doc_id long, label string")
+    # examples stand in one row a document, and are those of the training set
+    paths, ids = labeltree.closure(tree), f.select("doc_id").distinct()
+    packed = labeltree.packed_training_set(ids, l, tree, paths, tree.select("node", F.col("node").cast("int").alias("number"))).collect()
+    assert len(packed) == len({r["doc_id"] for r in packed}) == 40
+    assert {(r["doc_id"], e // 2, e % 2) for r in packed for e in r["e"]} == {tuple(r) for r in labeltree.training_set(ids, l, tree, paths).select("doc_id", "node", "y").collect()}
+    # no search level by level: each document's paths are multiplied in one task, some documents at a time
+    w = {(n, x): rng.gauss(0, 2) for n in range(2, 16) for x in [*(f"f{i}" for i in range(9)), linear.BIAS]}
+    weights = spark.createDataFrame([(str(n), x, v) for (n, x), v in w.items()], "model string, feature string, weight double")
+    constants = spark.createDataFrame([(0, 1.0), (1, 0.25)], "node long, p double")
+    monkeypatch.setattr(labeltree, "best_first", None)
+    monkeypatch.setattr(labeltree, "CELL_NUMBERS", 50)
+    found = {(r["doc_id"], r["rank"]): (r["label"], r["score"]) for r in labeltree.predict(f, tree, weights, constants, 4, normalise=True).collect()}
+    assert len(found) == 40 * 4
+    for d, row in docs.items():
+        p = {n: 1 / (1 + math.exp(-sum(x * w[n, name] for name, x in {**row, linear.BIAS: 1.0}.items()))) for n in range(2, 16)} | {0: 1.0, 1: 0.25}
+        path = {0: 1.0}
+        for n, up, _ in rows[1:]:
+            path[n] = path[up] * p[n] / sum(p[m] for m, other, _ in rows if other == up)
+        want = sorted((-round(path[n], 9), label) for n, _, label in rows if label)[:4]
+        assert [found[d, r][0] for r in range(1, 5)] == [x for _, x in want] and [found[d, r][1] for r in range(1, 5)] == pytest.approx([-x for x, _ in want], abs=2e-9)
