@@ -723,3 +723,19 @@ def test_small_trees_meet_blocks_of_documents(spark, monkeypatch):
             path[n] = path[up] * p[n] / sum(p[m] for m, other, _ in rows if other == up)
         want = sorted((-round(path[n], 9), label) for n, _, label in rows if label)[:4]
         assert [found[d, r][0] for r in range(1, 5)] == [x for _, x in want] and [found[d, r][1] for r in range(1, 5)] == pytest.approx([-x for x, _ in want], abs=2e-9)
+
+
+def test_documents_with_the_same_labels_move_together(spark, monkeypatch):
+    rng = random.Random(32)
+    own = {i: sorted(rng.sample("abcdefg", rng.randint(0, 3))) for i in range(300)}
+    truth = spark.createDataFrame([(i, x) for i, ls in own.items() for x in ls], "doc_id long, label string")
+    w = spark.createDataFrame([("a", 0.5), ("b", 3.0)], "label string, weight double")
+    nodes = spark.range(300).select(F.lit(0).alias("tree"), F.when(F.col("id") < 200, "r0").otherwise("r1").alias("node"), F.col("id").alias("doc_id"))
+    assert doctree.label_sets(truth)[1].count() == len({tuple(ls) for ls in own.values() if ls})
+    sides = lambda: {tuple(r) for r in doctree.split(nodes, truth, w, most_rounds=4).select("node", "doc_id", "side").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(doctree, "NODE_CELLS", 0)
+        want = sides()
+    # no round is a job of its own where nodes are small
+    monkeypatch.setattr(doctree, "reassign", None)
+    assert sides() == want and len(want) == 300
