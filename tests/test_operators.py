@@ -762,3 +762,18 @@ def test_cells_of_nearest_vectors():
     vectors._best_of_cell(left, right, 5)
     assert tracemalloc.get_traced_memory()[1] < 250_000_000
     tracemalloc.stop()
+
+
+def test_context_pairs_need_no_join(spark):
+    rng = random.Random(34)
+    # places with gaps, and a document of one word
+    places = {d: sorted(rng.sample(range(60), n)) for d, n in ((1, 40), (2, 12), (3, 1))}
+    rows = [(d, p, f"w{p % 7}") for d, ps in places.items() for p in ps]
+    got = features.context_pairs(spark.createDataFrame(rows, "doc_id long, pos int, token string"), 3)
+    word = {(d, p): t for d, p, t in rows}
+    from hashlib import md5
+
+    reach = {(d, p): int(md5(f"42|{d}|{p}".encode()).hexdigest()[:8], 16) % 3 + 1 for d, p in word}
+    want = sorted((d, word[d, p], word[d, q]) for d, p in word for q in places[d] if q != p and abs(q - p) <= reach[d, p])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
