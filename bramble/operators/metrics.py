@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def hits(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """Ranked predictions(doc_id, rank, label, score) with hit (0/1) and n_truth; documents without truth are left out."""
-    known = truth.select("doc_id", "label").distinct().withColumn("hit", F.lit(1))
-    sizes = known.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_truth"))
-    joined = predictions.join(sizes, "doc_id").join(known, ["doc_id", "label"], "left")
-    return joined.select("doc_id", "rank", "label", "score", F.coalesce("hit", F.lit(0)).alias("hit"), "n_truth")
+    # a document's labels stand in one row, so that all is joined by document
+    nothing = F.max(F.col("label").isNull().cast("int"))
+    known = truth.groupBy("doc_id").agg(F.collect_set("label").alias("known"), nothing.alias("nothing"))
+    hit = F.coalesce(F.array_contains("known", F.col("label")), F.lit(False)).cast("int")
+    return predictions.join(known, "doc_id").select("doc_id", "rank", "label", "score", hit.alias("hit"), (F.size("known") + F.col("nothing")).alias("n_truth"))
 
 
 def cumulative(h: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from bramble.functions import hashing as H
 from bramble.functions import text as T
 from bramble.operators import doctree, features, labels, labeltree, linear, matcher, metrics, split, topk, vectors, weights, wordvectors
+from bramble.plans import views
 
 
 def one(spark, column, **values):
@@ -777,3 +778,29 @@ def test_context_pairs_need_no_join(spark):
     want = sorted((d, word[d, p], word[d, q]) for d, p in word for q in places[d] if q != p and abs(q - p) <= reach[d, p])
     assert sorted(tuple(r) for r in got.collect()) == want
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+# --- sizes of tasks -------------------------------------------------------------------------------------------------
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_tasks_of_order_rows_do_not_grow_with_the_tables(spark, monkeypatch):
+    whole = sorted(map(tuple, views.hits(spark, SMALL).collect()))
+    monkeypatch.setattr(views, "TASK_LINES", 500)
+    monkeypatch.setattr(views, "FEW_PARTS", 0)
+    rows = views.hits(spark, SMALL)
+    parts = -(-views.table(spark, SMALL, "lineitem").count() // 500)
+    # labels, predictions and their join stand by document in parts of their own number
+    assert rows.rdd.getNumPartitions() == parts > 4
+    assert sorted(map(tuple, rows.collect())) == whole
+    most = rows.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count")).first()[0]
+    assert most < len(whole) / 4
+
+
+def test_hits_count_a_label_without_a_name_as_truth_but_never_as_a_hit(spark):
+    predicted = spark.createDataFrame([(1, 1, "a", 0.9), (1, 2, None, 0.5), (2, 1, "b", 0.4)], "doc_id long, rank int, label string, score double")
+    truth = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "c")], "doc_id long, label string")
+    got = {(r.doc_id, r.rank): (r.hit, r.n_truth) for r in metrics.hits(predicted, truth).collect()}
+    assert got == {(1, 1): (1, 2), (1, 2): (0, 2), (2, 1): (0, 1)}
