@@ -668,6 +668,6 @@ def t31(s, d):
     rows = v.order_labels(s, d)
     got = L.fixed_candidates(rows, rows, 12)
     # what is said to be a document's own, must be; padding must not be, and no label may come twice
-    checked = got.join(rows.withColumn("true", F.lit(True)), ["doc_id", "label"], "left")
-    wrong = F.col("own") != F.coalesce("true", F.lit(False))
+    checked = got.join(rows.groupBy("doc_id").agg(F.collect_set("label").alias("true")), "doc_id", "left")
+    wrong = F.col("own") != F.coalesce(F.array_contains("true", F.col("label")), F.lit(False))
     return checked.groupBy("doc_id").agg(F.sum(F.col("own").cast("long")).alias("own"), F.count_distinct("label").alias("candidates"), F.sum(wrong.cast("long")).alias("foreign_own"))
