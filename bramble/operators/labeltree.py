@@ -114,7 +114,8 @@ def problems(edges: DataFrame, labels: DataFrame, root: str) -> DataFrame:
 def node_positives(doc_labels: DataFrame, tree: DataFrame, paths: DataFrame) -> DataFrame:
     """(doc_id, node): nodes above (or at) a label of the document."""
     leaves = tree.where("label is not null").select("label", "node")
-    above = leaves.join(paths, "node").select("label", F.col("ancestor").alias("node"))
+    # staged, so that Spark knows how few they are and leaves the documents where they stand
+    above = stage(leaves.join(paths, "node").select("label", F.col("ancestor").alias("node")), "above")
     return doc_labels.join(above, "label").select("doc_id", "node").distinct()
 
 
@@ -306,9 +307,14 @@ def cluster_tree(clusters: DataFrame) -> DataFrame:
 
 def hard_negatives(predictions: DataFrame, doc_labels: DataFrame, tree: DataFrame, paths: DataFrame, n: int) -> DataFrame:
     """(doc_id, node): the n best-scored labels that are not true, with the nodes above them that are not positive."""
-    wrong = top_k(predictions.select("doc_id", "label", "score").join(doc_labels, ["doc_id", "label"], "left_anti"), n)
+    # a document's labels and nodes stand in one row each, so that all is joined by document
+    def without(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
+        known = others.groupBy("doc_id").agg(F.collect_set(column).alias("known"))
+        return rows.join(known, "doc_id", "left").where(~F.coalesce(F.array_contains("known", F.col(column)), F.lit(False))).drop("known")
+
+    wrong = top_k(without(predictions.select("doc_id", "label", "score"), doc_labels, "label"), n)
     nodes = node_positives(wrong.select("doc_id", "label"), tree, paths)
-    return nodes.join(node_positives(doc_labels, tree, paths), ["doc_id", "node"], "left_anti")
+    return without(nodes, node_positives(doc_labels, tree, paths), "node")
 
 
 def train_tree(features: DataFrame, doc_labels: DataFrame, tree: DataFrame, batch: int = 64, **options) -> tuple[DataFrame, DataFrame]:
