@@ -804,3 +804,19 @@ def test_hits_count_a_label_without_a_name_as_truth_but_never_as_a_hit(spark):
     truth = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "c")], "doc_id long, label string")
     got = {(r.doc_id, r.rank): (r.hit, r.n_truth) for r in metrics.hits(predicted, truth).collect()}
     assert got == {(1, 1): (1, 2), (1, 2): (0, 2), (2, 1): (0, 1)}
+
+
+def test_tail_scores_and_hard_negatives_do_not_move_documents_again(spark, monkeypatch):
+    from bramble.plans import q_labels, q_models
+
+    asked = {q_models.t10: None, q_models.t32: None, q_labels.t31: None}
+    for q in asked:
+        asked[q] = sorted(map(tuple, q(spark, SMALL).collect()))
+    monkeypatch.setattr(views, "TASK_LINES", 500)
+    monkeypatch.setattr(views, "FEW_PARTS", 0)
+    parts = -(-views.table(spark, SMALL, "lineitem").count() // 500)
+    for q, want in asked.items():
+        rows = q(spark, SMALL)
+        # the last step by document runs in the parts that the order rows were spread to
+        assert rows.rdd.getNumPartitions() == parts > 4
+        assert sorted(map(tuple, rows.collect())) == want
