@@ -820,3 +820,16 @@ def test_tail_scores_and_hard_negatives_do_not_move_documents_again(spark, monke
         # the last step by document runs in the parts that the order rows were spread to
         assert rows.rdd.getNumPartitions() == parts > 4
         assert sorted(map(tuple, rows.collect())) == want
+
+
+def test_pairs_are_hashed_as_whole_arrays(spark, monkeypatch):
+    texts = [["ab", "cd", "ab", "cd"], [], ["é", "日本", "x" * 300], ["ab"], ["cd", "ab"]]
+    docs = spark.createDataFrame([(t,) for t in texts], "w array<string>").coalesce(1)
+    asked = spark.createDataFrame([(a, b) for t in texts for a, b in zip(t, t[1:])], "a string, b string").distinct()
+    want = sorted(map(tuple, asked.select(F.concat_ws(" ", "a", "b"), H.ngram_bucket(F.array("a", "b"), 10_000_000)).collect()))
+    for at_once in (1, 3, 1_000_000):
+        monkeypatch.setattr(H, "WORDS_AT_ONCE", at_once)
+        rows = H.pair_buckets(docs, F.col("w"), 10_000_000)
+        assert sorted(map(tuple, rows.collect())) == want
+    # no byte of a pair goes through a Spark loop
+    assert "aggregate(" not in rows._jdf.queryExecution().toString()
